@@ -1,0 +1,43 @@
+"""Matching records by nearest time.
+
+Method: the right side's moments become intervals, each bounded by the midpoints to its neighbours and by the tolerance, so that a left
+moment lies in at most one. The intervals are kept by entity and time slice, which is the index of the range join: left rows
+meet only the intervals of their own slice. All of it stays in the JVM.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def nearest_intervals(right: DataFrame, tolerance: int, slice_width: int) -> DataFrame:
+    """right(kind, entity, moment, id) as (kind, entity, slice, low, high, id): twice the moments nearest to id lie in (low, high].
+
+    Bounds are doubled, so that midpoints stay whole numbers. Of several ids at one moment the least is kept. Each moment is also copied
+    to the slices that its tolerance reaches; no farther neighbour can matter there.
+    """
+    single = right.groupBy("kind", "entity", "moment").agg(F.min("id").alias("id"))
+    first, last = F.floor((F.col("moment") - tolerance) / slice_width), F.floor((F.col("moment") + tolerance) / slice_width)
+    placed = single.withColumn("slice", F.explode(F.sequence(first.cast("long"), last.cast("long")))).repartition("entity", "slice")
+    w = Window.partitionBy("kind", "entity", "slice").orderBy("moment")
+    before, after = F.lag("moment").over(w), F.lead("moment").over(w)
+    doubled = 2 * F.col("moment")
+    low = F.greatest(doubled - 2 * tolerance - 1, F.col("moment") + before)
+    high = F.least(doubled + 2 * tolerance, F.col("moment") + after)
+    return placed.select("kind", "entity", "slice", low.alias("low"), high.alias("high"), "id")
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, slice_width: int | None = None) -> DataFrame:
+    """Pair each left(entity, moment, id) with the nearest right(kind, entity, moment, id) of the same entity, for each kind, at most tolerance away.
+
+    Gives (left_id, kind, right_id), distinct rows; left rows without a partner are left out. moment is bigint in any unit, tolerance in the
+    same unit; exactly the tolerance still counts. Of two equally near records the earlier is taken, of several at one moment that with the
+    least id. Nulls in entity, moment or id take part in nothing. Repeated rows count once. Empty tables give no rows.
+    """
+    slice_width = slice_width or max(1, 40 * tolerance)
+    whole = lambda df, *c: df.select(*c, "entity", "moment", "id").filter(F.col("entity").isNotNull() & F.col("moment").isNotNull() & F.col("id").isNotNull())
+    index = nearest_intervals(whole(right, "kind"), tolerance, slice_width)
+    once = whole(left).distinct().withColumnsRenamed({"id": "left_id"}).withColumn("slice", F.floor(F.col("moment") / slice_width))
+    joined = once.join(index, ["entity", "slice"]).filter((2 * F.col("moment") > F.col("low")) & (2 * F.col("moment") <= F.col("high")))
+    return joined.select("left_id", "kind", F.col("id").alias("right_id"))

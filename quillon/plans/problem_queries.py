@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.near import near_and_inside
-from quillon.sources.messages import table
+from quillon.operators.nearest_time import nearest_in_time
+from quillon.operators.regular_grid import READING, regular_grid
+from quillon.operators.spikes import flag_readings
+from quillon.plans.partitioning import lookup_join
+from quillon.sources.messages import positioned, table, timed
 
 NEAR_M = 0.25
+STEP_US = 10_000_000
+TOLERANCE_US = 400_000
+#: Fields of problem 5, numbered by place.
+FIELDS = [("mavlink_gps2_raw_t", "alt"), ("mavlink_gps2_raw_t", "eph"), ("mavlink_optical_flow_t", "ground_distance"), ("mavlink_adap_tuning_t", "error")]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,8 +26,67 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_and_inside(table(spark, d, "points"), NEAR_M, table(spark, d, "regions"))
 
 
+def p2_grid(spark: SparkSession, d: str) -> DataFrame:
+    """lat and alt of each boot in slots of 10 s, gaps filled or marked."""
+    gps = table(spark, d, "mavlink_gps2_raw_t").select("rec_id", "boot_id", "time_usec", "lat", "lon", "alt", "fix_type").filter(positioned() & F.col("alt").isNotNull())
+    readings = timed(gps, table(spark, d, "mavlink_boots"))
+    grid = regular_grid(readings, STEP_US, source="boot_id", moment="moment", id="rec_id", values=["lat", "alt"])
+    return grid.withColumnRenamed("source", "boot_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The slots of p2_grid that have no reading."""
+    return p2_grid(spark, d).filter(F.col("mark") != READING).select("boot_id", "slot")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each optical_flow message with the nearest attitude_target and gps2_raw messages of its boot, up to 400 ms away."""
+    boots = table(spark, d, "mavlink_boots")
+    head = ["rec_id", "boot_id"]
+    flow = timed(table(spark, d, "mavlink_optical_flow_t").select(*head, "time_usec"), boots)
+    attitude = timed(table(spark, d, "mavlink_attitude_target_t").select(*head, "time_boot_ms"), boots, "time_boot_ms", milliseconds_from_boot=True)
+    gps = timed(table(spark, d, "mavlink_gps2_raw_t").select(*head, "time_usec"), boots)
+    as_kind = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("boot_id").alias("entity"), "moment", F.col("rec_id").alias("id"))
+    right = as_kind(attitude, "attitude_target").unionByName(as_kind(gps, "gps2_raw"))
+    paired = nearest_in_time(as_kind(flow, "flow").drop("kind"), right, TOLERANCE_US)
+    return paired.select(F.col("left_id").alias("flow_id"), F.col("kind").alias("other"), F.col("right_id").alias("other_id"))
+
+
+def _series(number: int, sub: Column) -> Column:
+    """One bigint for (field, boot, sensor or axis): boot_id below 2^45, sub a smallint."""
+    return (F.col("boot_id") * 2**18 + (F.coalesce(sub.cast("long"), F.lit(-32768)) + 32768) * 4 + number).alias("series")
+
+
+def p5_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged readings of alt, eph, ground_distance and error: (table_name, field, rec_id, flags)."""
+    boots = table(spark, d, "mavlink_boots")
+    gps = timed(table(spark, d, "mavlink_gps2_raw_t").select("rec_id", "boot_id", "time_usec", "alt", "eph", "fix_type"), boots).dropDuplicates(["boot_id", "rec_id"])
+    alt = F.when(F.col("fix_type") >= 2, F.col("alt").cast("double"))
+    eph = F.when(F.col("eph") != 65535, F.col("eph").cast("double"))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("what"), alt.alias("value")), F.struct(F.lit(1).alias("what"), eph.alias("value"))))
+    hour = F.floor(F.col("moment") / 3_600_000_000)
+    gps = gps.select("boot_id", "rec_id", "moment", both.alias("r")).select(_series(0, F.lit(0)).alias("_s"), F.col("r.what").alias("what"), F.col("rec_id").alias("id"), F.col("moment").alias("ord"), hour.alias("part"), F.col("r.value").alias("value"))
+    gps = gps.withColumn("series", F.col("_s") + F.col("what")).drop("_s")
+    flow = timed(table(spark, d, "mavlink_optical_flow_t").select("rec_id", "boot_id", "time_usec", "ground_distance", "sensor_id"), boots).dropDuplicates(["boot_id", "rec_id"])
+    flow = flow.filter(F.col("ground_distance") >= 0).select(_series(2, F.col("sensor_id")), F.lit(2).alias("what"), F.col("rec_id").alias("id"), F.col("moment").alias("ord"), hour.alias("part"), F.col("ground_distance").cast("double").alias("value"))
+    tuning = table(spark, d, "mavlink_adap_tuning_t").select("rec_id", "boot_id", "msg_seq", "axis", "error").dropna(subset=["rec_id", "boot_id", "msg_seq", "error"]).dropDuplicates(["boot_id", "rec_id"])
+    tuning = tuning.select(_series(3, F.col("axis")), F.lit(3).alias("what"), F.col("rec_id").alias("id"), F.col("msg_seq").alias("ord"), F.floor(F.col("msg_seq") / 4096).alias("part"), F.col("error").cast("double").alias("value"))
+    readings = gps.unionByName(flow).unionByName(tuning).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    number = F.create_map(*[v for i, name in enumerate(FIELDS) for v in (F.lit("/".join(name)), F.lit(i))])
+    limits = table(spark, d, "reading_limits").select(number[F.concat_ws("/", "table_name", "field")].alias("what"), "lowest", "highest").filter("what is not null")
+    readings = lookup_join(readings, limits, "what", "id").withColumn("impossible", (F.col("value") < F.col("lowest")) | (F.col("value") > F.col("highest")) | (F.abs("value") == float("inf")))
+    flagged = flag_readings(readings.select("series", "ord", "id", "value", "impossible", "part"), F.col("part"))
+    names = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(f).alias("f")) for t, f in FIELDS])[F.pmod(F.col("series"), F.lit(4)).cast("int")]
+    return flagged.select(names["t"].alias("table_name"), names["f"].alias("field"), F.col("id").alias("rec_id"), "flags")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The flagged readings, whatever the reason."""
+    return p5_flags(spark, d).drop("flags")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {q.__name__: q for q in (p1_found, p2_grid, p2_found, p4_found, p5_flags, p5_found)}
 
 
 P1_SQL = """
@@ -43,5 +110,29 @@ select 'near' as kind, id_a, id_b from near union all select 'inside', region_id
 """
 
 
+MESSAGES_SQL = """
+gps as (select distinct on (m.rec_id) m.*, case when time_usec < 10000000000000 then time_usec + boot_usec else time_usec end as moment
+        from mavlink_gps2_raw_t m join mavlink_boots b using (boot_id)
+        where time_usec <> 0 and case when time_usec < 10000000000000 then time_usec + boot_usec else time_usec end between boot_usec and off_usec)
+"""
+
+P2_SQL = f"""
+with {MESSAGES_SQL},
+slots as (select distinct boot_id, moment // 10000000 as slot from gps where fix_type >= 2 and lat is not null and lon is not null and alt is not null and not (lat = 0 and lon = 0)),
+spans as (select boot_id, min(slot) a, max(slot) b from slots group by 1)
+select boot_id, slot from (select boot_id, unnest(range(a, b + 1)) as slot from spans) except select boot_id, slot from slots
+"""
+
+P4_SQL = f"""
+with {MESSAGES_SQL},
+flow as (select distinct rec_id, boot_id, time_usec as moment from mavlink_optical_flow_t join mavlink_boots using (boot_id) where time_usec <> 0 and time_usec between boot_usec and off_usec),
+attitude as (select distinct rec_id, boot_id, boot_usec + 1000 * time_boot_ms as moment from mavlink_attitude_target_t join mavlink_boots using (boot_id) where boot_usec + 1000 * time_boot_ms between boot_usec and off_usec),
+other as (select 'attitude_target' as other, boot_id, moment, rec_id from attitude union all select 'gps2_raw', boot_id, moment, rec_id from gps)
+select f.rec_id as flow_id, other, arg_min(o.rec_id, abs(o.moment - f.moment)) as other_id
+from flow f join other o on f.boot_id = o.boot_id and o.moment between f.moment - 400000 and f.moment + 400000
+group by 1, 2
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL}
