@@ -11,6 +11,7 @@ from quillon.operators.near import near_and_inside
 from quillon.operators.nearest_time import nearest_in_time
 from quillon.operators.regular_grid import READING, regular_grid
 from quillon.operators.spikes import flag_readings
+from quillon.operators.trips import stops_and_trips
 from quillon.plans.partitioning import lookup_join
 from quillon.sources.messages import positioned, table, timed
 
@@ -39,6 +40,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_grid(spark, d).filter(F.col("mark") != READING).select("boot_id", "slot")
 
 
+def p3_trips(spark: SparkSession, d: str) -> DataFrame:
+    """Stops and trips of each boot, with start, end, duration and distance."""
+    gps = table(spark, d, "mavlink_gps2_raw_t").select("rec_id", "boot_id", "time_usec", "lat", "lon", "vel", "fix_type").filter(positioned())
+    pings = timed(gps, table(spark, d, "mavlink_boots")).select("rec_id", "boot_id", "moment", (F.col("lat") / 1e7).alias("lat"), (F.col("lon") / 1e7).alias("lon"), F.when((F.col("vel") >= 0) & (F.col("vel") != 65535), F.col("vel") / 100).alias("speed"))
+    found = stops_and_trips(pings, source="boot_id", moment="moment", id="rec_id", lat="lat", lon="lon", speed="speed")
+    return found.select(F.col("source").alias("boot_id"), "kind", "start", "end", ((F.col("end") - F.col("start")) / 1e6).alias("duration_s"), F.col("distance").alias("distance_m"), "lat", "lon")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The stops of p3_trips by minute."""
+    minute = lambda c: F.floor(F.col(c) / 60_000_000)
+    return p3_trips(spark, d).filter("kind = 'stop'").select("boot_id", minute("start").alias("start_minute"), minute("end").alias("end_minute")).distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Each optical_flow message with the nearest attitude_target and gps2_raw messages of its boot, up to 400 ms away."""
     boots = table(spark, d, "mavlink_boots")
@@ -86,7 +101,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p2_grid, p2_found, p4_found, p5_flags, p5_found)}
+    return {q.__name__: q for q in (p1_found, p2_grid, p2_found, p3_trips, p3_found, p4_found, p5_flags, p5_found)}
 
 
 P1_SQL = """
