@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.packing import pack_items
+from quillon.llm.pii import find_personal, replace_personal
 from quillon.llm.tokens import count_tokens, encode_texts
 from quillon.sources.messages import table
 
 
+KEY = "key of the test queries"
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     return encode_texts(table(spark, d, "documents"))
@@ -21,8 +25,18 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack_items(count_tokens(table(spark, d, "documents")), table(spark, d, "containers"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each different string of a document that is personal information."""
+    return find_personal(table(spark, d, "documents"), table(spark, d, "known_names"))
+
+
+def p8_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with placeholders in place of personal information; the key of a real run comes from its owner."""
+    return replace_personal(table(spark, d, "documents"), table(spark, d, "known_names"), KEY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p6_ids, p7_packed)}
+    return {q.__name__: q for q in (p6_ids, p7_packed, p8_found, p8_replaced)}
 
 
 def oracle_sql() -> dict[str, str]:
