@@ -130,3 +130,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder: the copy outlives any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
+    """A scan with a state over each group's rows in order, for what depends on its own earlier results.
+
+    step(state, rows) is called with the consecutive rows (pa.Table) of one group that a batch holds and returns (state, pa.Table or
+    None); state is None where a group begins. Rows stream through, so a group of any length needs no more memory than a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, key = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([b])
+            starts = _changes(table, keys)
+            for s, e in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                rows = table.slice(int(s), int(e - s))
+                now = tuple(repr(rows.column(k)[0].as_py()) for k in keys)
+                state, out = step(state if now == key else None, rows)
+                key = now
+                if out is not None and out.num_rows:
+                    yield from out.combine_chunks().to_batches()
+
+    laid = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    return laid.mapInArrow(run, schema)
