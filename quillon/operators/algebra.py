@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from quillon.operators.spatial_join import RIGHT, _finite, pairs_within
 from quillon.operators.voxels import components
-from quillon.plans.partitioning import at_most, cut_lineage, ordered_scan
+from quillon.plans.partitioning import at_most, cut_lineage, join_groups, ordered_scan
 
 
 def _moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """n, s0.. (sums) and p0_0.. (sums of products) by group; the products are about the group's means, so that they don't cancel."""
     clean = df.filter(_finite(columns))
     means = clean.groupBy(*keys).agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
-    joined = clean.join(means, list(keys)) if keys else clean.join(F.broadcast(means))  # one row
+    joined = join_groups(clean, means, keys)
     d = [F.col(c) - F.col(f"_m{i}") for i, c in enumerate(columns)]
     products = [F.sum(d[i] * d[j]).alias(f"p{i}_{j}") for i in range(len(columns)) for j in range(i, len(columns))]
     return joined.groupBy(*keys, *[f"_m{i}" for i in range(len(columns))]).agg(F.count(F.lit(1)).alias("n"), *products)
@@ -124,7 +124,6 @@ def k_means(df: DataFrame, columns: Sequence[str], initial: DataFrame, keys: Seq
     Stops when the centroids' squared moves sum to less than tolerance^2, or after max_rounds. An empty cluster's centroid goes to 0. Ties: the least
     number. Rows with a null or NaN have a null cluster. The centroids of a group are carried to its rows as one array; a round is one aggregation.
     """
-    n = len(columns)
     centroids = cut_lineage(initial.select(*keys, F.col("cluster").cast("int").alias("cluster"), *[F.col(c).cast("double").alias(c) for c in columns]))
     usable = df.filter(_finite(columns))
     for _ in range(max_rounds):
@@ -142,15 +141,12 @@ def k_means(df: DataFrame, columns: Sequence[str], initial: DataFrame, keys: Seq
             break
     out = _assign(usable, centroids, columns, keys)
     rest = df.filter(~F.coalesce(_finite(columns), F.lit(False))).withColumn("cluster", F.lit(None).cast("int"))
-    return out.unionByName(rest) if n else out
+    return out.unionByName(rest)
 
 
 def _assign(df: DataFrame, centroids: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     packed = centroids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", F.array(*columns).alias("at")))).alias("_c"))
-    if not at_most(packed, 100_000):
-        joined = df.join(packed, list(keys))
-    else:
-        joined = df.join(F.broadcast(packed), list(keys)) if keys else df.join(F.broadcast(packed))  # one row where there are no keys
+    joined = join_groups(df, F.broadcast(packed) if at_most(packed, 10_000) else packed, keys)
     here = F.array(*[F.col(c).cast("double") for c in columns])
     d2 = lambda c: F.aggregate(F.zip_with(here, c["at"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     best = F.array_min(F.transform("_c", lambda c: F.struct(d2(c).alias("d"), c["cluster"].alias("k"))))
@@ -255,7 +251,7 @@ def far_from_neighbours(points: DataFrame, radius: float, k: int, deviations: fl
     means = near.groupBy(id).agg(F.avg("distance").alias("mean_distance"))
     joined = points.join(means.withColumnRenamed(id, "_id"), F.col(id) == F.col("_id"), "left").drop("_id")
     stats = joined.groupBy(*keys).agg((F.avg("mean_distance") + deviations * F.coalesce(F.stddev_samp("mean_distance"), F.lit(0.0))).alias("_limit"))
-    out = joined.join(stats, list(keys)) if keys else joined.join(F.broadcast(stats))  # one row
+    out = join_groups(joined, stats, keys)
     return out.withColumn("outlier", F.coalesce(F.col("mean_distance") > F.col("_limit"), F.lit(True))).drop("_limit")
 
 

@@ -6,7 +6,7 @@ whose size follows the data is sent to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -156,3 +156,10 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], step: Callabl
 
     laid = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
     return laid.mapInArrow(run, schema)
+
+
+def join_groups(df: DataFrame, per_group: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Give each row the columns of its group's one row; without keys all rows are one group."""
+    if keys:
+        return df.join(per_group, list(keys))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(per_group.limit(1).withColumn("_one", F.lit(1))), "_one").drop("_one")
