@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.spatial_join import RIGHT, _finite, pairs_within
 from quillon.operators.voxels import components
-from quillon.plans.partitioning import at_most, cut_lineage, join_groups, ordered_scan
+from quillon.plans.partitioning import at_most, cut_lineage, extended, join_groups, ordered_scan
 
 
 def _moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -69,7 +69,7 @@ def principal_axes(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
             cols += [pa.array(np.tile(np.arange(1, k + 1), len(ok)).astype(np.int32)), pa.array(values.ravel()), pa.array(list(vectors.reshape(-1, k)), pa.list_(pa.float64()))]
             yield pa.record_batch(cols, [*keys, "rank", "value", "vector"])
 
-    return _moments(df, keys, columns).mapInArrow(run, kept.add("rank", "int").add("value", "double").add("vector", "array<double>"))
+    return _moments(df, keys, columns).mapInArrow(run, extended(kept, "rank int, value double, vector array<double>"))
 
 
 def fit_plane(df: DataFrame, columns: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = ()) -> DataFrame:
@@ -85,7 +85,7 @@ def fit_plane(df: DataFrame, columns: Sequence[str] = ("x", "y", "z"), keys: Seq
             rms = np.sqrt(np.maximum(values[:, 0], 0) / n[ok])
             yield pa.record_batch([*[b.column(c).take(who) for c in keys], pa.array(list(m[ok]), pa.list_(pa.float64())), pa.array(list(_signed(vectors[:, :, 0])), pa.list_(pa.float64())), pa.array(rms)], [*keys, "mean", "normal", "rms"])
 
-    return _moments(df, keys, columns).mapInArrow(run, kept.add("mean", "array<double>").add("normal", "array<double>").add("rms", "double"))
+    return _moments(df, keys, columns).mapInArrow(run, extended(kept, "mean array<double>, normal array<double>, rms double"))
 
 
 def align(df: DataFrame, first: Sequence[str], second: Sequence[str], keys: Sequence[str] = (), scaled: bool = False) -> DataFrame:
@@ -115,7 +115,7 @@ def align(df: DataFrame, first: Sequence[str], second: Sequence[str], keys: Sequ
             lists = lambda v: pa.array(list(v), pa.list_(pa.float64()))
             yield pa.record_batch([*[b.column(q).take(who) for q in keys], lists(r.reshape(-1, 9)), lists(t), pa.array(k), pa.array(error)], [*keys, "rotation", "translation", "scale", "error"])
 
-    return _moments(df, keys, names).mapInArrow(run, kept.add("rotation", "array<double>").add("translation", "array<double>").add("scale", "double").add("error", "double"))
+    return _moments(df, keys, names).mapInArrow(run, extended(kept, "rotation array<double>, translation array<double>, scale double, error double"))
 
 
 def k_means(df: DataFrame, columns: Sequence[str], initial: DataFrame, keys: Sequence[str] = (), max_rounds: int = 300, tolerance: float = 1e-4) -> DataFrame:
@@ -181,7 +181,7 @@ def spectrum(df: DataFrame, value: str, row: str, keys: Sequence[str] = (), bin_
                     out = np.where(out > 0, np.log10(np.where(out > 0, out, 1)), 0)
             yield pa.record_batch([*[b.column(k) for k in keys], b.column("bin"), pa.array(list(out), pa.list_(pa.float64()))], [*keys, "bin", "spectrum"])
 
-    return packed.mapInArrow(run, kept.add("bin", "long").add("spectrum", "array<double>"))
+    return packed.mapInArrow(run, extended(kept, "bin bigint, spectrum array<double>"))
 
 
 def array_split(df: DataFrame, column: str, size: int) -> DataFrame:
@@ -242,16 +242,17 @@ def grow_regions(points: DataFrame, normals_: DataFrame, radius: float, angle: f
     return found.join(sizes, "component", "left_semi").select(F.col("node").alias(id), "component")
 
 
-def far_from_neighbours(points: DataFrame, radius: float, k: int, deviations: float, id: str = "id", keys: Sequence[str] = (), axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """Add mean_distance to the k nearest others within the radius and outlier: above mean + deviations * standard deviation over the group, or without any."""
+def far_from_neighbours(points: DataFrame, radius: float, k: int, deviations: float, id: str = "id", keys: Sequence[str] = (), axes: Sequence[str] = ("x", "y", "z"), over: Sequence[str] | None = None) -> DataFrame:
+    """Add mean_distance to the k nearest others within the radius and outlier: above mean + deviations * standard deviation of all points with equal over (default: keys), or without any other."""
     from quillon.operators.spatial_join import nearest_within
 
     slim = points.select(id, *keys, *axes)
     near = nearest_within(slim, slim, radius, id, id, k=max(2, k), axes=axes, keys=keys, ids=("differ", id)).filter(F.col("rank") <= k)
     means = near.groupBy(id).agg(F.avg("distance").alias("mean_distance"))
     joined = points.join(means.withColumnRenamed(id, "_id"), F.col(id) == F.col("_id"), "left").drop("_id")
-    stats = joined.groupBy(*keys).agg((F.avg("mean_distance") + deviations * F.coalesce(F.stddev_samp("mean_distance"), F.lit(0.0))).alias("_limit"))
-    out = join_groups(joined, stats, keys)
+    over = list(keys if over is None else over)
+    stats = joined.groupBy(*over).agg((F.avg("mean_distance") + deviations * F.coalesce(F.stddev_samp("mean_distance"), F.lit(0.0))).alias("_limit"))
+    out = join_groups(joined, stats, over)
     return out.withColumn("outlier", F.coalesce(F.col("mean_distance") > F.col("_limit"), F.lit(True))).drop("_limit")
 
 
@@ -317,7 +318,7 @@ def gaussian_process(train: DataFrame, query: DataFrame, keys: Sequence[str], x:
     xs = train.dropna(subset=[*keys, x, y]).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.slice(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))), 1, max_train + 1).alias("_t"))
     qs = query.dropna(subset=[*keys, x]).withColumn(x, F.col(x).cast("double"))
     joined = qs.groupBy(*keys, F.pmod(F.xxhash64(x), F.lit(64)).alias("_salt")).agg(F.collect_list(x).alias("_q")).join(xs, list(keys), "left")
-    schema = query.select(*keys).schema.add(x, "double").add("mean", "double").add("variance", "double")
+    schema = extended(query.select(*keys).schema, f"`{x}` double, mean double, variance double")
 
     def cover(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return signal**2 * np.exp(-0.5 * ((a[:, None] - b[None, :]) / length) ** 2)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.voxels import components
-from quillon.plans.partitioning import ordered_scan
+from quillon.plans.partitioning import extended, ordered_scan
 
 PIXEL = ["image", "y", "x", "channel"]
 
@@ -47,7 +47,7 @@ def to_arrays(pixels: DataFrame, background: float = 0.0) -> DataFrame:
                 out.append(a.ravel())
             yield pa.record_batch([b.column("image"), b.column("rows"), b.column("cols"), b.column("channels"), pa.array(out, pa.list_(pa.float64()))], ["image", "rows", "cols", "channels", "data"])
 
-    schema = pixels.select("image").schema.add("rows", "int").add("cols", "int").add("channels", "int").add("data", "array<double>")
+    schema = extended(pixels.select("image").schema, "rows int, cols int, channels int, data array<double>")
     return size.mapInArrow(run, schema)
 
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows up to which a side of a join is broadcast (a row of three longs is about 24 bytes, the hashed relation about thrice that).
 BROADCAST_ROWS = 1_000_000
@@ -163,3 +164,8 @@ def join_groups(df: DataFrame, per_group: DataFrame, keys: Sequence[str]) -> Dat
     if keys:
         return df.join(per_group, list(keys))
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(per_group.limit(1).withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+def extended(schema: StructType, ddl: str) -> StructType:
+    """A schema with further columns, given as in DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
