@@ -233,7 +233,7 @@ def normals(points: DataFrame, radius: float, id: str = "id", keys: Sequence[str
 
 def grow_regions(points: DataFrame, normals_: DataFrame, radius: float, angle: float, max_curvature: float = 1.0, min_size: int = 1, id: str = "id", keys: Sequence[str] = (), axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """(id, component): points within the radius whose normals differ by less than angle (either sign) and whose curvature is at most max_curvature, connected."""
-    flat = points.select(id, *keys, *axes).join(normals_.filter(F.col("curvature") <= max_curvature), id)
+    flat = cut_lineage(points.select(id, *keys, *axes).join(normals_.filter(F.col("curvature") <= max_curvature), id))
     slim = flat.select(id, *keys, *axes, "normal_x", "normal_y", "normal_z")
     pairs = pairs_within(slim, slim, radius, axes, keys=keys).filter(F.col(id) < F.col(RIGHT + id))
     alike = F.abs(sum((F.col(f"normal_{a}") * F.col(f"{RIGHT}normal_{a}") for a in "xyz"), F.lit(0.0))) > math.cos(angle)

@@ -118,10 +118,10 @@ def matching(left: DataFrame, right: DataFrame, radius: float, negate: bool = Fa
 
 def strict(left: DataFrame, matched: DataFrame, id: str) -> DataFrame:
     """matched, but the query fails on the first left row that isn't in it."""
-    wanted = left.select(F.col(id).alias("_wanted"))
-    joined = wanted.join(matched, wanted["_wanted"].eqNullSafe(matched[id]) if left.schema[id].nullable else wanted["_wanted"] == matched[id], "left")
+    wanted, marked = left.select(F.col(id).alias("_wanted")), matched.withColumn("_got", F.col(id))
     lost = F.raise_error(F.concat(F.lit("no match for "), F.coalesce(F.col("_wanted").cast("string"), F.lit("null")))).cast("boolean")
-    return joined.filter(F.when(matched[id].isNull(), lost).otherwise(F.lit(True))).drop("_wanted")
+    joined = wanted.join(marked, F.col("_wanted").eqNullSafe(F.col("_got")), "left")
+    return joined.filter(F.when(F.col("_got").isNull(), lost).otherwise(F.lit(True))).drop("_wanted", "_got")
 
 
 # --- triangles ---------------------------------------------------------------------------------------------------------

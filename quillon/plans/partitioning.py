@@ -6,6 +6,7 @@ whose size follows the data is sent to the driver.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -128,9 +129,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder: the copy outlives any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table into the shared folder and read it back: the copy outlives any executor.
+
+    A table rather than checkpoint(): its sizes are known, while a checkpoint keeps the estimates of the plan it cut, which multiply from
+    round to round of an iteration. Each copy has a folder of its own and lies there until the shared folder is cleared.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
