@@ -3,7 +3,7 @@
 Method: readings are averaged by slot before any series is gathered. Series are bucketed: chunks of slots with a halo of neighbours, many
 chunks to a batch. In a batch, runs of slots without a long gap are embedded as Hankel trajectories; their leading
 singular vectors give a reconstruction that replaces the missing entries, again and again until they settle. Filled slots are
-marked, gaps too long to fill are marked and stay empty.
+marked, gaps too long to fill are marked and stay empty. Should a series not settle within ROUNDS, its slots are marked unsettled.
 """
 
 from __future__ import annotations
@@ -15,11 +15,18 @@ from pyspark.sql import functions as F
 
 from quillon.plans.partitioning import map_groups
 
-READING, FILLED, GAP = "reading", "filled", "gap"
+READING, FILLED, GAP, UNSETTLED = "reading", "filled", "gap", "unsettled"
+#: Rounds after which a series counts as one that doesn't settle.
+ROUNDS = 10_000
 
 
-def ssa_impute(series: np.ndarray, missing: np.ndarray, lengths: np.ndarray, window: int, rank: int, rounds: int = 25, tolerance: float = 1e-3) -> np.ndarray:
-    """Fill missing entries of many series at once (rows of series, each of its own length, the rest is padding).
+def ssa_impute(series: np.ndarray, missing: np.ndarray, lengths: np.ndarray, window: int, rank: int, rounds: int = ROUNDS, tolerance: float = 1e-3) -> np.ndarray:
+    """The filled series of ssa_settle."""
+    return ssa_settle(series, missing, lengths, window, rank, rounds, tolerance)[0]
+
+
+def ssa_settle(series: np.ndarray, missing: np.ndarray, lengths: np.ndarray, window: int, rank: int, rounds: int = ROUNDS, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Fill missing entries of many series at once (rows of series, each of its own length, the rest is padding); also whether each series settled.
 
     Starts from linear interpolation. A series is settled when no filled value moves by more than tolerance times its deviation.
     """
@@ -59,10 +66,12 @@ def ssa_impute(series: np.ndarray, missing: np.ndarray, lengths: np.ndarray, win
         moved = np.abs(new - y).max(axis=1) / scale[active]
         out[active] = new
         active = active[moved > tolerance]
-    return out + mean[:, None]
+    settled = np.ones(b, dtype=bool)
+    settled[active] = False
+    return out + mean[:, None], settled
 
 
-def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill: int, window: int, rank: int) -> pa.Table:
+def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill: int, window: int, rank: int, rounds: int) -> pa.Table:
     n = table.num_rows
     source, slot = table.column("source").to_numpy(), table.column("slot").to_numpy()
     own, readings = table.column("own").to_numpy(zero_copy_only=False), table.column("n").to_numpy()
@@ -121,7 +130,9 @@ def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill
         for o, v in zip(out_values, data, strict=True):
             grid = np.zeros((len(segs), width))
             grid[who, at] = v[rows]
-            o.append(ssa_impute(grid, missing, size, w, min(rank, w))[g_who, g_at])
+            filled, settled = ssa_settle(grid, missing, size, w, min(rank, w), rounds)
+            o.append(filled[g_who, g_at])
+            out_mark[-1][~settled[g_who]] = 3
 
     for i in order:
         if batch and (lengths[i] > 1.15 * lengths[batch[0]] + 8 or (len(batch) + 1) * lengths[i] > 40_000):
@@ -129,18 +140,19 @@ def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill
             batch = []
         batch.append(int(i))
     flush()
-    names = np.array([READING, FILLED, GAP], dtype=object)
+    names = np.array([READING, FILLED, GAP, UNSETTLED], dtype=object)
     columns = [pa.array(np.concatenate(out_source)), pa.array(np.concatenate(out_slot))]
     columns += [pa.array(v, from_pandas=True) for v in (np.concatenate(o) for o in out_values)]
     columns += [pa.array(np.concatenate(out_n)), pa.array(names[np.concatenate(out_mark)], pa.string())]
     return pa.table(columns, names=["source", "slot", *values, "n", "mark"])
 
 
-def regular_grid(readings: DataFrame, step: int, *, source: str, moment: str, id: str, values: list[str], max_fill: int = 60, window: int = 16, rank: int = 3, chunk: int = 1024) -> DataFrame:
+def regular_grid(readings: DataFrame, step: int, *, source: str, moment: str, id: str, values: list[str], max_fill: int = 60, window: int = 16, rank: int = 3, chunk: int = 1024, rounds: int = ROUNDS) -> DataFrame:
     """One row for each slot from a source's first reading to its last: (source, slot, values..., n, mark).
 
     slot is floor(moment / step); a slot with readings has their averages and number and the mark reading. Slots without one have n = 0: in
-    gaps of up to max_fill slots they are imputed (mark filled), in longer gaps their values are null (mark gap). Readings with a null
+    gaps of up to max_fill slots they are imputed (mark filled, or unsettled if a value of theirs hasn't settled within rounds), in longer gaps
+    their values are null (mark gap). Readings with a null
     source, moment or id are left out, and so are those with a null or NaN value; rows of one id count once. Empty tables give no rows.
     A source that is longer than a chunk is cut into chunks, with max_fill + 4 slots of either neighbour as context.
     """
@@ -152,7 +164,7 @@ def regular_grid(readings: DataFrame, step: int, *, source: str, moment: str, id
     home = F.floor(F.col("slot") / chunk)
     spread = slots.withColumn("chunk", F.explode(F.sequence(F.floor((F.col("slot") - halo) / chunk), F.floor((F.col("slot") + halo) / chunk)))).withColumn("own", F.col("chunk") == home)
     schema = ", ".join(["source long", "slot long", *[f"{v} double" for v in values], "n long", "mark string"])
-    filled = map_groups(spread, ["source", "chunk"], ["slot"], lambda t, s: _fill_batch(t, s, values, max_fill, window, rank), schema)
+    filled = map_groups(spread, ["source", "chunk"], ["slot"], lambda t, s: _fill_batch(t, s, values, max_fill, window, rank, rounds), schema)
     # Gaps that begin in one chunk and end beyond its halo; the chunks' ends are few. The structs hold all columns of slots, so that its shuffle serves both.
     cells = F.struct("slot", *values, "n")
     ends = slots.groupBy("source", home.alias("chunk")).agg(F.min(cells).alias("first"), F.max(cells).alias("last"))
