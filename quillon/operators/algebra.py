@@ -11,12 +11,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.spatial_join import RIGHT, _finite, pairs_within
 from quillon.operators.voxels import components
-from quillon.plans.partitioning import at_most, cut_lineage, extended, join_groups, ordered_scan
+from quillon.plans.partitioning import at_most, cut_lineage, extended, join_groups, map_groups, ordered_scan
 
 
 def _moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -118,32 +118,122 @@ def align(df: DataFrame, first: Sequence[str], second: Sequence[str], keys: Sequ
     return _moments(df, keys, names).mapInArrow(run, extended(kept, "rotation array<double>, translation array<double>, scale double, error double"))
 
 
-def k_means(df: DataFrame, columns: Sequence[str], initial: DataFrame, keys: Sequence[str] = (), max_rounds: int = 300, tolerance: float = 1e-4) -> DataFrame:
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid (ties: the least) of each column of x, and the squared distance to it."""
+    who, best = np.zeros(x.shape[1], dtype=np.int64), np.full(x.shape[1], np.inf)
+    for k, c in enumerate(centroids):
+        d = sum((v - m) ** 2 for v, m in zip(x, c, strict=True))
+        closer = d < best
+        who[closer], best[closer] = k, d[closer]
+    return who, best
+
+
+def _lloyd(x: np.ndarray, centroids: np.ndarray, max_rounds: int, tolerance: float) -> np.ndarray:
+    k = len(centroids)
+    for _ in range(max_rounds):
+        who, _ = _nearest(x, centroids)
+        sizes = np.maximum(np.bincount(who, minlength=k), 1)
+        moved = np.column_stack([np.bincount(who, weights=v, minlength=k) / sizes for v in x])
+        shift = ((moved - centroids) ** 2).sum()
+        centroids = moved
+        if shift < tolerance**2:
+            break
+    return centroids
+
+
+def random_starts(df: DataFrame, columns: Sequence[str], clusters: int, keys: Sequence[str] = (), runs: int = 10, seed: int = 0) -> DataFrame:
+    """(keys, run, cluster, columns): rows of each group drawn by a hash with the seed, as initial for k_means; a group of fewer rows repeats them."""
+    wanted = runs * clusters
+    by = [*keys] or [F.lit(1)]
+    rows = df.filter(_finite(columns)).select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *columns), *columns)
+    drawn = rows.withColumn("_at", F.row_number().over(order) - 1).filter(F.col("_at") < wanted)
+    drawn = drawn.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    each = drawn.withColumn("_at", F.explode(F.sequence("_at", F.lit(wanted - 1), F.col("_n").cast("int"))))
+    return each.select(*keys, F.floor(F.col("_at") / clusters).cast("int").alias("run"), (F.col("_at") % clusters).alias("cluster"), *columns)
+
+
+def k_means(df: DataFrame, columns: Sequence[str], initial: DataFrame, keys: Sequence[str] = (), max_rounds: int = 300, tolerance: float = 1e-4, local_rows: int = 1_000_000) -> DataFrame:
     """Lloyd's algorithm: each row with cluster, its nearest centroid's number; from initial(keys, cluster, columns).
 
-    Stops when the centroids' squared moves sum to less than tolerance^2, or after max_rounds. An empty cluster's centroid goes to 0. Ties: the least
-    number. Rows with a null or NaN have a null cluster. The centroids of a group are carried to its rows as one array; a round is one aggregation.
+    A group stops when its centroids' squared moves sum to less than tolerance^2, or after max_rounds. An empty cluster's centroid goes to 0. Ties: the
+    least number. Rows with a null or NaN have a null cluster. If initial has a column run (random_starts), each run of a group starts from its own
+    centroids, and the one with the least sum of distances (not squared) is kept; ties: the least run. Groups of up to local_rows rows are settled in
+    one task each, longer ones by one aggregation a round over all tasks.
     """
-    centroids = cut_lineage(initial.select(*keys, F.col("cluster").cast("int").alias("cluster"), *[F.col(c).cast("double").alias(c) for c in columns]))
+    if not keys:
+        whole = [d.withColumn("_one", F.lit(1)) for d in (df, initial)]
+        return k_means(whole[0], columns, whole[1], ["_one"], max_rounds, tolerance, local_rows).drop("_one")
+    keys, runs = list(keys), "run" in initial.columns
+    numbers = lambda d: [F.col(c).cast("double").alias(c) for c in columns]
+    run = F.col("run").cast("int") if runs else F.lit(0)
+    starts = cut_lineage(initial.select(*keys, run.alias("_run"), F.col("cluster").cast("int").alias("cluster"), *numbers(initial)))
     usable = df.filter(_finite(columns))
-    for _ in range(max_rounds):
-        placed = _assign(usable, centroids, columns, keys)
-        sums = placed.groupBy(*keys, "cluster").agg(*[F.avg(F.col(c).cast("double")).alias(f"_a{i}") for i, c in enumerate(columns)])
-        moved = centroids.join(sums, [*keys, "cluster"], "left")
-        shift = None
-        for i, c in enumerate(columns):
-            d = F.coalesce(f"_a{i}", F.lit(0.0)) - F.col(c)
-            shift = d * d if shift is None else shift + d * d
-        moved = cut_lineage(moved.select(*keys, "cluster", *[F.coalesce(f"_a{i}", F.lit(0.0)).alias(c) for i, c in enumerate(columns)], shift.alias("_shift")))
-        centroids = moved.drop("_shift")
-        worst = moved.groupBy(*keys).agg(F.sum("_shift").alias("_s")).agg(F.max("_s")).first()[0]
-        if worst is None or worst < tolerance**2:
-            break
-    out = _assign(usable, centroids, columns, keys)
+    rows = usable.select(*keys, *numbers(usable))
+    large = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > local_rows).select(*keys))
+    any_large = not large.isEmpty()
+    # The groups beyond local_rows are few for any size of table that has room for their rows.
+    small = rows.join(F.broadcast(large), keys, "left_anti") if any_large else rows
+    first = starts.join(F.broadcast(large), keys, "left_anti") if any_large else starts
+    both = small.select(*keys, F.lit(None).cast("int").alias("_run"), F.lit(None).cast("int").alias("cluster"), *columns).unionByName(first)
+
+    def settle(table: pa.Table, begins: np.ndarray) -> pa.Table | None:
+        x = np.array([table.column(c).to_numpy() for c in columns])
+        free = table.column("_run").is_null().to_numpy()
+        number, of = table.column("cluster").fill_null(-1).to_numpy(), table.column("_run").fill_null(-1).to_numpy()
+        at, names, centroids = [], [], []
+        for s, e in zip(begins, [*begins[1:], table.num_rows], strict=True):
+            data, rest = x[:, s:e][:, free[s:e]], np.flatnonzero(~free[s:e]) + s
+            if not len(rest) or not data.shape[1]:
+                continue
+            best = None
+            for r in np.unique(of[rest]):
+                mine = rest[of[rest] == r]
+                c = _lloyd(data, x[:, mine].T, max_rounds, tolerance)
+                score = np.sqrt(_nearest(data, c)[1]).sum() if runs else 0.0
+                if best is None or score < best[0]:
+                    best = (score, number[mine], c)
+            at += [s] * len(best[1])
+            names.append(best[1])
+            centroids.append(best[2])
+        if not at:
+            return None
+        out = np.concatenate(centroids)
+        return pa.table([*[table.column(k).take(pa.array(at)) for k in keys], pa.array(np.concatenate(names), pa.int32()), *[pa.array(v) for v in out.T]], [*keys, "cluster", *columns])
+
+    # Rows before starts (nulls first), starts by number.
+    schema = extended(starts.select(*keys).schema, ", ".join(["cluster int", *[f"`{c}` double" for c in columns]]))
+    centroids = map_groups(both, keys, ["_run", "cluster"], settle, schema)
+    if any_large:
+        far = _rounds(rows.join(F.broadcast(large), keys, "left_semi"), starts.join(F.broadcast(large), keys, "left_semi"), columns, keys, max_rounds, tolerance, runs)
+        centroids = centroids.unionByName(far)
+    out = _assign(usable, cut_lineage(centroids), columns, keys)
     rest = df.filter(~F.coalesce(_finite(columns), F.lit(False))).withColumn("cluster", F.lit(None).cast("int"))
     return out.unionByName(rest)
 
 
+def _rounds(rows: DataFrame, starts: DataFrame, columns: Sequence[str], keys: list[str], max_rounds: int, tolerance: float, runs: bool) -> DataFrame:
+    """k_means for groups that no task should hold: (keys, cluster, columns). A round places the rows of the groups that haven't settled."""
+    own = [*keys, "_run"]
+    rows = rows.join(F.broadcast(starts.select(*own).distinct()), keys)
+    state = cut_lineage(starts.withColumn("_done", F.lit(False)))
+    for _ in range(max_rounds):
+        active = state.filter(~F.col("_done"))
+        sums = _assign(rows, active, columns, own).groupBy(*own, "cluster").agg(*[F.avg(c).alias(f"_a{i}") for i, c in enumerate(columns)])
+        shift = sum(((F.coalesce(f"_a{i}", F.lit(0.0)) - F.col(c)) ** 2 for i, c in enumerate(columns)), F.lit(0.0))
+        moved = active.join(sums, [*own, "cluster"], "left").withColumn("_done", F.sum(shift).over(Window.partitionBy(*own)) < tolerance**2)
+        moved = moved.select(*own, "cluster", *[F.coalesce(f"_a{i}", F.lit(0.0)).alias(c) for i, c in enumerate(columns)], "_done")
+        state = cut_lineage(moved.unionByName(state.filter("_done")))
+        if state.filter(~F.col("_done")).isEmpty():
+            break
+    if runs:
+        placed = _assign(rows, state, columns, own).join(F.broadcast(state.select(*own, "cluster", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)])), [*own, "cluster"])
+        d2 = sum(((F.col(c) - F.col(f"_c{i}")) ** 2 for i, c in enumerate(columns)), F.lit(0.0))
+        scores = placed.groupBy(*own).agg(F.sum(F.sqrt(d2)).alias("_score"))
+        state = state.join(scores.groupBy(*keys).agg(F.min(F.struct("_score", "_run"))["_run"].alias("_run")), own)
+    return state.select(*keys, "cluster", *columns)
+
+
 def _assign(df: DataFrame, centroids: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     packed = centroids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", F.array(*columns).alias("at")))).alias("_c"))
     joined = join_groups(df, F.broadcast(packed) if at_most(packed, 10_000) else packed, keys)

@@ -329,7 +329,14 @@ def v08(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     first = c.withColumn("cluster", F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1).filter("cluster < 4")
-    return algebra.k_means(c, XYZ, first.select("block", "cluster", *XYZ), ["block"], max_rounds=10).select("id", "cluster")
+    return algebra.k_means(c, XYZ, first.select("block", "cluster", *XYZ), ["block"]).select("id", "cluster")
+
+
+@R.add("v08_k_means_runs")
+def v08r(spark: SparkSession, d: str) -> DataFrame:
+    """Four clusters of each block, the best of ten random starts."""
+    c = cloud(spark, d).select("id", "block", *XYZ)
+    return algebra.k_means(c, XYZ, algebra.random_starts(c, XYZ, 4, ["block"]), ["block"]).select("id", "cluster")
 
 
 @R.add("v10_normals")
