@@ -399,35 +399,101 @@ def kalman(df: DataFrame, by: Sequence[str], order: str, value: str, process: fl
     return ordered_scan(ready, list(by), [order], step, ready.withColumns({"filtered": F.lit(0.0), "variance": F.lit(0.0)}).schema)
 
 
-def gaussian_process(train: DataFrame, query: DataFrame, keys: Sequence[str], x: str, y: str, length: float, signal: float, noise: float, max_train: int = 2000) -> DataFrame:
+def _halo(density: float, signal: float, noise: float, error: float) -> float:
+    """Kernel lengths beyond which a training row counts for less than error in a prediction, with up to density rows a length.
+
+    The weights of a Gaussian process on dense rows fall as exp(-c d / length), where c is the imaginary part of the pole of its equivalent kernel.
+    """
+    level = np.log(max(density, 1.0) * np.sqrt(2 * np.pi) * signal**2 / noise**2)
+    return float(np.log(1 / error) / np.sqrt(2 * level + 2j * np.pi).imag) + 9
+
+
+def gaussian_process(train: DataFrame, query: DataFrame, keys: Sequence[str], x: str, y: str, length: float, signal: float, noise: float, max_train: int = 2000, error: float = 1e-9) -> DataFrame:
     """(keys, x, mean, variance): Gaussian-process regression by group with a squared-exponential covariance.
 
-    A group's training rows are solved together, so a group of more than max_train is an error; cut longer series first. Queries of a group without
+    A group of up to max_train training rows is solved together. A longer one is cut into blocks of x with a halo on either side, so wide that the rows
+    left out have weights of about error at most relative to those at hand (_halo: by the densest kernel length of any such group, for rows as dense as
+    that all along; sparser rows weigh less far off). A block of more than max_train rows is reduced to moments of Fourier features, whose covariance differs by less than 1e-15 signal^2; a
+    block's rows are held in one task. Longer groups need a noise above 0. Queries of a group without
     training rows have mean 0 and variance signal^2. Rows with a null are left out.
     """
-    xs = train.dropna(subset=[*keys, x, y]).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.slice(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))), 1, max_train + 1).alias("_t"))
-    qs = query.dropna(subset=[*keys, x]).withColumn(x, F.col(x).cast("double"))
-    joined = qs.groupBy(*keys, F.pmod(F.xxhash64(x), F.lit(64)).alias("_salt")).agg(F.collect_list(x).alias("_q")).join(xs, list(keys), "left")
+    if not keys:
+        return gaussian_process(train.withColumn("_one", F.lit(1)), query.withColumn("_one", F.lit(1)), ["_one"], x, y, length, signal, noise, max_train, error).drop("_one")
+    keys = list(keys)
+    ts = train.dropna(subset=[*keys, x, y]).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    qs = query.dropna(subset=[*keys, x]).select(*keys, F.col(x).cast("double").alias(x))
     schema = extended(query.select(*keys).schema, f"`{x}` double, mean double, variance double")
+    large = cut_lineage(ts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_train).select(*keys))
+    any_large, few = not large.isEmpty(), at_most(large, 100_000)
+    pick = lambda d, how: d.join(F.broadcast(large) if few else large, keys, how) if any_large else d
+    xs = pick(ts, "left_anti").groupBy(*keys).agg(F.collect_list(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"))).alias("_t"))
+    joined = pick(qs, "left_anti").groupBy(*keys, F.pmod(F.xxhash64(x), F.lit(64)).alias("_salt")).agg(F.collect_list(x).alias("_q")).join(xs, keys, "left")
 
     def cover(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return signal**2 * np.exp(-0.5 * ((a[:, None] - b[None, :]) / length) ** 2)
 
+    def together(tx: np.ndarray, ty: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chol = np.linalg.cholesky(cover(tx, tx) + noise**2 * np.eye(len(tx)))
+        half = np.linalg.solve(chol, cover(q, tx).T)
+        return half.T @ np.linalg.solve(chol, ty), signal**2 - (half**2).sum(axis=0)
+
+    def by_moments(tx: np.ndarray, ty: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = min(tx.min(), q.min()), max(tx.max(), q.max())
+        period = (high - low) / length + 9
+        w = 2 * np.pi / period * np.arange(int(np.ceil(8.5 * period / (2 * np.pi))) + 1)
+        size = signal * np.sqrt(np.sqrt(2 * np.pi) / period * np.exp(-0.5 * w**2) * np.where(w > 0, 2, 1))
+
+        def features(v: np.ndarray) -> np.ndarray:
+            angle = (v[:, None] - low) / length * w
+            return np.hstack([np.cos(angle) * size, np.sin(angle[:, 1:]) * size[1:]])
+
+        products, sums = noise**2 * np.eye(2 * len(w) - 1), np.zeros(2 * len(w) - 1)
+        for i in range(0, len(tx), 4096):
+            f = features(tx[i : i + 4096])
+            products += f.T @ f
+            sums += f.T @ ty[i : i + 4096]
+        chol = np.linalg.cholesky(products)
+        weights = np.linalg.solve(chol.T, np.linalg.solve(chol, sums))
+        mean, var = np.empty(len(q)), np.empty(len(q))
+        for i in range(0, len(q), 4096):
+            f = features(q[i : i + 4096])
+            mean[i : i + 4096] = f @ weights
+            var[i : i + 4096] = noise**2 * (np.linalg.solve(chol, f.T) ** 2).sum(axis=0)
+        return mean, var
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 q = np.array(b.column("_q")[i].as_py(), dtype=float)
                 t = b.column("_t")[i].as_py() or []
-                if len(t) > max_train:
-                    raise ValueError(f"a group has more than {max_train} training rows")
                 mean, var = np.zeros(len(q)), np.full(len(q), signal**2)
                 if t:
-                    tx, ty = np.array([v["x"] for v in t]), np.array([v["y"] for v in t])
-                    chol = np.linalg.cholesky(cover(tx, tx) + noise**2 * np.eye(len(tx)))
-                    k = cover(q, tx)
-                    half = np.linalg.solve(chol, k.T)
-                    mean, var = half.T @ np.linalg.solve(chol, ty), var - (half**2).sum(axis=0)
+                    mean, var = together(np.array([v["x"] for v in t]), np.array([v["y"] for v in t]), q)
                 who = pa.array(np.full(len(q), i))
                 yield pa.record_batch([*[b.column(c).take(who) for c in keys], pa.array(q), pa.array(mean), pa.array(var)], [*keys, x, "mean", "variance"])
 
-    return joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(run, schema)
+    if not any_large:
+        return out
+    if not noise > 0:
+        raise ValueError(f"groups of more than {max_train} training rows need a noise above 0")
+    long_ts = pick(ts, "left_semi")
+    density = long_ts.groupBy(*keys, F.floor(F.col("_x") / length).alias("_at")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    halo = _halo(2.0 * density, signal, noise, error) * length
+    block = 2 * halo
+    copies = F.sequence(F.floor((F.col("_x") - halo) / block), F.floor((F.col("_x") + halo) / block))
+    asked = pick(qs, "left_semi").select(*keys, F.floor(F.col(x) / block).alias("_block"), F.col(x).alias("_x"), F.lit(None).cast("double").alias("_y"))
+    both = long_ts.select(*keys, F.explode(copies).alias("_block"), "_x", "_y").unionByName(asked)
+
+    def blocks(table: pa.Table, begins: np.ndarray) -> pa.Table | None:
+        at, ask, values = table.column("_x").to_numpy(), table.column("_y").is_null().to_numpy(), table.column("_y").to_numpy()
+        mean, var = np.zeros(len(at)), np.full(len(at), signal**2)
+        for s, e in zip(begins, [*begins[1:], len(at)], strict=True):
+            q = np.flatnonzero(ask[s:e]) + s
+            t = np.flatnonzero(~ask[s:e]) + s
+            if len(q) and len(t):
+                mean[q], var[q] = (together if len(t) <= max_train else by_moments)(at[t], values[t], at[q])
+        kept = table.filter(pa.array(ask))
+        return pa.table([*[kept.column(c) for c in keys], kept.column("_x"), pa.array(mean[ask]), pa.array(var[ask])], [*keys, x, "mean", "variance"])
+
+    return out.unionByName(map_groups(both, [*keys, "_block"], [], blocks, schema))
