@@ -82,13 +82,16 @@ def plausible(t: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, r: Rul
         return np.ones(n, dtype=bool)
     first, last = np.concatenate([[0], cuts]), np.append(cuts, n) - 1
     keep = np.ones(n, dtype=bool)
+    begins = t[first]
     p = 0
     while p < len(first) - 1:
-        for q in range(p + 2, min(p + 8, len(first))):
-            if t[first[q]] - t[last[p]] < r.absence and joined(last[p], first[q]):
-                keep[first[p + 1] : first[q]] = False
-                p = q - 1
-                break
+        # However many displaced runs lie in between, as long as the absence is short.
+        back = first[p + 2 : np.searchsorted(begins, t[last[p]] + r.absence)]
+        home = np.flatnonzero(joined(last[p], back))
+        if len(home):
+            q = p + 2 + home[0]
+            keep[first[p + 1] : first[q]] = False
+            p = q - 1
         p += 1
     if last[0] < 3 and last[0] * 3 < n:
         keep[: last[0] + 1] = False
