@@ -28,7 +28,7 @@ def ssa_impute(series: np.ndarray, missing: np.ndarray, lengths: np.ndarray, win
 def ssa_settle(series: np.ndarray, missing: np.ndarray, lengths: np.ndarray, window: int, rank: int, rounds: int = ROUNDS, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Fill missing entries of many series at once (rows of series, each of its own length, the rest is padding); also whether each series settled.
 
-    Starts from linear interpolation. A series is settled when no filled value moves by more than tolerance times its deviation.
+    Starts from linear interpolation, which is left as it is with rank 0. A series is settled when no filled value moves by more than tolerance times its deviation.
     """
     b, n = series.shape
     out = series.copy()
@@ -49,7 +49,7 @@ def ssa_settle(series: np.ndarray, missing: np.ndarray, lengths: np.ndarray, win
     for i in range(window):
         shares[:, i : i + k] += columns
     shares = np.maximum(shares, 1)
-    active = np.flatnonzero(missing.any(axis=1) & (lengths >= window + 1))
+    active = np.flatnonzero(missing.any(axis=1) & (lengths >= window + 1) & (rank > 0))
     for _ in range(rounds):
         if not len(active):
             break
@@ -107,6 +107,7 @@ def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill
         for o in out_values:
             o.append(np.full(len(k), np.nan))
     lengths = slot[edges[wanted + 1] - 1] - slot[edges[wanted]] + 1
+    windows = np.minimum(window, lengths // 2)
     order = np.argsort(lengths, kind="stable")
     batch: list[int] = []
 
@@ -116,7 +117,7 @@ def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill
         segs = wanted[batch]
         size = lengths[batch]
         width = int(size.max())
-        w = max(2, min(window, int(size.min()) // 2))
+        w = windows[batch[0]]
         first = slot[edges[segs]]
         rows = np.concatenate([np.arange(edges[s], edges[s + 1]) for s in segs])
         who = np.repeat(np.arange(len(segs)), edges[segs + 1] - edges[segs])
@@ -130,12 +131,12 @@ def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill
         for o, v in zip(out_values, data, strict=True):
             grid = np.zeros((len(segs), width))
             grid[who, at] = v[rows]
-            filled, settled = ssa_settle(grid, missing, size, w, min(rank, w), rounds)
+            filled, settled = ssa_settle(grid, missing, size, max(w, 2), min(rank, w - 1) if w > 2 else 0, rounds)
             o.append(filled[g_who, g_at])
             out_mark[-1][~settled[g_who]] = 3
 
     for i in order:
-        if batch and (lengths[i] > 1.15 * lengths[batch[0]] + 8 or (len(batch) + 1) * lengths[i] > 40_000):
+        if batch and (windows[i] != windows[batch[0]] or lengths[i] > 1.15 * lengths[batch[0]] + 8 or (len(batch) + 1) * lengths[i] > 40_000):
             flush()
             batch = []
         batch.append(int(i))
@@ -154,6 +155,8 @@ def regular_grid(readings: DataFrame, step: int, *, source: str, moment: str, id
     gaps of up to max_fill slots they are imputed (mark filled, or unsettled if a value of theirs hasn't settled within rounds), in longer gaps
     their values are null (mark gap). Readings with a null
     source, moment or id are left out, and so are those with a null or NaN value; rows of one id count once. Empty tables give no rows.
+    A segment (slots without a longer gap) has a window of at most half its slots and a rank below the window, whatever else is in its batch. Segments of
+    fewer than 6 slots, too short for a window of 3, get linear interpolation, marked filled too.
     A source that is longer than a chunk is cut into chunks, with max_fill + 4 slots of either neighbour as context.
     """
     halo = max(max_fill + 4, window)
