@@ -298,6 +298,12 @@ def v03(spark: SparkSession, d: str) -> DataFrame:
     return voxels.voxel_indices(cloud(spark, d), 5.0, origin=(-1000, -1000, -50), counts=(1000, 1000, 20), discard=True).select("id", "i0", "i1", "i2", "voxel")
 
 
+@R.add("v03_voxel_indices_all", f"with {CLOUD}, {cells_sql(5.0)} select id, i as i0, j as i1, k as i2 from e")
+def v03a(spark: SparkSession, d: str) -> DataFrame:
+    """Of every point, wherever it lies."""
+    return voxels.voxel_indices(cloud(spark, d), 5.0).select("id", "i0", "i1", "i2")
+
+
 @R.add("v04_centroids", f"with {CLOUD} select block, id % 4 as class, round(avg(x) + 1.3e-9, 6) as x, round(avg(y) + 1.3e-9, 6) as y, round(avg(z) + 1.3e-9, 6) as z, min(id) as id, round(greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)), 6) as size from cloud group by 1, 2")
 def v04(spark: SparkSession, d: str) -> DataFrame:
     c = cloud(spark, d).withColumn("class", F.col("id") % 4).drop("scalar")
