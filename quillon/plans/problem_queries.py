@@ -1,4 +1,4 @@
-"""Queries p1 to p5 over the whole test tables, and the SQL they are held against."""
+"""Queries p1, p2, p3 and p5 over the whole test tables, and the SQL they are held against."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.near import near_and_inside
-from quillon.operators.nearest_time import nearest_in_time
 from quillon.operators.regular_grid import READING, regular_grid
 from quillon.operators.spikes import flag_readings
 from quillon.operators.trips import stops_and_trips
@@ -17,7 +16,6 @@ from quillon.sources.messages import positioned, table, timed
 
 NEAR_M = 0.25
 STEP_US = 10_000_000
-TOLERANCE_US = 400_000
 #: Fields of problem 5, numbered by place.
 FIELDS = [("mavlink_gps2_raw_t", "alt"), ("mavlink_gps2_raw_t", "eph"), ("mavlink_optical_flow_t", "ground_distance"), ("mavlink_adap_tuning_t", "error")]
 
@@ -54,19 +52,6 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_trips(spark, d).filter("kind = 'stop'").select("boot_id", minute("start").alias("start_minute"), minute("end").alias("end_minute")).distinct()
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each optical_flow message with the nearest attitude_target and gps2_raw messages of its boot, up to 400 ms away."""
-    boots = table(spark, d, "mavlink_boots")
-    head = ["rec_id", "boot_id"]
-    flow = timed(table(spark, d, "mavlink_optical_flow_t").select(*head, "time_usec"), boots)
-    attitude = timed(table(spark, d, "mavlink_attitude_target_t").select(*head, "time_boot_ms"), boots, "time_boot_ms", milliseconds_from_boot=True)
-    gps = timed(table(spark, d, "mavlink_gps2_raw_t").select(*head, "time_usec"), boots)
-    as_kind = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("boot_id").alias("entity"), "moment", F.col("rec_id").alias("id"))
-    right = as_kind(attitude, "attitude_target").unionByName(as_kind(gps, "gps2_raw"))
-    paired = nearest_in_time(as_kind(flow, "flow").drop("kind"), right, TOLERANCE_US)
-    return paired.select(F.col("left_id").alias("flow_id"), F.col("kind").alias("other"), F.col("right_id").alias("other_id"))
-
-
 def _series(number: int, sub: Column) -> Column:
     """One bigint for (field, boot, sensor or axis): boot_id below 2^45, sub a smallint."""
     return (F.col("boot_id") * 2**18 + (F.coalesce(sub.cast("long"), F.lit(-32768)) + 32768) * 4 + number).alias("series")
@@ -101,7 +86,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p2_grid, p2_found, p3_trips, p3_found, p4_found, p5_flags, p5_found)}
+    return {q.__name__: q for q in (p1_found, p2_grid, p2_found, p3_trips, p3_found, p5_flags, p5_found)}
 
 
 P1_SQL = """
@@ -138,16 +123,5 @@ spans as (select boot_id, min(slot) a, max(slot) b from slots group by 1)
 select boot_id, slot from (select boot_id, unnest(range(a, b + 1)) as slot from spans) except select boot_id, slot from slots
 """
 
-P4_SQL = f"""
-with {MESSAGES_SQL},
-flow as (select distinct rec_id, boot_id, time_usec as moment from mavlink_optical_flow_t join mavlink_boots using (boot_id) where time_usec <> 0 and time_usec between boot_usec and off_usec),
-attitude as (select distinct rec_id, boot_id, boot_usec + 1000 * time_boot_ms as moment from mavlink_attitude_target_t join mavlink_boots using (boot_id) where boot_usec + 1000 * time_boot_ms between boot_usec and off_usec),
-other as (select 'attitude_target' as other, boot_id, moment, rec_id from attitude union all select 'gps2_raw', boot_id, moment, rec_id from gps)
-select f.rec_id as flow_id, other, arg_min(o.rec_id, abs(o.moment - f.moment)) as other_id
-from flow f join other o on f.boot_id = o.boot_id and o.moment between f.moment - 400000 and f.moment + 400000
-group by 1, 2
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL}
