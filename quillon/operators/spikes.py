@@ -1,8 +1,9 @@
 """Implausible readings: impossible values, stuck values and spikes, each against its own series.
 
-Method: Hampel filter (rolling median, median absolute deviation of neighbouring readings) for spikes, run lengths for stuck values,
-physical bounds for impossible ones. Series are cut into blocks of rows with a halo, so that a hot series is shared out; every window and
-every run that decides about a row lies within the halo.
+Method: Hampel filter for spikes, run lengths for stuck values, physical bounds for impossible ones. The filter's level is the rolling median of
+15 readings, its scatter 1.4826 times the median absolute deviation of 113 readings about their rolling medians; both windows end where the
+series does. Impossible and stuck readings say nothing about a series' usual scatter, so the filter leaves them out. Series are cut into blocks of
+rows with a halo, so that a hot series is shared out.
 """
 
 from __future__ import annotations
@@ -16,19 +17,34 @@ from quillon.plans.partitioning import map_groups, row_blocks
 
 IMPOSSIBLE, STUCK, SPIKE = 1, 2, 4
 #: Readings to either side of which the median is the level, and over which the scatter is taken.
-LEVEL_HALF, SCATTER_HALF, SCATTER_STEP = 7, 56, 16
-HALO = 96
-#: Estimated scatters of a few dozen readings are up to a tenth off, so a departure of ten true ones is asked for as nine estimated ones.
-ALLOWANCE = 0.9
-
-
-def _windows(n: int, centres: np.ndarray, half: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Positions around each centre, reflected at the ends of its group."""
-    at = centres[:, None] + np.arange(-half, half + 1)
-    lo, hi = first[:, None], end[:, None] - 1
-    at = np.where(at < lo, 2 * lo - at, at)
-    at = np.where(at > hi, 2 * hi - at, at)
-    return np.clip(at, lo, hi)
+LEVEL_HALF, SCATTER_HALF = 7, 56
+#: Standard deviation of a normal distribution in median absolute deviations.
+SIGMA = 1.4826
+#: Rows beside a block: what both windows reach, and as much again for readings that they leave out.
+HALO = 4 * (LEVEL_HALF + SCATTER_HALF)
+
+
+def rolling_median(values: np.ndarray, starts: np.ndarray, half: int, step: int = 20_000) -> np.ndarray:
+    """Median of the 2 half + 1 values about each, of fewer at the ends of its group; groups begin at starts."""
+    n, width = len(values), 2 * half + 1
+    out = np.empty(n)
+    if n >= width:
+        windows = np.lib.stride_tricks.sliding_window_view(values, width)
+        for s in range(0, len(windows), step):
+            out[half + s : half + s + len(windows[s : s + step])] = np.partition(windows[s : s + step], half, axis=1)[:, half]
+    ends = np.append(starts[1:], n)
+    sizes = ends - starts
+    at = np.arange(n)
+    first, end = np.repeat(starts, sizes), np.repeat(ends, sizes)
+    edge = np.flatnonzero((at - first < half) | (end - at <= half))
+    for s in range(0, len(edge), step):
+        e = edge[s : s + step]
+        j = e[:, None] + np.arange(-half, half + 1)
+        have = (j >= first[e][:, None]) & (j < end[e][:, None])
+        w = np.sort(np.where(have, values[np.clip(j, 0, n - 1)], np.inf), axis=1)
+        k, rows = have.sum(axis=1), np.arange(len(e))
+        out[e] = (w[rows, (k - 1) // 2] + w[rows, k // 2]) / 2
+    return out
 
 
 def find_spikes(values: np.ndarray, starts: np.ndarray, times: float, longest: int) -> np.ndarray:
@@ -37,22 +53,10 @@ def find_spikes(values: np.ndarray, starts: np.ndarray, times: float, longest: i
     if not n:
         return np.zeros(0, dtype=np.int64)
     ends = np.append(starts[1:], n)
-    sizes = ends - starts
-    group = np.repeat(np.arange(len(starts)), sizes)
-    level = np.median(values[_windows(n, np.arange(n), LEVEL_HALF, starts[group], ends[group])], axis=1)
-    step = np.abs(np.diff(values, prepend=values[0]))
-    step[starts] = 0
-    posts = np.concatenate([np.arange(s, e, SCATTER_STEP) for s, e in zip(starts, ends, strict=True)])
-    near = step[_windows(n, posts, SCATTER_HALF, starts[group[posts]], ends[group[posts]])]
-    near[near == 0] = np.nan  # stuck values have no scatter of their own
-    near.sort(axis=1)  # NaN goes last
-    have = (~np.isnan(near)).sum(axis=1)
-    middle = np.maximum(have - 1, 0)
-    rows = np.arange(len(posts))
-    scatter = np.where(have > 0, (near[rows, middle // 2] + near[rows, (middle + 1) // 2]) / 2, np.inf) / 0.6745 / np.sqrt(2)
-    post = np.clip(np.searchsorted(posts, np.arange(n), "right") - 1, 0, len(posts) - 1)
-    limit = times * ALLOWANCE * scatter[post]
-    odd = np.abs(values - level) > limit
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    away = np.abs(values - rolling_median(values, starts, LEVEL_HALF))
+    limit = times * SIGMA * rolling_median(away, starts, SCATTER_HALF)
+    odd = away > limit
     hits = np.flatnonzero(odd)
     if not len(hits):
         return hits
@@ -69,7 +73,7 @@ def find_spikes(values: np.ndarray, starts: np.ndarray, times: float, longest: i
         before, after = before[before >= starts[g]], after[after < ends[g]]
         if len(before) and len(after):
             x = values[a : b + 1]
-            if (np.abs(x - np.median(values[before])) > limit[a]).all() and (np.abs(x - np.median(values[after])) > limit[a]).all():
+            if (np.abs(x - np.median(values[before])) > limit[a : b + 1]).all() and (np.abs(x - np.median(values[after])) > limit[a : b + 1]).all():
                 out.append(np.arange(a, b + 1))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
@@ -87,9 +91,10 @@ def stuck_runs(values: np.ndarray, starts: np.ndarray, shortest: int) -> np.ndar
 def _flag_batch(table: pa.Table, starts: np.ndarray, times: float, longest: int, shortest: int) -> pa.Table:
     values = table.column("value").to_numpy(zero_copy_only=False).astype(float)
     impossible = table.column("impossible").to_numpy(zero_copy_only=False)
-    flags = np.where(impossible, IMPOSSIBLE, 0) | np.where(stuck_runs(values, starts, shortest), STUCK, 0)
+    stuck = stuck_runs(values, starts, shortest)
+    flags = np.where(impossible, IMPOSSIBLE, 0) | np.where(stuck, STUCK, 0)
     group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values))))
-    keep = np.flatnonzero(~impossible & np.isfinite(values))
+    keep = np.flatnonzero(~impossible & ~stuck & np.isfinite(values))
     _, first = np.unique(group[keep], return_index=True)
     flags[keep[find_spikes(values[keep], first, times, longest)]] |= SPIKE
     hit = pa.array((flags > 0) & table.column("_own").to_numpy(zero_copy_only=False))
@@ -100,8 +105,9 @@ def flag_readings(readings: DataFrame, chunk: Column, *, times: float = 10.0, lo
     """Flag readings(series bigint, ord bigint, id bigint, value double, impossible boolean): (series, id, flags), flagged rows only.
 
     flags is a sum of IMPOSSIBLE (as given), STUCK (in a run of at least shortest equal values) and SPIKE (at most longest readings in a
-    row that are times the scatter away from the level before and the level after; a lasting change of level is none, nor is what begins
-    or ends a series). Impossible and infinite values count for runs, not for levels. Rows with a null in series, ord, id or value, or NaN,
+    row that are more than times the scatter away from their rolling median, and from the medians of the seven other readings before and after; a
+    lasting change of level is none, nor is what begins or ends a series). Impossible, infinite and stuck values count for runs, but for no level and no
+    scatter; next to a border of blocks, windows see up to HALO rows beyond it. Rows with a null in series, ord, id or value, or NaN,
     must have been left out, and repeated rows dropped; readings at one ord are taken by id. chunk is a coarse part of ord (row_blocks).
     """
     placed = row_blocks(readings, ["series"], [F.col("ord"), F.col("id")], chunk, block, HALO).select("series", "_block", "_row", "_own", "id", "value", "impossible")
