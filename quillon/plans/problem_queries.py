@@ -123,5 +123,33 @@ spans as (select boot_id, min(slot) a, max(slot) b from slots group by 1)
 select boot_id, slot from (select boot_id, unnest(range(a, b + 1)) as slot from spans) except select boot_id, slot from slots
 """
 
+P5_SQL = f"""
+with {MESSAGES_SQL},
+flow as (select distinct on (m.rec_id) m.*, time_usec as moment from mavlink_optical_flow_t m join mavlink_boots using (boot_id) where time_usec <> 0 and time_usec between boot_usec and off_usec),
+tuning as (select distinct on (rec_id) * from mavlink_adap_tuning_t where msg_seq is not null and boot_id is not null),
+raw as (select 'mavlink_gps2_raw_t' as table_name, 'alt' as field, boot_id, 0 as sub, moment as ord, rec_id, cast(alt as double) as value from gps where fix_type >= 2
+        union all select 'mavlink_gps2_raw_t', 'eph', boot_id, 0, moment, rec_id, eph from gps where eph <> 65535
+        union all select 'mavlink_optical_flow_t', 'ground_distance', boot_id, sensor_id, moment, rec_id, ground_distance from flow where ground_distance >= 0
+        union all select 'mavlink_adap_tuning_t', 'error', boot_id, axis, msg_seq, rec_id, error from tuning),
+readings as (select r.*, row_number() over w as n, value is distinct from lag(value) over w as fresh, value < lowest or value > highest or isinf(value) as impossible
+             from raw r join reading_limits using (table_name, field) where value is not null and not isnan(value) window w as (partition by table_name, field, boot_id, sub order by ord, rec_id)),
+runs as (select *, sum(fresh::int) over (partition by table_name, field, boot_id, sub order by n) as run from readings),
+marked as (select *, count(*) over (partition by table_name, field, boot_id, sub, run) >= 10 as stuck from runs),
+good as (select table_name, field, boot_id, sub, rec_id, value, row_number() over (partition by table_name, field, boot_id, sub order by n) as n from marked where not stuck and not impossible),
+leveled as (select *, abs(value - median(value) over (partition by table_name, field, boot_id, sub order by n rows between 7 preceding and 7 following)) as away from good),
+scattered as (select *, 10 * 1.4826 * median(away) over (partition by table_name, field, boot_id, sub order by n rows between 56 preceding and 56 following) as most from leveled),
+judged as (select *, away > most as odd, n - row_number() over (partition by table_name, field, boot_id, sub, away > most order by n) as island from scattered),
+plain as (select *, median(value) over (partition by table_name, field, boot_id, sub order by n rows between 6 preceding and current row) as behind,
+          median(value) over (partition by table_name, field, boot_id, sub order by n rows between current row and 6 following) as ahead from judged where not odd),
+placed as (select j.*, last_value(p.behind ignore nulls) over (partition by j.table_name, j.field, j.boot_id, j.sub order by j.n rows between unbounded preceding and current row) as behind,
+           first_value(p.ahead ignore nulls) over (partition by j.table_name, j.field, j.boot_id, j.sub order by j.n rows between current row and unbounded following) as ahead
+           from judged j left join plain p using (table_name, field, rec_id)),
+spikes as (select table_name, field, rec_id, count(*) over w <= 3 and bool_and(coalesce(abs(value - behind) > most and abs(value - ahead) > most, false)) over w as spike
+           from placed where odd window w as (partition by table_name, field, boot_id, sub, island)),
+flagged as (select table_name, field, rec_id, impossible::int + 2 * stuck::int + 4 * coalesce(spike, false)::int as flags from marked left join spikes using (table_name, field, rec_id))
+select table_name, field, rec_id, cast(flags as integer) as flags from flagged where flags > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": P2_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p5_flags": P5_SQL, "p5_found": f"select table_name, field, rec_id from ({P5_SQL})"}
