@@ -35,9 +35,19 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
 
+def _packed(spark: SparkSession, d: str, **limits: float) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return pack_items(count_tokens(documents), table(spark, d, "containers"), loss="n_prose", n_items=documents.count(), **limits)
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
-    """Every document in containers of each kind."""
-    return pack_items(count_tokens(table(spark, d, "documents")), table(spark, d, "containers"))
+    """Every document in containers of each kind, of which tokens and segments are limited; its tokens in lines of prose bear loss, up to all of a container."""
+    return _packed(spark, d)
+
+
+def p7_instruction(spark: SparkSession, d: str) -> DataFrame:
+    """The same under narrow limits, as for instruction data: loss on at most three quarters of a container, a segment for each 128 tokens of it."""
+    return _packed(spark, d, loss_share=0.75, segment_tokens=128)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +61,7 @@ def p8_replaced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p4_found, p6_ids, p7_packed, p8_found, p8_replaced)}
+    return {q.__name__: q for q in (p4_found, p6_ids, p7_packed, p7_instruction, p8_found, p8_replaced)}
 
 
 P4_SQL = """

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Where the public vocabularies lie; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k"
+#: Fixed value: the public pattern that splits text before the merges of byte-level rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters up to which a text is encoded in one piece.
 LEAF = 8192
 #: Places before which a piece of the pattern always ends: after a visible ASCII character before a blank or line end, after a CJK stop before a letter.
@@ -31,7 +33,7 @@ SAFE = re.compile(r"[!-~](?=[ \n])|[。、](?=[^\W_])")
 class Tokenizer:
     """A byte-level BPE vocabulary in rank form."""
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, name: str, pattern: str | None = None):
         import tiktoken
 
         ranks = {}
@@ -42,9 +44,7 @@ class Tokenizer:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.sizes = np.array([len(t) for t in self.bytes_of])
-        scope: dict = {}
-        exec(Path(folder, "__init__.py").read_text(), scope)  # noqa: S102  the pattern stands beside the vocabularies
-        self._encoding = tiktoken.Encoding(name, pat_str=scope["PATTERN"], mergeable_ranks=ranks, special_tokens={})
+        self._encoding = tiktoken.Encoding(name, pat_str=PATTERN if pattern is None else pattern, mergeable_ranks=ranks, special_tokens={})
         self._core = self._encoding._core_bpe
 
     def leaf(self, text: str) -> np.ndarray:
@@ -123,16 +123,37 @@ def encode_texts(df: DataFrame, id: str = "doc_id", text: str = "text", *, name:
     return df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id)
 
 
-def count_tokens(df: DataFrame, id: str = "doc_id", text: str = "text", *, name: str = BYTE_BPE_50K, folder: str = TOKENIZERS) -> DataFrame:
-    """(id, n_tokens): how many ids encode_texts would give; 0 for null and empty texts."""
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def prose_tokens(ids: np.ndarray, sizes: np.ndarray, text: str, share: float) -> int:
+    """How many ids begin in a line of prose: one in which at least this share of the visible bytes belongs to letters."""
+    if not len(ids):
+        return 0
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    line = np.cumsum(raw == 10)
+    visible, letters = np.bincount(line, raw > 32), np.bincount(line, LETTER[raw])
+    begins = np.cumsum(sizes[ids]) - sizes[ids]
+    return int((letters >= share * np.maximum(visible, 1))[line[begins]].sum())
+
+
+def count_tokens(df: DataFrame, id: str = "doc_id", text: str = "text", *, name: str = BYTE_BPE_50K, folder: str = TOKENIZERS, prose_share: float = 0.7) -> DataFrame:
+    """(id, n_tokens, n_prose): how many ids encode_texts would give, and how many of them begin in lines of prose; 0 for null and empty texts.
+
+    Lines of data, logs, commands and code have few letters among their visible signs; prose has at least prose_share (measured in bytes).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(folder, name)
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([len(t.encode(x)) for x in b.column(1).to_pylist()], pa.int64())], ["id", "n_tokens"])
+            texts = b.column(1).to_pylist()
+            ids = [t.encode(x) for x in texts]
+            prose = [prose_tokens(i, t.sizes, x, prose_share) for i, x in zip(ids, texts, strict=True)]
+            yield pa.record_batch([b.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(prose, pa.int64())], ["id", "n_tokens", "n_prose"])
 
     kind = df.select(F.col(id).alias("id")).schema["id"].dataType.simpleString()
-    return df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long").withColumnRenamed("id", id)
+    return df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, n_prose long").withColumnRenamed("id", id)
 
 
 def decode_ids(df: DataFrame, id: str = "doc_id", ids: str = "ids", *, name: str = BYTE_BPE_50K, folder: str = TOKENIZERS) -> DataFrame:
