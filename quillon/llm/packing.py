@@ -21,7 +21,7 @@ from quillon.plans.partitioning import at_most, map_groups
 
 SHARD_ITEMS = 40_000
 #: Tokens of capacity for each segment that a container may hold.
-SEGMENT_TOKENS = 16
+SEGMENT_TOKENS = 64
 PACKED = "container_kind string, container_id long, id long, part int, first_token long, n_tokens long"
 
 
