@@ -2,8 +2,10 @@
 
 Method: a device's pings, parted into sessions at gaps, are simplified by time-synchronised Douglas-Peucker; simplified segments of low
 speed become stops, the retained moving segments give trips and their distances. All sessions of a batch are simplified at once,
-level by level. A device's time is cut into long spans, so that a hot device is shared out; what touches the end of a span is
-joined afterwards, on the few rows of stops and trips.
+level by level. A device's time is cut into long spans, so that a hot device is shared out. A span also sees the pings of an hour to
+either side, and the first ping of each hour is retained, so that both sides of a cut see the same path there: what they find is clipped at the cut
+and joined again, on the few rows of stops and trips, with nothing lost or counted twice. A gap longer than that parts a device's pings into runs;
+the way across it is added as a leg.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from quillon.plans.partitioning import map_groups
 
 METRES_PER_DEGREE = 111_194.93
+HOUR = 3_600_000_000
 
 
 @dataclass(frozen=True)
@@ -33,11 +36,13 @@ class Rules:
     jump: float = 25.0
 
 
-def simplify(t: np.ndarray, x: np.ndarray, y: np.ndarray, starts: np.ndarray, error: float) -> np.ndarray:
-    """Which points time-synchronised Douglas-Peucker retains, for all paths (that begin at starts) together."""
+def simplify(t: np.ndarray, x: np.ndarray, y: np.ndarray, starts: np.ndarray, error: float, fixed: np.ndarray | None = None) -> np.ndarray:
+    """Which points time-synchronised Douglas-Peucker retains, for all paths (that begin at starts) together; fixed ones are retained anyway."""
     n = len(t)
     keep = np.zeros(n, dtype=bool)
     keep[starts] = True
+    if fixed is not None:
+        keep[fixed] = True
     keep[np.append(starts[1:], n) - 1] = True
     rank = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
     corners = np.flatnonzero(keep)
@@ -64,14 +69,17 @@ def simplify(t: np.ndarray, x: np.ndarray, y: np.ndarray, starts: np.ndarray, er
     return keep
 
 
-def plausible(t: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, r: Rules) -> np.ndarray:
-    """Which pings of one device remain when jumps away and back are left out."""
+def plausible(t: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, r: Rules, hour: np.ndarray | None = None) -> np.ndarray:
+    """Which pings of one device remain when jumps away and back are left out. An unknown speed is taken from the pings of its hour."""
     n = len(t)
     if n < 3:
         return np.ones(n, dtype=bool)
-    known = v[~np.isnan(v)]
-    usual = float(np.percentile(known, 90)) if len(known) else 15.0
-    speed = np.where(np.isnan(v), usual, v)
+    speed = v.copy()
+    unknown = np.isnan(v)
+    hour = np.zeros(n, dtype=np.int64) if hour is None else hour
+    for h in np.unique(hour[unknown]):
+        known = v[(hour == h) & ~unknown]
+        speed[unknown & (hour == h)] = np.percentile(known, 90) if len(known) else 15.0
 
     def joined(i: np.ndarray | int, j: np.ndarray | int) -> np.ndarray:
         return np.hypot(x[j] - x[i], y[j] - y[i]) <= r.jump + 2.5 * np.maximum(speed[i], speed[j]) * (t[j] - t[i])
@@ -169,83 +177,120 @@ def _bounds(t: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, o: list)
     return start, end
 
 
-PIECES = "source long, kind string, start long, end long, lat double, lon double, distance double, opens boolean, closes boolean"
+PIECES = "source long, kind string, start long, end long, lat double, lon double, distance double, cut_start boolean, cut_end boolean, opens boolean, closes boolean, from_lat double, from_lon double, to_lat double, to_lon double"
 
 
-def _pieces(table: pa.Table, starts: np.ndarray, r: Rules) -> pa.Table | None:
+def _apart(lat_a: np.ndarray, lon_a: np.ndarray, lat_b: np.ndarray, lon_b: np.ndarray) -> np.ndarray:
+    """Metres between near positions in degrees; longitude 180 is nothing special."""
+    across = ((lon_b - lon_a + 180) % 360 - 180) * np.cos(np.radians((lat_a + lat_b) / 2))
+    return np.hypot(lat_b - lat_a, across) * METRES_PER_DEGREE
+
+
+def _pieces(table: pa.Table, starts: np.ndarray, r: Rules, span: int) -> pa.Table | None:
+    """Stops and trips of each span, clipped to it; a run begins at each group and after each gap of more than an hour."""
     n = table.num_rows
-    source, moment = table.column("source").to_numpy(), table.column("moment").to_numpy()
+    source, moment, which = (table.column(c).to_numpy() for c in ("source", "moment", "span"))
     lat, lon, v = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lat", "lon", "speed"))
+    begins = np.zeros(n, dtype=bool)
+    begins[starts] = True
+    begins[1:] |= np.diff(moment) > HOUR
+    starts = np.flatnonzero(begins)
     ends = np.append(starts[1:], n)
     group = np.repeat(np.arange(len(starts)), ends - starts)
     t = (moment - moment[starts][group]) / 1e6
     y = (lat - lat[starts][group]) * METRES_PER_DEGREE
     x = ((lon - lon[starts][group] + 180) % 360 - 180) * METRES_PER_DEGREE * np.cos(np.radians(lat[starts]))[group]
-    keep = np.concatenate([plausible(t[s:e], x[s:e], y[s:e], v[s:e], r) for s, e in zip(starts, ends, strict=True)])
-    source, moment, lat, lon, v, t, x, y, group = (q[keep] for q in (source, moment, lat, lon, v, t, x, y, group))
+    hour = moment // HOUR
+    keep = np.concatenate([plausible(t[s:e], x[s:e], y[s:e], v[s:e], r, hour[s:e]) for s, e in zip(starts, ends, strict=True)])
+    source, moment, which, lat, lon, v, t, x, y, group, hour = (q[keep] for q in (source, moment, which, lat, lon, v, t, x, y, group, hour))
     if not len(t):
         return None
     new_group = np.concatenate([[True], group[1:] != group[:-1]])
     new_session = new_group.copy()
     new_session[1:] |= np.diff(t) > r.gap
+    new_hour = np.concatenate([[True], hour[1:] != hour[:-1]])
     session = np.cumsum(new_session) - 1
-    retained = simplify(t, x, y, np.flatnonzero(new_session), r.error)
+    retained = simplify(t, x, y, np.flatnonzero(new_session), r.error, np.flatnonzero(new_hour))
     first = np.flatnonzero(new_group)
-    corners = np.flatnonzero(retained)
-    leg = np.zeros(len(t))
-    leg[corners[1:]] = np.where(group[corners[1:]] == group[corners[:-1]], np.hypot(np.diff(x[corners]), np.diff(y[corners])), 0)
     rows: list[tuple] = []
     for s, e in zip(first, np.append(first[1:], len(t)), strict=True):
-        own = corners[np.searchsorted(corners, s) : np.searchsorted(corners, e)] - s
+        low, high = int(which[s]) * span, (int(which[s]) + 1) * span
+        if moment[e - 1] < low or moment[s] >= high:
+            continue  # a run that only the neighbouring span owns
         tt, xx, yy, vv = t[s:e], x[s:e], y[s:e], v[s:e]
-        so_far = np.cumsum(leg[s:e])
-        at, base = 0, int(moment[s]) - int(round(t[s] * 1e6))
+        own = np.flatnonzero(retained[s:e])
+        path = np.concatenate([[0], np.cumsum(_apart(lat[s:e][own[:-1]], lon[s:e][own[:-1]], lat[s:e][own[1:]], lon[s:e][own[1:]]))])
+        base = int(moment[s]) - int(round(tt[0] * 1e6))
+        way = lambda q: float(np.interp(q, tt[own], path))  # noqa: B023, E731
         stamp = lambda q: base + int(round(q * 1e6))  # noqa: B023, E731
-        here = 0.0
+        ends_of_run = float(lat[s]), float(lon[s]), float(lat[e - 1]), float(lon[e - 1])
+        starts_here, ends_here = moment[s] >= low, moment[e - 1] < high
+
+        def add(kind: str, begin: float, end: float, from_ping: float, to_ping: float, place: tuple) -> None:  # noqa: B023
+            a, b = stamp(begin), stamp(end)  # noqa: B023
+            if b < low or a >= high or (b == low and a < low):  # noqa: B023
+                return
+            far = 0.0 if kind == "stop" else (way((high - base) / 1e6) if b > high else way(to_ping)) - (way((low - base) / 1e6) if a < low else way(from_ping))  # noqa: B023
+            opens, closes = begin <= tt[0] and starts_here, end >= tt[-1] and ends_here  # noqa: B023
+            rows.append((int(source[s]), kind, max(a, low), min(b, high), *place, far, a < low, b > high, bool(opens), bool(closes), *ends_of_run))  # noqa: B023
+
+        at, here = tt[0], tt[0]
+        found: list[tuple[list, float, float]] = []
         for o in _rests(tt, xx, yy, own, session[s:e], r):
             begin, end = _bounds(tt, xx, yy, vv, o)
-            opens, closes = o[0] == 0, o[1] == len(tt) - 1
-            if end - begin < r.rest and not opens and not closes:
+            if end - begin < r.rest and o[0] != 0 and o[1] != len(tt) - 1:
                 continue
-            if begin > here or o[0] > at:
-                rows.append((int(source[s]), "trip", stamp(max(here, tt[0]) if at else tt[0]), stamp(begin), None, None, float(so_far[o[0]] - so_far[at]), at == 0, False))
+            if found and begin - found[-1][2] < r.absence and np.hypot(o[2] - found[-1][0][2], o[3] - found[-1][0][3]) <= r.place:
+                last, since, _ = found.pop()  # as it turns out, the device was away for less than it seemed
+                o, begin = [last[0], o[1], last[2], last[3]], since
+            found.append((o, begin, end))
+        for o, begin, end in found:
+            if begin > here or tt[o[0]] > at:
+                add("trip", here, begin, at, tt[o[0]], (None, None))
             k = s + o[0] + (o[1] - o[0]) // 2
             mid_lat = float(lat[k] + (o[3] - y[k]) / METRES_PER_DEGREE)
             mid_lon = float((lon[k] + (o[2] - x[k]) / (METRES_PER_DEGREE * max(np.cos(np.radians(lat[k])), 1e-6)) + 180) % 360 - 180)
-            rows.append((int(source[s]), "stop", stamp(begin), stamp(end), mid_lat, mid_lon, 0.0, opens, closes))
-            at, here = o[1], end
-        if at < len(tt) - 1:
-            rows.append((int(source[s]), "trip", stamp(here if at else tt[0]), stamp(tt[-1]), None, None, float(so_far[-1] - so_far[at]), at == 0, True))
+            add("stop", begin, end, 0, 0, (mid_lat, mid_lon))
+            at, here = tt[o[1]], end
+        if at < tt[-1] or here == tt[0]:
+            add("trip", here, tt[-1], at, tt[-1], (None, None))
     if not rows:
         return None
     names = [f.split()[0] for f in PIECES.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 3, *[pa.bool_()] * 4, *[pa.float64()] * 4]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def stops_and_trips(pings: DataFrame, *, source: str, moment: str, id: str, lat: str, lon: str, speed: str, rules: Rules | None = None, span: int = 43_200_000_000) -> DataFrame:
+def stops_and_trips(pings: DataFrame, *, source: str, moment: str, id: str, lat: str, lon: str, speed: str, rules: Rules | None = None, span: int = 24 * HOUR) -> DataFrame:
     """(source, kind, start, end, lat, lon, distance): the stops and trips of each source in order; times in microseconds, metres.
 
     lat and lon are degrees, speed metres a second (null or NaN if unknown). Pings with a null in source, moment, id, lat or lon are left out;
-    pings of one id count once; one ping alone makes neither stop nor trip of any length. A stop is a rest of at least rules.rest seconds at one
+    pings of one id count once; one ping alone makes neither stop nor trip. A stop is a rest of at least rules.rest seconds at one
     place; short absences and gaps with the same place before and after belong to it. Whatever lies between stops is a trip. A source that
     begins or ends at rest has a stop from its first or to its last ping. lat and lon of a trip are null. Longitude 180 is nothing special.
-    Time is cut at each span microseconds; stops and trips that meet there are joined. Empty tables give no rows.
+    span, in microseconds, is a whole number of hours; results don't depend on it, but for the place of a stop (a median of what one span sees). Empty
+    tables give no rows.
     """
+    if span % HOUR or span <= 0:
+        raise ValueError("span must be a whole number of hours")
     r = rules or Rules()
     usable = pings.select(F.col(source).cast("long").alias("source"), F.col(moment).cast("long").alias("moment"), F.col(id).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), F.col(speed).cast("double").alias("speed"))
     usable = usable.filter(F.col("id").isNotNull() & F.col("source").isNotNull() & F.col("moment").isNotNull() & (F.abs("lat") <= 90) & (F.abs("lon") <= 360) & ~F.isnan("lat") & ~F.isnan("lon"))
-    once = usable.dropDuplicates(["source", "moment", "id"]).withColumn("span", F.floor(F.col("moment") / span))
-    pieces = map_groups(once.drop("id"), ["source", "span"], ["moment"], lambda t, s: _pieces(t, s, r), PIECES)
-    in_order = Window.partitionBy("source", "kind").orderBy("start", "end")
+    seen = F.sequence(F.floor((F.col("moment") - HOUR) / span), F.floor((F.col("moment") + HOUR) / span))
+    once = usable.dropDuplicates(["source", "moment", "id"]).withColumn("span", F.explode(seen))
+    pieces = map_groups(once, ["source", "span"], ["moment", "id"], lambda t, s: _pieces(t, s, r, span), PIECES)
+    in_order = Window.partitionBy("source").orderBy("start", "end", "kind")
     before = lambda c: F.lag(c).over(in_order)
-    apart = F.hypot((F.col("lat") - before("lat")) * METRES_PER_DEGREE, (F.pmod(F.col("lon") - before("lon") + 180, F.lit(360.0)) - 180) * METRES_PER_DEGREE * F.cos(F.radians("lat")))
-    goes_on = (F.col("kind") == "stop") & (apart <= r.place) & ((F.col("start") - before("end") < r.absence * 1e6) | (F.col("opens") & before("closes")))
-    numbered = pieces.withColumn("_go", F.coalesce(goes_on, F.lit(False))).withColumn("_stop", F.sum(F.when(F.col("_go"), 0).otherwise(1)).over(in_order))
-    stops = numbered.filter("kind = 'stop'").groupBy("source", "_stop").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("lat").alias("lat"), F.first("lon").alias("lon"))
+    metres = lambda a, b, c, d: F.hypot(F.col(c) - before(a), (F.pmod(F.col(d) - before(b) + 180, F.lit(360.0)) - 180) * F.cos(F.radians((F.col(c) + before(a)) / 2))) * METRES_PER_DEGREE
+    across = F.col("opens") & before("closes")
+    halves = (F.col("kind") == "stop") & (before("kind") == "stop") & ((F.col("cut_start") & before("cut_end") & (F.col("start") == before("end"))) | (across & (metres("lat", "lon", "lat", "lon") <= r.place)))
+    joined = pieces.withColumn("_go", F.coalesce(halves, F.lit(False))).withColumn("_leg", F.when(across & ~F.col("_go"), metres("to_lat", "to_lon", "from_lat", "from_lon"))).withColumn("_since", before("end"))
+    legs = joined.filter("_leg is not null").select("source", F.lit("trip").alias("kind"), F.col("_since").alias("start"), F.col("start").alias("end"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.col("_leg").alias("distance"))
+    numbered = joined.filter("kind = 'stop'").withColumn("_stop", F.sum(F.when(F.col("_go"), 0).otherwise(1)).over(Window.partitionBy("source").orderBy("start", "end")))
+    stops = numbered.groupBy("source", "_stop").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("lat", "start").alias("lat"), F.min_by("lon", "start").alias("lon"))
     stops = stops.filter(F.col("end") - F.col("start") >= r.rest * 1e6).select("source", F.lit("stop").alias("kind"), "start", "end", "lat", "lon", F.lit(0.0).alias("distance"))
-    moves = pieces.filter("kind = 'trip'").select("source", "kind", "start", "end", "lat", "lon", "distance")
-    both = stops.unionByName(moves)
-    stop_count = F.sum(F.when(F.col("kind") == "stop", 1).otherwise(0)).over(Window.partitionBy("source").orderBy("start", "end"))
-    leg = both.withColumn("_leg", stop_count)
-    return leg.groupBy("source", "_leg", "kind").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("lat").alias("lat"), F.max("lon").alias("lon"), F.sum("distance").alias("distance")).drop("_leg")
+    moves = joined.filter("kind = 'trip'").select("source", "kind", "start", "end", "lat", "lon", "distance")
+    both = stops.unionByName(moves).unionByName(legs)
+    stop_count = F.sum(F.when(F.col("kind") == "stop", 1).otherwise(0)).over(Window.partitionBy("source").orderBy("start", "end", "kind"))
+    whole = both.withColumn("_leg", stop_count).groupBy("source", "_leg", "kind").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("lat").alias("lat"), F.max("lon").alias("lon"), F.sum("distance").alias("distance")).drop("_leg")
+    return whole.filter("end > start")
