@@ -1,7 +1,7 @@
 """Irregular readings onto a regular grid, with gaps imputed by iterative singular-spectrum analysis.
 
-Method: readings are averaged by slot before any series is gathered. Series are bucketed: chunks of slots with a halo of neighbours, many
-chunks to a batch. In a batch, runs of slots without a long gap are embedded as Hankel trajectories; their leading
+Method: readings are averaged by slot before any series is gathered. Series are bucketed: the gaps of a bucket of slots are filled from that bucket and
+as many slots on either side, whatever else lies in a task. In these, runs of slots without a long gap are embedded as Hankel trajectories; their leading
 singular vectors give a reconstruction that replaces the missing entries, again and again until they settle. Filled slots are
 marked, gaps too long to fill are marked and stay empty. Should a series not settle within ROUNDS, its slots are marked unsettled.
 """
@@ -71,7 +71,7 @@ def ssa_settle(series: np.ndarray, missing: np.ndarray, lengths: np.ndarray, win
     return out + mean[:, None], settled
 
 
-def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill: int, window: int, rank: int, rounds: int) -> pa.Table:
+def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill: int, window: int, rank: int, rounds: int, bucket: int, reach: int) -> pa.Table:
     n = table.num_rows
     source, slot = table.column("source").to_numpy(), table.column("slot").to_numpy()
     own, readings = table.column("own").to_numpy(zero_copy_only=False), table.column("n").to_numpy()
@@ -86,7 +86,15 @@ def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill
     segment = np.concatenate([[0], np.cumsum(last | long_gap)[:-1]])
     edges = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [n]])
     fill_here = own & (gap > 0) & ~long_gap
-    wanted = np.unique(segment[fill_here])
+    of = slot // bucket
+    at_gap = np.flatnonzero(fill_here)
+    at_gap = at_gap[np.concatenate([[True], (np.diff(segment[at_gap]) != 0) | (np.diff(of[at_gap]) != 0)])] if len(at_gap) else at_gap
+    wanted = np.arange(len(at_gap))  # the parts of segments in which a bucket's gaps are filled: rows from low to high
+    low, high = edges[segment[at_gap]].copy(), edges[segment[at_gap] + 1].copy()
+    for i, row in enumerate(at_gap):
+        here = slot[low[i] : high[i]]
+        a, b = np.searchsorted(here, (of[row] * bucket - reach, (of[row] + 1) * bucket + reach))
+        low[i], high[i] = low[i] + a, low[i] + b
     out_source, out_slot, out_mark, out_n = [source[own]], [slot[own]], [np.zeros(int(own.sum()), np.int8)], [readings[own]]
     out_values = [[v[own]] for v in data]
 
@@ -106,7 +114,7 @@ def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill
         k = emit(marked, 2)
         for o in out_values:
             o.append(np.full(len(k), np.nan))
-    lengths = slot[edges[wanted + 1] - 1] - slot[edges[wanted]] + 1
+    lengths = slot[high - 1] - slot[low] + 1
     windows = np.minimum(window, lengths // 2)
     order = np.argsort(lengths, kind="stable")
     batch: list[int] = []
@@ -115,16 +123,16 @@ def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill
         if not batch:
             return
         segs = wanted[batch]
-        size = lengths[batch]
+        size = lengths[segs]
         width = int(size.max())
         w = windows[batch[0]]
-        first = slot[edges[segs]]
-        rows = np.concatenate([np.arange(edges[s], edges[s + 1]) for s in segs])
-        who = np.repeat(np.arange(len(segs)), edges[segs + 1] - edges[segs])
+        first = slot[low[segs]]
+        rows = np.concatenate([np.arange(low[s], high[s]) for s in segs])
+        who = np.repeat(np.arange(len(segs)), high[segs] - low[segs])
         at = slot[rows] - first[who]
         missing = np.arange(width) < size[:, None]
         missing[who, at] = False
-        gaps = np.flatnonzero(fill_here[rows])
+        gaps = np.flatnonzero(fill_here[rows] & (of[rows] == of[at_gap[segs]][who]))
         k = emit(rows[gaps], 1)
         g_who = who[gaps][k]
         g_at = out_slot[-1] - first[g_who]
@@ -148,7 +156,7 @@ def _fill_batch(table: pa.Table, starts: np.ndarray, values: list[str], max_fill
     return pa.table(columns, names=["source", "slot", *values, "n", "mark"])
 
 
-def regular_grid(readings: DataFrame, step: int, *, source: str, moment: str, id: str, values: list[str], max_fill: int = 60, window: int = 16, rank: int = 3, chunk: int = 1024, rounds: int = ROUNDS) -> DataFrame:
+def regular_grid(readings: DataFrame, step: int, *, source: str, moment: str, id: str, values: list[str], max_fill: int = 60, window: int = 16, rank: int = 3, bucket: int = 512, chunk: int = 8192, rounds: int = ROUNDS) -> DataFrame:
     """One row for each slot from a source's first reading to its last: (source, slot, values..., n, mark).
 
     slot is floor(moment / step); a slot with readings has their averages and number and the mark reading. Slots without one have n = 0: in
@@ -157,9 +165,12 @@ def regular_grid(readings: DataFrame, step: int, *, source: str, moment: str, id
     source, moment or id are left out, and so are those with a null or NaN value; rows of one id count once. Empty tables give no rows.
     A segment (slots without a longer gap) has a window of at most half its slots and a rank below the window, whatever else is in its batch. Segments of
     fewer than 6 slots, too short for a window of 3, get linear interpolation, marked filled too.
-    A source that is longer than a chunk is cut into chunks, with max_fill + 4 slots of either neighbour as context.
+    Gaps that begin in a bucket (slots of one floor(slot / bucket)) are filled from that bucket and bucket or max_fill + 4 slots, whichever is more, on
+    either side. chunk, a multiple of bucket, only says how a long source is cut into tasks; results don't depend on it.
     """
-    halo = max(max_fill + 4, window)
+    if chunk % bucket:
+        raise ValueError("chunk must be a multiple of bucket")
+    halo = max(max_fill + 4, window, bucket)
     usable = readings.select(F.col(source).cast("long").alias("source"), F.floor(F.col(moment) / step).alias("slot"), F.col(id).alias("id"), *[F.col(v).cast("double").alias(v) for v in values])
     usable = usable.dropna(subset=["source", "slot", "id", *values])
     once = usable.dropDuplicates(["source", "slot", "id"])
@@ -167,7 +178,7 @@ def regular_grid(readings: DataFrame, step: int, *, source: str, moment: str, id
     home = F.floor(F.col("slot") / chunk)
     spread = slots.withColumn("chunk", F.explode(F.sequence(F.floor((F.col("slot") - halo) / chunk), F.floor((F.col("slot") + halo) / chunk)))).withColumn("own", F.col("chunk") == home)
     schema = ", ".join(["source long", "slot long", *[f"{v} double" for v in values], "n long", "mark string"])
-    filled = map_groups(spread, ["source", "chunk"], ["slot"], lambda t, s: _fill_batch(t, s, values, max_fill, window, rank, rounds), schema)
+    filled = map_groups(spread, ["source", "chunk"], ["slot"], lambda t, s: _fill_batch(t, s, values, max_fill, window, rank, rounds, bucket, halo), schema)
     # Gaps that begin in one chunk and end beyond its halo; the chunks' ends are few. The structs hold all columns of slots, so that its shuffle serves both.
     cells = F.struct("slot", *values, "n")
     ends = slots.groupBy("source", home.alias("chunk")).agg(F.min(cells).alias("first"), F.max(cells).alias("last"))
