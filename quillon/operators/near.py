@@ -5,7 +5,8 @@ chords). A k-d tree fitted to a bounded sample splits space, with the group (poi
 a further axis. Each point goes to its leaf, and as a halo copy to each other leaf within the radius. In a leaf, a local k-d
 tree is searched by the radius, and a sweep along the first coordinate passes points under the edges of the polygons.
 
-The sample only balances the leaves; it decides no result. Every pair is found in exactly one leaf: the one that owns the
+The sample only balances the leaves; it decides no result. Where it is too small for the leaves that the points need, leaves that turn out too full are
+cut again at quantiles of all their points. Every pair is found in exactly one leaf: the one that owns the
 point with the smaller id.
 """
 
@@ -21,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6_371_008.8
-#: Sampled rows to which the splits are fitted, at most; a row takes 32 bytes on the driver.
+#: Sampled rows to which the splits are fitted, about, at most; a row takes 32 bytes on the driver. Sixteen of them make a leaf.
 SAMPLE_ROWS = 1_000_000
 #: Points in a leaf, about.
 LEAF_ROWS = 60_000
 BUCKET = 16
 HALO, HOME, REGION = 0, 1, 2
+AXES = ("grp", "x", "y", "z")
 
 ROUTED = "leaf int, what byte, id long, grp long, x double, y double, z double, payload binary"
 FOUND = "kind string, id_a long, id_b long"
@@ -75,6 +77,29 @@ class SplitTree:
         self.right[node] = self._grow(rows[~side], leaves - first, scale)
         return node
 
+    def subdivide(self, cuts: dict[int, tuple[int, list[float]]]) -> None:
+        """Cut leaves further: for each leaf an axis and the places to cut it at."""
+        node_of = {int(self.left[k]): k for k in np.flatnonzero(self.axis < 0)}
+        lists = [list(v) for v in (self.axis, self.split, self.left, self.right)]
+
+        def grow(node: int, axis: int, places: list[float], first_leaf: int | None) -> None:
+            if not places:
+                if first_leaf is None:
+                    first_leaf, self.leaves = self.leaves, self.leaves + 1
+                lists[0][node], lists[2][node] = -1, first_leaf
+                return
+            mid = len(places) // 2
+            sides = len(lists[0]), len(lists[0]) + 1
+            for v in lists:
+                v += [-1, -1]
+            lists[0][node], lists[1][node], lists[2][node], lists[3][node] = axis, places[mid], *sides
+            grow(sides[0], axis, places[:mid], first_leaf)
+            grow(sides[1], axis, places[mid + 1 :], None)
+
+        for leaf, (axis, places) in cuts.items():
+            grow(node_of[leaf], axis, sorted(set(places)), leaf)
+        self.axis, self.split, self.left, self.right = (np.array(v) for v in lists)
+
     def route(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for each leaf that the box low..high of a row touches."""
         rows, nodes = np.arange(len(low)), np.zeros(len(low), dtype=np.int64)
@@ -202,15 +227,50 @@ def chord(metres: float, sphere: float = EARTH_RADIUS_M) -> float:
 
 
 def fit_splits(points: DataFrame, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> SplitTree:
-    """Splits for points (id, grp, x, y, z) from a bounded sample of about sixteen rows or more for each leaf."""
+    """Splits for points (id, grp, x, y, z) from a sample over all of them; about sixteen rows or more of it for each leaf.
+
+    If that makes fewer leaves than the points need, the points are counted by leaf, and leaves with more than twice leaf_rows are cut at up to
+    fifteen quantiles, again and again until none is left (or only points that coincide).
+    """
     n = points.count()
-    leaves = max(1, min(math.ceil(n / leaf_rows), sample_rows // 16))
-    want = min(sample_rows, max(20_000, 64 * leaves))
-    if leaves == 1 or not n:
+    needed = max(1, math.ceil(n / leaf_rows))
+    leaves = max(1, min(needed, sample_rows // 16))
+    if needed == 1:
         return SplitTree(np.zeros((0, 4)), 1)
-    share = min(1.0, 1.1 * want / n)
-    got = points.select("grp", "x", "y", "z").sample(False, share, 7).limit(want).toArrow()
-    return SplitTree(np.column_stack([got.column(c).to_numpy().astype(float) for c in ("grp", "x", "y", "z")]), leaves)
+    want = min(sample_rows, max(20_000, 64 * leaves))
+    got = points.select("grp", "x", "y", "z").sample(False, min(1.0, want / n), 7).toArrow()
+    tree = SplitTree(np.column_stack([got.column(c).to_numpy().astype(float) for c in ("grp", "x", "y", "z")]), leaves)
+    while tree.leaves < needed:
+        cuts = _cuts(points, tree, leaf_rows)
+        if not cuts:
+            break
+        tree.subdivide(cuts)
+    return tree
+
+
+def _cuts(points: DataFrame, tree: SplitTree, leaf_rows: int) -> dict[int, tuple[int, list[float]]]:
+    """For each leaf with more than twice leaf_rows of all the points: an axis on which they differ, groups first, and quantiles on it."""
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in AXES])
+            i, leaf = tree.route(rows, rows)
+            yield pa.record_batch([pa.array(leaf.astype(np.int32)), *[pa.array(rows[i, k]) for k in range(4)]], ["leaf", *AXES])
+
+    shares = [k / 16 for k in range(1, 16)]
+    placed = points.select(*AXES).mapInArrow(home, "leaf int, grp double, x double, y double, z double")
+    stats = [f(c).alias(f"{c}_{name}") for c in AXES for name, f in (("low", F.min), ("high", F.max), ("at", lambda c: F.percentile_approx(c, shares, 1000)))]
+    out = {}
+    for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *stats).filter(F.col("n") > 2 * leaf_rows).toLocalIterator():
+        spread = [np.inf if c == "grp" and r["grp_high"] > r["grp_low"] else r[f"{c}_high"] - r[f"{c}_low"] if c != "grp" else 0 for c in AXES]
+        axis = int(np.argmax(spread))
+        step = max(1, 16 // math.ceil(r["n"] / leaf_rows))
+        places = [v for v in r[f"{AXES[axis]}_at"][step - 1 :: step] if v > r[f"{AXES[axis]}_low"]]
+        if not places and spread[axis] > 0:  # more than fifteen sixteenths have the least value
+            places = [r[f"{AXES[axis]}_high"]]
+        if places:
+            out[int(r["leaf"])] = axis, places
+    return out
 
 
 def _regions(rows: pa.Table) -> Iterator[tuple]:
