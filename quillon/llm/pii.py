@@ -54,10 +54,10 @@ AT_HOME = "|".join([
     rf"(?:\(0[1-9]\d{{1,3}}\)|0[1-9]\d{{1,3}}){S}\d{{5,6}}{S}\d{{2,4}}",
     rf"(?:\([2-9]\d\d\){S}|[2-9]\d\d{S})[2-9]\d\d{S}\d{{4}}",
 ])
-PHONES = re.compile(rf"{BEFORE}(?:(?:\+|00)(?:{ABROAD}|{OTHER_ABROAD})|{AT_HOME}){AFTER}")
+PHONES = re.compile(rf"(?=[+(\d]){BEFORE}(?:(?:\+|00)(?:{ABROAD}|{OTHER_ABROAD})|{AT_HOME}){AFTER}")
 #: Personal numbers by format: staff and pilot numbers, French social security, US, German and Australian tax, passports, Spanish identity.
 ID_NUMBERS = re.compile(
-    r"(?<![A-Za-z0-9_\-./+])(?<!\d[ \u00a0])(?:"
+    r"(?=[0-9A-Za-z])(?<![A-Za-z0-9_\-./+])(?<!\d[ \u00a0])(?:"
     r"(?:EMP|ARN|RPL|emp|arn|rpl|Emp|Arn|Rpl)-\d{4,8}"
     r"|[1-4][ \u00a0]\d\d[ \u00a0]\d\d[ \u00a0]\d\d[ \u00a0]\d{3}[ \u00a0]\d{3}[ \u00a0]\d\d"
     r"|9\d\d-\d\d-\d{4}|(?!000|666)\d{3}-(?!00)\d\d-(?!0000)\d{4}"
@@ -210,20 +210,21 @@ class Finder:
             if name:
                 (self.given if role == "given" else self.family).add(name.lower())
         self.automaton = ahocorasick.Automaton()
-        words: dict[str, tuple[str, int]] = {}
+        words: dict[str, tuple[str, int, int]] = {}  # kind, length, and signs after it that belong to the key only
+
+        def watch(kind: str, some: Iterable[str], ends: tuple[str, ...] = ("",)) -> None:
+            words.update({w + end: (kind, len(w), len(end)) for w in some for end in ends})
+
         for language, signs in STREET_SIGNS.items():
-            for w in signs:
-                words[w] = (language, len(w))
-        for w in ID_LABELS:
-            words[w] = ("label", len(w))
-        words["by"] = ("by", 2)
-        for kind, cues in (("said", SAID), ("verb", VERBS), ("verb", SIGNED), ("role", ROLES)):
-            words.update({w: (kind, len(w)) for w in cues})
-        for w in TITLES:
-            words[w.lower() + " "] = ("title", len(w) + 1)
-            words[w.lower() + ". "] = ("title", len(w) + 2)
-        for w in self.given | self.family:
-            words[w] = ("given" if w in self.given else "family", len(w))
+            watch(language, signs)
+        watch("label", ID_LABELS)
+        watch("by", ["by"], (" ", ":", "\u00a0"))
+        watch("said", SAID, (" ", ",", ":", "\n", "\u00a0"))
+        watch("verb", [*VERBS, *SIGNED], (" ", "\u00a0"))
+        watch("role", ROLES, (" ", ":", ",", "=", '"', "'", "\u00a0"))
+        watch("title", [w.lower() + end for w in TITLES for end in (" ", ". ")])
+        watch("family", self.family)
+        watch("given", self.given)
         for w, v in words.items():
             self.automaton.add_word(w, v)
         self.automaton.make_automaton()
@@ -249,7 +250,7 @@ class Finder:
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        hits = [(end + 1 - size, end + 1, kind) for end, (kind, size) in self.automaton.iter(low)]
+        hits = [(end + 1 - size - more, end + 1 - more, kind) for end, (kind, size, more) in self.automaton.iter(low)]
         if names is not None:
             self.given, self.family = ({n.lower() for n, role in names if (role == "given") == given} for given in (True, False))
             for w in self.given | self.family:
@@ -259,11 +260,14 @@ class Finder:
             for m in BORN.finditer(text):
                 taken.add(m.start(1), m.end(1), DATE)
         last = 0
+        labels = []
         for s, e, kind in hits:
-            if kind in STREET_SIGNS and s >= last:
+            if kind == "label":
+                labels.append(e)
+            elif kind in STREET_SIGNS and s >= last:
                 last = self._address(text, s, e, last, kind, taken)
-        for _, e, kind in hits:
-            if kind == "label" and (m := LABELLED.match(text, e)):
+        for e in labels:
+            if m := LABELLED.match(text, e):
                 taken.add(m.start(1), m.end(1), ID_NUMBER)
         for m in ID_NUMBERS.finditer(text):
             if not GROUPED.fullmatch(m.group()) or m.group()[0] == ("9" if len(m.group()) == 11 else "0") or valid(m.group()) and not COUNTED.search(text, _back(text, m.start(), 1), m.start()):
@@ -311,7 +315,7 @@ class Finder:
                     hits.append((e, e, "title"))
             elif kind in ("given", "family") and not (s and low[s - 1].isalnum() or e < len(low) and low[e].isalnum()):
                 hits.append((s, e, kind))
-        for m in ASK.finditer(text):
+        for m in ASK.finditer(text) if "ask" in low else ():
             words = re.split(r"[ \u00a0,]+", m.group(1))
             if len(words) > 1 and not any(self._common(w) for w in words if w.lower() not in PARTICLES) or words[0].lower() in self.family:
                 taken.add(*_trim_title(text, m.start(1), m.end(1)), NAME)
@@ -333,7 +337,7 @@ class Finder:
                 self._after_given(text, low, s, e, taken)
         for m in PAIR.finditer(text):
             self._pair(text, m.start(), taken)
-        for m in CYRILLIC_PAIR.finditer(text):
+        for m in () if text.isascii() else CYRILLIC_PAIR.finditer(text):
             c = CYRILLIC.match(text, m.start())
             if c and not _stops(c.group()) and (c.group()[1] == "." or not _begins(text, m.start()) or not CYRILLIC_PAIR.match(text, c.end() - 1)):
                 taken.add(c.start(), c.end(), NAME)
