@@ -284,13 +284,15 @@ def stops_and_trips(pings: DataFrame, *, source: str, moment: str, id: str, lat:
     metres = lambda a, b, c, d: F.hypot(F.col(c) - before(a), (F.pmod(F.col(d) - before(b) + 180, F.lit(360.0)) - 180) * F.cos(F.radians((F.col(c) + before(a)) / 2))) * METRES_PER_DEGREE
     across = F.col("opens") & before("closes")
     halves = (F.col("kind") == "stop") & (before("kind") == "stop") & ((F.col("cut_start") & before("cut_end") & (F.col("start") == before("end"))) | (across & (metres("lat", "lon", "lat", "lon") <= r.place)))
-    joined = pieces.withColumn("_go", F.coalesce(halves, F.lit(False))).withColumn("_leg", F.when(across & ~F.col("_go"), metres("to_lat", "to_lon", "from_lat", "from_lon"))).withColumn("_since", before("end"))
-    legs = joined.filter("_leg is not null").select("source", F.lit("trip").alias("kind"), F.col("_since").alias("start"), F.col("start").alias("end"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.col("_leg").alias("distance"))
-    numbered = joined.filter("kind = 'stop'").withColumn("_stop", F.sum(F.when(F.col("_go"), 0).otherwise(1)).over(Window.partitionBy("source").orderBy("start", "end")))
-    stops = numbered.groupBy("source", "_stop").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("lat", "start").alias("lat"), F.min_by("lon", "start").alias("lon"))
-    stops = stops.filter(F.col("end") - F.col("start") >= r.rest * 1e6).select("source", F.lit("stop").alias("kind"), "start", "end", "lat", "lon", F.lit(0.0).alias("distance"))
-    moves = joined.filter("kind = 'trip'").select("source", "kind", "start", "end", "lat", "lon", "distance")
-    both = stops.unionByName(moves).unionByName(legs)
-    stop_count = F.sum(F.when(F.col("kind") == "stop", 1).otherwise(0)).over(Window.partitionBy("source").orderBy("start", "end", "kind"))
-    whole = both.withColumn("_leg", stop_count).groupBy("source", "_leg", "kind").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("lat").alias("lat"), F.max("lon").alias("lon"), F.sum("distance").alias("distance")).drop("_leg")
-    return whole.filter("end > start")
+    joined = pieces.withColumn("_go", F.coalesce(halves, F.lit(False))).withColumn("_across", F.when(across & ~F.col("_go"), metres("to_lat", "to_lon", "from_lat", "from_lon"))).withColumn("_since", before("end"))
+    nth = lambda first: F.sum(F.when(first, 1).otherwise(0)).over(in_order)
+    numbered = joined.withColumn("_stop", nth((F.col("kind") == "stop") & ~F.col("_go")))
+    # A piece, and the leg that leads to it across a gap; that belongs to what follows the stop before.
+    own = F.struct("_stop", "kind", "start", "end", "lat", "lon", "distance")
+    none = F.lit(None).cast("double")
+    leg = F.struct((F.col("_stop") - F.when(F.col("kind") == "stop", 1).otherwise(0)).alias("_stop"), F.lit("trip").alias("kind"), F.col("_since").alias("start"), F.col("start").alias("end"), none.alias("lat"), none.alias("lon"), F.col("_across").alias("distance"))
+    rows = numbered.select("source", F.explode(F.when(F.col("_across").isNull(), F.array(own)).otherwise(F.array(own, leg))).alias("_r")).select("source", "_r.*")
+    merge = [F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("lat", "start").alias("lat"), F.min_by("lon", "start").alias("lon"), F.sum("distance").alias("distance")]
+    merged = rows.groupBy("source", "kind", "_stop").agg(*merge).withColumn("_long", (F.col("kind") == "stop") & (F.col("end") - F.col("start") >= r.rest * 1e6))
+    kept = merged.withColumn("_leg", nth(F.col("_long"))).filter((F.col("kind") == "trip") | F.col("_long"))
+    return kept.groupBy("source", "kind", "_leg").agg(*merge).drop("_leg").filter("end > start").select("source", "kind", "start", "end", "lat", "lon", "distance")
