@@ -66,6 +66,7 @@ def _fill(tokens: np.ndarray, loss: np.ndarray, limits: Limits, begun: np.ndarra
     t, most = sizes.astype(np.int64), np.array([b[-1] for b in bears], dtype=np.int64)
     out = np.empty(len(order), dtype=np.int64)
     container, todo = 0, len(order)
+    shorter = bool((loss <= tokens).all())  # then room for tokens is room for loss
     # Shares of both limits, times the squares of both: whole numbers, in which equal products are equal.
     scale_t, scale_v = limits.loss**2, limits.tokens**2
     if limits.tokens * limits.loss >= 2**31:
@@ -78,19 +79,23 @@ def _fill(tokens: np.ndarray, loss: np.ndarray, limits: Limits, begun: np.ndarra
             n = int(np.searchsorted(t, room_t, "right"))
             if not n:
                 break
+            most_of_all = int(most[:n].max()) if room_v < room_t or not shorter else 0
             w_t, w_v = room_t * scale_t, room_v * scale_v  # an item's one segment adds the same to each product
-            score = t[:n] * w_t + np.minimum(most[:n], room_v) * w_v
-            best = most[:n].copy()
-            while True:  # scores are bounds until the loss that fits is looked up
-                k = int(np.argmax(score))
-                if score[k] < 0 or best[k] <= room_v:
+            if room_v >= most_of_all:  # whatever fits by its tokens, fits by its loss
+                k, at = int(np.argmax(t[:n] * w_t + most[:n] * w_v)), -1
+            else:
+                score = t[:n] * w_t + np.minimum(most[:n], room_v) * w_v
+                best = most[:n].copy()
+                while True:  # scores are bounds until the loss that fits is looked up
+                    k = int(np.argmax(score))
+                    if score[k] < 0 or best[k] <= room_v:
+                        break
+                    at = bisect_right(bears[k], room_v) - 1
+                    best[k] = bears[k][at] if at >= 0 else 0
+                    score[k] = t[k] * w_t + best[k] * w_v if at >= 0 else -1
+                if score[k] < 0:
                     break
-                at = bisect_right(bears[k], room_v) - 1
-                best[k] = bears[k][at] if at >= 0 else 0
-                score[k] = t[k] * w_t + best[k] * w_v if at >= 0 else -1
-            if score[k] < 0:
-                break
-            at = bisect_right(bears[k], best[k]) - 1
+                at = bisect_right(bears[k], best[k]) - 1
             out[waiting[k].pop(at)] = container
             room_t, room_v, room_s = room_t - int(t[k]), room_v - int(bears[k].pop(at)), room_s - 1
             todo -= 1
