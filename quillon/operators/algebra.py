@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.spatial_join import RIGHT, _finite, pairs_within
 from quillon.operators.voxels import components
-from quillon.plans.partitioning import at_most, cut_lineage, extended, join_groups, map_groups, ordered_scan
+from quillon.plans.partitioning import at_most, cut_lineage, discard, extended, join_groups, map_groups, ordered_scan
 
 
 def _moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -215,7 +215,7 @@ def k_means(df: DataFrame, columns: Sequence[str], initial: DataFrame, keys: Seq
 def _rounds(rows: DataFrame, starts: DataFrame, columns: Sequence[str], keys: list[str], max_rounds: int, tolerance: float, runs: bool) -> DataFrame:
     """k_means for groups that no task should hold: (keys, cluster, columns). A round places the rows of the groups that haven't settled."""
     own = [*keys, "_run"]
-    rows = rows.join(F.broadcast(starts.select(*own).distinct()), keys)
+    rows = cut_lineage(rows.join(F.broadcast(starts.select(*own).distinct()), keys))
     state = cut_lineage(starts.withColumn("_done", F.lit(False)))
     for _ in range(max_rounds):
         active = state.filter(~F.col("_done"))
@@ -223,7 +223,8 @@ def _rounds(rows: DataFrame, starts: DataFrame, columns: Sequence[str], keys: li
         shift = sum(((F.coalesce(f"_a{i}", F.lit(0.0)) - F.col(c)) ** 2 for i, c in enumerate(columns)), F.lit(0.0))
         moved = active.join(sums, [*own, "cluster"], "left").withColumn("_done", F.sum(shift).over(Window.partitionBy(*own)) < tolerance**2)
         moved = moved.select(*own, "cluster", *[F.coalesce(f"_a{i}", F.lit(0.0)).alias(c) for i, c in enumerate(columns)], "_done")
-        state = cut_lineage(moved.unionByName(state.filter("_done")))
+        old, state = state, cut_lineage(moved.unionByName(state.filter("_done")))
+        discard(old)
         if state.filter(~F.col("_done")).isEmpty():
             break
     if runs:

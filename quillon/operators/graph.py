@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
-from quillon.plans.partitioning import cut_lineage
+from quillon.plans.partitioning import cut_lineage, discard
 
 
 def graph(edges: DataFrame, nodes: DataFrame | None = None, source: str = "source", target: str = "target", cost: str | None = None, axes: tuple[str, ...] | None = None, directed: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -44,10 +44,16 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_cost: float | None
         offers = reached.groupBy("origin", "id").agg(F.min(F.struct("cost", "parent")).alias("_o")).select("origin", "id", "_o.cost", "_o.parent")
         known = best.select("origin", "id", F.col("cost").alias("_old"), F.col("parent").alias("_by"))
         better = offers.join(known, ["origin", "id"], "left").filter(F.col("_old").isNull() | (F.col("cost") < F.col("_old")) | ((F.col("cost") == F.col("_old")) & F.col("_by").isNotNull() & (F.col("parent") < F.col("_by"))))
+        old = front
         front = cut_lineage(better.select("origin", "id", "cost", "parent"))
+        if old is not best:
+            discard(old)
         if front.isEmpty():
+            discard(front, edges)
             return best
+        old = best
         best = cut_lineage(best.join(front.select("origin", "id"), ["origin", "id"], "left_anti").unionByName(front))
+        discard(old)
     raise RuntimeError(f"no end after {max_rounds} rounds")
 
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
+from quillon.operators import voxels
 from quillon.operators.spatial_join import RIGHT, nearest_within, pairs_within, with_cells, with_neighbour_cells
-from quillon.plans.partitioning import cut_lineage
+from quillon.plans.partitioning import cut_lineage, discard
 
 XYZ = ("x", "y", "z")
 
@@ -87,7 +88,9 @@ def local_extrema(points: DataFrame, radius: float, scalar: str = "scalar", larg
         more = cut_lineage(more)
         if more.isEmpty():
             break
-        known = cut_lineage(known.unionByName(more))
+        old, known = known, cut_lineage(known.unionByName(more))
+        discard(old, more)
+    discard(links)
     places = points.select(F.col(id).alias("_ref"), *[F.col(a).alias(f"_{a}") for a in axes])
     out = points.join(known.withColumnRenamed(id, "_id"), points[id] == F.col("_id"), "left").join(places, "_ref", "left")
     d = V.distance([F.col(a) for a in axes], [F.col(f"_{a}") for a in axes])
@@ -163,7 +166,8 @@ def visit(points: DataFrame, seeds: DataFrame, resolution: float, radius: float
 
     A region goes on to points within resolution; not further than radius from the seed; within a cone of field_of_view about the seed's normal
     (absolute), or about the normal of the point it comes from; with same_id only to points of the seed's value in that column.
-    Each round is one join of the frontier with the neighbours; lineage is cut in the shared folder.
+    Without radius and cone, regions are the connected parts of the points. Else each round is one join of the frontier with the neighbours, and a row
+    is kept for each seed and point; lineage is cut in the shared folder.
     """
     more = list(dict.fromkeys([*(normals or ()), *([same_id] if same_id else [])]))
     links = _self_pairs(points, resolution, id, keys, axes, more, ids=("differ", id))
@@ -174,6 +178,12 @@ def visit(points: DataFrame, seeds: DataFrame, resolution: float, radius: float
         links = links.filter(F.col(same_id) == F.col(RIGHT + same_id))
     place = [f"_t{k}" for k in range(len(axes))]
     links = cut_lineage(links.select(F.col(id).alias("_from"), F.col(RIGHT + id).alias("_to"), *[F.col(RIGHT + a).alias(t) for a, t in zip(axes, place, strict=True)]))
+    if radius is None and (field_of_view is None or not normals):
+        # Every seed of a connected part reaches all of it, so its last seed is what counts.
+        part = voxels.components(points.select(F.col(id).alias("node")).filter("node is not null"), links.select(F.col("_from").alias("a"), F.col("_to").alias("b")))
+        last = seeds.select("seed", F.col(id).alias("node")).join(part, "node").groupBy("component").agg(F.max("seed").alias("visited_by"))
+        found = part.join(last, "component").select(F.col("node").alias("_at"), "visited_by")
+        return points.join(found, points[id] == found["_at"], "left").select(*[points[c] for c in points.columns], "visited_by")
     start = seeds.select("seed", id).join(points.select(id, *axes, *more), id)
     own = [f"_s{k}" for k in range(len(axes))]
     start = start.select("seed", F.col(id).alias("_at"), *[F.col(a).alias(s) for a, s in zip(axes, own, strict=True)], *[F.col(n).alias(f"_n{k}") for k, n in enumerate(normals or ())])
@@ -189,7 +199,9 @@ def visit(points: DataFrame, seeds: DataFrame, resolution: float, radius: float
         frontier = cut_lineage(reached.select(*state, "_at").dropDuplicates(["seed", "_at"]).join(seen.select("seed", "_at"), ["seed", "_at"], "left_anti").select(*seen.columns))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
+        old, seen = seen, cut_lineage(seen.unionByName(frontier))
+        discard(old)
+    discard(links)
     last = seen.groupBy("_at").agg(F.max("seed").alias("visited_by"))
     return points.join(last, points[id] == last["_at"], "left").select(*[points[c] for c in points.columns], "visited_by")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.spatial_join import _finite, cell, with_cells, with_neighbour_cells
-from quillon.plans.partitioning import cut_lineage, ordered_scan
+from quillon.plans.partitioning import cut_lineage, discard, ordered_scan
 
 XYZ = ("x", "y", "z")
 
@@ -73,7 +73,7 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str =
     """
     both = links.select(F.col(a).alias("_u"), F.col(b).alias("_v")).unionByName(links.select(F.col(b).alias("_u"), F.col(a).alias("_v"))).distinct()
     both = cut_lineage(both)
-    labels = cut_lineage(nodes.select(F.col(node).alias("_n"), F.col(node).alias("_l")).distinct())
+    labels = held = cut_lineage(nodes.select(F.col(node).alias("_n"), F.col(node).alias("_l")).distinct())
     while True:
         near = both.join(labels, both["_v"] == labels["_n"]).groupBy("_u").agg(F.min("_l").alias("_m"))
         up = labels.select(F.col("_n").alias("_k"), F.col("_l").alias("_up"))
@@ -81,8 +81,10 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str =
         new = step.join(up, step["_t"] == up["_k"], "left").select("_n", F.least("_t", F.coalesce("_up", "_t")).alias("_new"), "_l")
         new = cut_lineage(new)
         changed = not new.filter("_new < _l").isEmpty()
-        labels = new.select("_n", F.col("_new").alias("_l"))
+        discard(held)
+        held, labels = new, new.select("_n", F.col("_new").alias("_l"))
         if not changed:
+            discard(both)
             return labels.select(F.col("_n").alias(node), F.col("_l").alias("component"))
 
 

@@ -273,6 +273,14 @@ def l11(spark: SparkSession, d: str) -> DataFrame:
     return neighbourhood.visit(c, seeds, 1.0, radius=5.0, keys=["block"]).select("id", "visited_by")
 
 
+@R.add("l11_visit_whole")
+def l11_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the whole block, however far from the first point."""
+    c = cloud(spark, d)
+    seeds = c.groupBy("block").agg(F.min("id").alias("id")).select(F.col("block").alias("seed"), "id")
+    return neighbourhood.visit(c, seeds, 1.0, keys=["block"]).select("id", "visited_by")
+
+
 @R.add("l12_life")
 def l12(spark: SparkSession, d: str) -> DataFrame:
     cells = spatial_join.with_cells(cloud(spark, d), XYZ, 4.0).select(F.col("_i0").alias("i"), F.col("_i1").alias("j"), F.col("_i2").alias("k"), F.lit(1).alias("weight"))

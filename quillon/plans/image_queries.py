@@ -36,7 +36,7 @@ def final(p: DataFrame, digits: int | None = None) -> DataFrame:
 
 def add(name: str, sql: str | None, make, digits: int | None = None, colour: bool = False) -> None:
     """A query of one operation on the frames (or the colour frames); sql is what follows the CTEs."""
-    full = None if sql is None else f"with {C3 if colour else PX} {sql}"
+    full = None if sql is None else f"with recursive {C3 if colour else PX} {sql}"
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         return final(make(colours(spark, d) if colour else frames(spark, d)), digits)
@@ -78,7 +78,10 @@ add("i_cols_to_channels", px("value", x="x // 4", channel="x % 4"), lambda f: I.
 add("i_channels_to_cols", px("value", x="x * 3 + channel", channel="0", source="c"), lambda f: I.channels_to_lines(f, 3), colour=True)
 add("i_pad", f"{px('value', 'y + 1', 'x + 2')} union all select image, y, x, 0, 7.0::double from (select distinct image from px), (select cast(unnest(range(0, 10)) as integer) y), (select cast(unnest(range(0, 11)) as integer) x) where y < 1 or y > 8 or x < 2 or x > 9", lambda f: I.pad(f, 1, 1, 2, 1, 7.0))
 add("i_resize", "select image, cast(ny as integer) as y, cast(nx as integer) as x, channel, value from px join (select unnest(range(0, 5)) ny) on y = ny * 8 // 5 join (select unnest(range(0, 12)) nx) on x = nx * 8 // 12", lambda f: I.resize(f, 5, 12))
-add("i_resize_linear", None, lambda f: I.resize(f, 5, 12, linear=True), 6)
+#: Of an axis with n new places for 8 old ones: the two old ones beside each and the weight of the second.
+BESIDE = "(select n, floor(p) lo, least(floor(p) + 1, 7) hi, p - floor(p) w from (select n, greatest(0, least(7, (n + 0.5) * 8 / {0} - 0.5)) p from (select unnest(range(0, {0})) n)))"
+add("i_resize_linear", f""", ys as (select px.image, j.n y, x, sum(value * case when y = lo and y = hi then 1 when y = lo then 1 - w else w end) as v from px join {BESIDE.format(5)} j on y = lo or y = hi group by all)
+select image, cast(y as integer) as y, cast(i.n as integer) as x, 0 as channel, round(sum(v * case when x = lo and x = hi then 1 when x = lo then 1 - w else w end), 6) as value from ys join {BESIDE.format(12)} i on x = lo or x = hi group by image, y, i.n""", lambda f: I.resize(f, 5, 12, linear=True), 6)
 add("i_flip", px("value", "7 - y"), lambda f: I.flip(f))
 add("i_flop", px("value", x="7 - x"), lambda f: I.flop(f))
 add("i_transpose", px("value", "x", "y"), lambda f: I.transpose(f))
@@ -93,7 +96,9 @@ def _remap(f: DataFrame) -> DataFrame:
     return I.remap(f, f.sparkSession.createDataFrame(rows, "y int, x int, from_y int, from_x int"))
 
 
-add("i_remap_equirectangular", None, _remap)
+add("i_remap_equirectangular", """, v as (select y, x, x - 1.5 dx, y - 1.5 dy from (select unnest(range(0, 4)) y), (select unnest(range(0, 4)) x)),
+t as (select y, x, least(7, floor((pi() / 2 - atan2(-dy, sqrt(dx * dx + 4))) / pi() * 8)) from_y, floor((atan2(dx, 2.0) + pi()) / (2 * pi()) * 8) % 8 from_x from v)
+select image, cast(t.y as integer) as y, cast(t.x as integer) as x, channel, value from px join t on px.y = from_y and px.x = from_x""", _remap)
 
 # frames
 OVER = "(partition by y, x, channel order by image rows between {} preceding and current row)"
@@ -101,7 +106,10 @@ add("i_average", px(f"round(avg(value) over {OVER.format('unbounded')} + 1.3e-9,
 add("i_max", px(f"max(value) over {OVER.format('unbounded')}"), lambda f: I.accumulate(f, "max"))
 add("i_min", px(f"min(value) over {OVER.format('unbounded')}"), lambda f: I.accumulate(f, "min"))
 add("i_moving_average", px(f"round(avg(value) over {OVER.format(4)} + 1.3e-9, 6)"), lambda f: I.scale(I.accumulate(f, "average", size=5), 1.0, 1.3e-9), 6)
-add("i_ema", None, lambda f: I.moving_average(f, 0.2, 4), 6)
+# From the fourth frame on, a frame counts 0.2 times 0.8 to the power of its age; those older than 150 frames no longer show.
+add("i_ema", """, o as (select *, row_number() over (partition by y, x order by image) n, avg(value) over (partition by y, x order by image rows unbounded preceding) m from px),
+e as (select a.image, a.y, a.x, a.n, sum(case when b.n >= 4 then 0.2 * pow(0.8, a.n - b.n) * b.value when b.n = 3 then pow(0.8, a.n - 3) * b.m else 0 end) s from o a join o b on a.y = b.y and a.x = b.x and b.n between a.n - 150 and a.n where a.n >= 4 group by all)
+select image, y, x, 0 as channel, round(m, 6) as value from o where n < 4 union all select image, y, x, 0, round(s, 6) from e""", lambda f: I.moving_average(f, 0.2, 4), 6)
 add("i_slide", "select 0 as image, cast(y + image * 8 as integer) as y, x, channel, value from px", lambda f: I.slide(f, 8))
 
 # two branches
@@ -114,24 +122,66 @@ NEAR = "n as (select a.image, a.y, a.x, b.value from px a join px b on a.image =
 add("i_dilate", f", {NEAR} select image, y, x, 0 as channel, max(value) as value from n group by 1, 2, 3", lambda f: I.morphology(f, "dilate"))
 add("i_erode", f", {NEAR} select image, y, x, 0 as channel, min(value) as value from n group by 1, 2, 3", lambda f: I.morphology(f, "erode"))
 add("i_morphological_gradient", f", {NEAR} select image, y, x, 0 as channel, max(value) - min(value) as value from n group by 1, 2, 3", lambda f: I.morphology(f, "gradient"))
-for _how in ("open", "close", "tophat", "blackhat", "skeleton"):
-    add(f"i_{_how}", None, lambda f, how=_how: I.morphology(I.threshold(f, 100) if how == "skeleton" else f, how))
-add("i_convolution", None, lambda f: I.convolve(f, [[0, -1, 0], [-1, 5, -1], [0, -1, 0]]), 6)
-for _how in ("box", "gaussian", "median"):
-    add(f"i_blur_{_how}", None, lambda f, how=_how: I.blur(f, how, 3), 6)
-add("i_canny", None, lambda f: I.edges(f, 200, 400))
-add("i_clahe", None, lambda f: I.equalize_locally(f, 4, 2.0), 4)
-add("i_contraharmonic", None, lambda f: I.contraharmonic(I.scale(f, 1.0, 1.0), 3, 1.0), 6)
-add("i_hard_edge", None, lambda f: I.hard_edge(I.threshold(f, 100)))
-add("i_remove_mean", None, lambda f: I.remove_mean(f, 3), 6)
-add("i_remove_speckles", None, lambda f: I.remove_speckles(I.threshold(f, 170), 1))
-add("i_fft", None, lambda f: I.transform_fft(f, magnitude_only=True), 4)
+
+
+def around(name: str, source: str, value: str, outside: str = "none", where: str = "true") -> str:
+    """A CTE name(image, y, x, value): value aggregates v over the nine pixels about each of source; dy and dx lead to them.
+
+    outside: none (there are none), reflect (mirrored about the edge pixel), edge (the edge pixel again) or torus.
+    """
+    at = {"none": "{} + {}", "reflect": "case when {0} + {1} < 0 then 1 when {0} + {1} > 7 then 6 else {0} + {1} end", "torus": "({} + {} + 8) % 8", "edge": "greatest(0, least(7, {} + {}))"}[outside]
+    return f"""{name} as (select a.image, a.y, a.x, {value} as value from {source} a cross join (select unnest([-1, 0, 1]) dy) cross join (select unnest([-1, 0, 1]) dx)
+join (select image, y yy, x xx, value v from {source}) b on b.image = a.image and yy = {at.format('a.y', 'dy')} and xx = {at.format('a.x', 'dx')} where {where} group by a.image, a.y, a.x)"""
+
+
+SELF_AGAIN = "any_value(a.value)"
+ON = "b as (select image, y, x, case when value > {} then 255.0::double else 0.0::double end as value from px)"
+MOST, LEAST = "max(v)", "min(v)"
+OPENED, CLOSED = f", {around('e', 'px', LEAST)}, {around('o', 'e', MOST)}", f", {around('e', 'px', MOST)}, {around('o', 'e', LEAST)}"
+add("i_open", f"{OPENED} {px('value', source='o', channel='0')}", lambda f: I.morphology(f, "open"))
+add("i_close", f"{CLOSED} {px('value', source='o', channel='0')}", lambda f: I.morphology(f, "close"))
+add("i_tophat", f"{OPENED} select p.image, p.y, p.x, 0 as channel, p.value - o.value as value from px p join o using (image, y, x)", lambda f: I.morphology(f, "tophat"))
+add("i_blackhat", f"{CLOSED} select p.image, p.y, p.x, 0 as channel, o.value - p.value as value from px p join o using (image, y, x)", lambda f: I.morphology(f, "blackhat"))
+# After four erosions nothing is left of 8 x 8 pixels.
+SKELETON = "".join(f", {around(f's{k + 1}', f's{k}', 'case when count(*) = 9 then min(v) else 0.0::double end')}, {around(f'd{k}', f's{k + 1}', MOST)}, k{k} as (select a.image, a.y, a.x, a.value - least(a.value, d.value) as value from s{k} a join d{k} d using (image, y, x))" for k in range(4))
+add("i_skeleton", f", {ON.format(100)}, s0 as (select * from b){SKELETON} select image, y, x, 0 as channel, max(value) as value from ({' union all '.join(f'select * from k{k}' for k in range(4))}) group by 1, 2, 3", lambda f: I.morphology(I.threshold(f, 100), "skeleton"))
+
+
+def nine(name: str, value: str, make, outside: str = "reflect", digits: int = 6, before: str = "", source: str = "px", where: str = "true") -> None:
+    add(name, f"{before}, {around('r', source, value, outside, where)} select image, y, x, 0 as channel, round(value, {digits}) + 0.0 as value from r", make, digits)
+
+
+nine("i_convolution", "sum(v * case abs(dy) + abs(dx) when 0 then 5 when 1 then -1 else 0 end)", lambda f: I.convolve(f, [[0, -1, 0], [-1, 5, -1], [0, -1, 0]]))
+nine("i_blur_box", "avg(v)", lambda f: I.blur(f, "box", 3))
+nine("i_blur_gaussian", "sum(v * exp(-(dy * dy + dx * dx) / 2.0)) / pow(1 + 2 * exp(-0.5::double), 2)", lambda f: I.blur(f, "gaussian", 3))
+nine("i_blur_median", "median(v)", lambda f: I.blur(f, "median", 3))
+nine("i_contraharmonic", "case when sum(v + 1) <> 0 then sum((v + 1) * (v + 1)) / sum(v + 1) else 0 end", lambda f: I.contraharmonic(I.scale(f, 1.0, 1.0), 3, 1.0))
+nine("i_remove_mean", f"{SELF_AGAIN} - avg(v)", lambda f: I.remove_mean(f, 3))
+nine("i_hard_edge", f"case when {SELF_AGAIN} <> 0 and min(v) filter (abs(dy) + abs(dx) = 1) = 0 then {SELF_AGAIN} else 0.0::double end", lambda f: I.hard_edge(I.threshold(f, 100)), "none", before=f", {ON.format(100)}", source="b")
+nine("i_remove_speckles", f"case when count(*) = 9 and max(v) filter (dy <> 0 or dx <> 0) = 0 then 0.0::double else {SELF_AGAIN} end", lambda f: I.remove_speckles(I.threshold(f, 170), 1), "none", before=f", {ON.format(170)}", source="b")
+BESIDE_GRADIENT = "coalesce(sum(v) filter (dy = {0} * (dir in (1, 2, 3))::int and dx = {0} * case dir when 0 then 1 when 1 then 1 when 2 then 0 else -1 end), 0)"
+add("i_canny", f""", {around('gx', 'px', 'sum(v * dx * (2 - abs(dy)))', 'edge')}, {around('gy', 'px', 'sum(v * dy * (2 - abs(dx)))', 'edge')},
+g as (select image, y, x, abs(gx.value) + abs(gy.value) as value, (round(atan2(gy.value, gx.value) / (pi() / 4))::int + 8) % 4 as dir from gx join gy using (image, y, x)),
+m as (select image, a.y, a.x, any_value(a.value) value, {BESIDE_GRADIENT.format(1)} ahead, {BESIDE_GRADIENT.format(-1)} behind from g a join (select image, y yy, x xx, value v from g) b using (image)
+ cross join (select unnest([-1, 0, 1]) dy) cross join (select unnest([-1, 0, 1]) dx) where yy = a.y + dy and xx = a.x + dx group by image, a.y, a.x, dir),
+k as (select image, y, x, value from m where value > 200 and value > behind and value >= ahead), r as (select image, y, x from k where value > 400 union select k.image, k.y, k.x from r join k on k.image = r.image and abs(k.y - r.y) <= 1 and abs(k.x - r.x) <= 1)
+select p.image, p.y, p.x, 0 as channel, case when r.image is null then 0.0::double else 255.0::double end as value from px p left join r using (image, y, x)""", lambda f: I.edges(f, 200, 400))
+# A tile has 16 pixels, and no bin keeps more than one of them; what is cut off is shared out over all 256 bins.
+TILE_MAP = "(count(distinct t.value) filter (t.value <= p.value) + (p.value + 1) * (16 - count(distinct t.value)) / 256) / 16 * 255"
+add("i_clahe", f""", p as (select *, greatest(0, least(1, (y + 0.5) / 4 - 0.5)) fy, greatest(0, least(1, (x + 0.5) / 4 - 0.5)) fx from px),
+t as (select image, y // 4 j, x // 4 i, value from px), m as (select p.image, p.y, p.x, fy, fx, j, i, {TILE_MAP} as v from p join t on p.image = t.image group by p.image, p.y, p.x, p.value, fy, fx, j, i)
+select image, y, x, 0 as channel, round(sum(v * case when j = floor(fy) then 1 - (fy - floor(fy)) when j = floor(fy) + 1 then fy - floor(fy) else 0 end * case when i = floor(fx) then 1 - (fx - floor(fx)) when i = floor(fx) + 1 then fx - floor(fx) else 0 end), 4) as value from m group by 1, 2, 3""", lambda f: I.equalize_locally(f, 4, 2.0), 4)
+add("i_fft", """, w as (select image, fy, fx, sum(value * cos(2 * pi() * (fy * y + fx * x) / 8)) re, sum(value * sin(2 * pi() * (fy * y + fx * x) / 8)) im from px, (select cast(unnest(range(0, 8)) as integer) fy), (select cast(unnest(range(0, 8)) as integer) fx) group by all)
+select image, fy as y, fx as x, 0 as channel, round(sqrt(re * re + im * im), 4) as value from w""", lambda f: I.transform_fft(f, magnitude_only=True), 4)
 add("i_fft_inverse", px("round(value, 4) + 0.0"), lambda f: I.transform_fft(I.transform_fft(f), inverse=True), 4)
-add("i_bayer", None, lambda f: I.bayer(f), 6)
+# The colour of a sample is that of its place: 0 red, 1 green, 2 blue.
+BAYER = "case when yy % 2 = 0 and xx % 2 = 0 then 0 when yy % 2 = 1 and xx % 2 = 1 then 2 else 1 end"
+add("i_bayer", f", {', '.join(around(f'c{k}', 'px', f'avg(v) filter ({BAYER} = {k})') for k in range(3))} {' union all '.join(px('round(value, 6)', source=f'c{k}', channel=str(k)) for k in range(3))}", lambda f: I.bayer(f), 6)
 add("i_equalize_histogram", """, h as (select image, channel, value, count(*) n from px group by all), r as (select *, sum(n) over (partition by image, channel order by value) c, sum(n) over (partition by image, channel) a, first(n) over (partition by image, channel order by value) f from h)
 select px.image, y, x, px.channel, round((c - f) / (a - f) * 255) as value from px join r on px.image = r.image and px.channel = r.channel and px.value = r.value""", lambda f: I.equalize(f))
 add("i_balance_white", """, q as (select image, quantile_cont(value, 0.05) lo, quantile_cont(value, 0.95) hi from px group by 1) select px.image, y, x, channel, round(greatest(0, least(255, (value - lo) / (hi - lo) * 255)), 6) as value from px join q on px.image = q.image""", lambda f: I.balance_white(f), 6)
-add("c_life", None, lambda f: I.life(f, 3))
+LIFE = "floor(greatest(0, least(255, any_value(a.value) + 255 * case when {0} < 3 or {0} > 4 then -1 when {0} - 3 < 4 - {0} then 1 else 0 end)))".format("(sum(v) filter (dy <> 0 or dx <> 0) / 255)")
+add("c_life", f", {around('g1', 'px', LIFE, 'torus')}, {around('g2', 'g1', LIFE, 'torus')}, {around('g3', 'g2', LIFE, 'torus')} {px('value', source='g3', channel='0')}", lambda f: I.life(f, 3))
 add("c_stride_unstride", "select image, y, x, channel, value from px where y < 7 and x < 8", lambda f: I.unstride(I.stride(f, 3, 4, 2, 2), 8, 4, 2, 2, "max"))
 add("c_grep", px("value", where="image in (select image from px group by 1 having avg(case when value > 150 then 1.0 else 0.0 end) between 0.2 and 0.4)"), lambda f: I.grep(f, 0.2, 0.4, I.threshold(f, 150)))
 
@@ -188,12 +238,19 @@ def c_unstride_positions(spark: SparkSession, d: str) -> DataFrame:
     return I.unstride_positions(p, "y", "x", "x", 8, 4, 2, 2).select("image", "y", "x", F.col("image_y").cast("int").alias("image_y"), F.col("image_x").cast("int").alias("image_x"))
 
 
-@R.add("i_regions")
+#: Which pixels above 140 are reached from which; those of one region have one least number.
+def reach(steps: str) -> str:
+    return f"""on_ as (select image, y, x from px where value > 140), r as (select image, y, x, y * 8 + x as n from on_ union
+select o.image, o.y, o.x, r.n from r join on_ o on o.image = r.image and {steps}), f as (select image, y, x, min(n) least from r group by 1, 2, 3),
+k as (select image, least, row_number() over (partition by image order by least) - 1 as region, c from (select image, least, count(*) c from f group by 1, 2 having count(*) >= 2))"""
+
+
+@R.add("i_regions", f"with recursive {PX}, {reach('abs(o.y - r.y) + abs(o.x - r.x) = 1')} select image, y, x, region from f join k using (image, least)")
 def i_regions(spark: SparkSession, d: str) -> DataFrame:
     return I.regions(I.threshold(frames(spark, d), 140), 2)
 
 
-@R.add("i_blobs")
+@R.add("i_blobs", f"with recursive {PX}, {reach('abs(o.y - r.y) <= 1 and abs(o.x - r.x) <= 1')} select image, region, round(avg(y), 6) as y, round(avg(x), 6) as x, count(*) as size from f join k using (image, least) group by 1, 2")
 def i_blobs(spark: SparkSession, d: str) -> DataFrame:
     b = I.blobs(I.threshold(frames(spark, d), 140), 2)
     return b.select("image", "region", F.round("y", 6).alias("y"), F.round("x", 6).alias("x"), "size")

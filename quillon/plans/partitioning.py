@@ -117,9 +117,11 @@ def row_blocks(df: DataFrame, keys: list[str], order: list[Column], chunk: Colum
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; only where that is unset, as in tests, one is made."""
+    """The folder that all executors share, from spark.checkpoint.dir; where that is unset, one is made in local mode, and a cluster is refused."""
     have = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         have = "file://" + tempfile.mkdtemp(prefix="quillon-checkpoint-")
@@ -132,11 +134,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df as a table into the shared folder and read it back: the copy outlives any executor.
 
     A table rather than checkpoint(): its sizes are known, while a checkpoint keeps the estimates of the plan it cut, which multiply from
-    round to round of an iteration. Each copy has a folder of its own and lies there until the shared folder is cleared.
+    round to round of an iteration. Each copy has a folder of its own; an iteration discards those it has replaced, the last one lies there until
+    the shared folder is cleared.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    copy = df.sparkSession.read.schema(df.schema).parquet(path)
+    copy._quillon_path = path
+    return copy
+
+
+def discard(*copies: DataFrame) -> None:
+    """Delete tables of cut_lineage that nothing reads any more."""
+    for copy in copies:
+        if path := getattr(copy, "_quillon_path", None):
+            spark = copy.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            copy._quillon_path = None
 
 
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
