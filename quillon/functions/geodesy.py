@@ -35,9 +35,9 @@ def vincenty(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndar
             c2m = np.where(ca2 > 1e-15, cs - 2 * su1 * su2 / np.where(ca2 > 1e-15, ca2, 1), 0)
             c = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
             new = gap + (1 - c) * f * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m**2 - 1)))
-            settled = np.abs(new - lam) < tolerance
-            lam = np.where(settled, lam, new)
-            if settled.all():
+            again, settled = settled, np.abs(new - lam) < tolerance
+            lam = new
+            if (again & settled).all():  # one round more than the tolerance asks for
                 break
         k2 = ca2 * (a * a - b * b) / (b * b)
         big_a = 1 + k2 / 16384 * (4096 + k2 * (-768 + k2 * (320 - 175 * k2)))

@@ -125,6 +125,23 @@ k as (select *, (1 - sa * sa) * (pow(6378137.0, 2) / pow(6378137.0 * (1 - 1 / 29
 e as (select *, 1 + k2 / 16384 * (4096 + k2 * (-768 + k2 * (320 - 175 * k2))) a, k2 / 1024 * (256 + k2 * (-128 + k2 * (74 - 47 * k2))) b from k)
 select rec_id, round(6378137.0 * (1 - 1 / 298.257223563::double) * a * (sigma - b * ss * (c2m + b / 4 * (cs * (2 * c2m * c2m - 1) - b / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))), 3) as distance from e"""
 
+def _direct(rounds: int) -> str:
+    """CTEs of Vincenty's direct method on WGS84 for eight bearings and 1,000 m, its iteration written out."""
+    f, a = "(1 / 298.257223563::double)", "6378137.0::double"
+    out = [f"""q as (select distinct boot_id, radians(lat0) la, radians(lon0) lo from p), b as (select *, step * pi() / 4 as al from q, (select cast(unnest(range(0, 8)) as integer) step)),
+c as (select *, atan((1 - {f}) * tan(la)) u, cos(atan((1 - {f}) * tan(la))) * sin(al) sa from b), k as (select *, atan2(tan(u), cos(al)) s1, (1 - sa * sa) * (1 / pow(1 - {f}, 2) - 1) k2 from c),
+g0 as (select *, 1 + k2 / 16384 * (4096 + k2 * (-768 + k2 * (320 - 175 * k2))) ga, k2 / 1024 * (256 + k2 * (-128 + k2 * (74 - 47 * k2))) gb, 1000 / ({a} * (1 - {f}) * (1 + k2 / 16384 * (4096 + k2 * (-768 + k2 * (320 - 175 * k2))))) as sigma from k)"""]
+    for n in range(rounds):
+        out.append(f"g{n + 1} as (select * exclude (sigma), 1000 / ({a} * (1 - {f}) * ga) + gb * sin(sigma) * (cos(2 * s1 + sigma) + gb / 4 * (cos(sigma) * (2 * pow(cos(2 * s1 + sigma), 2) - 1) - gb / 6 * cos(2 * s1 + sigma) * (4 * pow(sin(sigma), 2) - 3) * (4 * pow(cos(2 * s1 + sigma), 2) - 3))) as sigma from g{n})")
+    return ", ".join(out)
+
+
+SQL["m17_ellipsoid_circles"] = f"""with {PLACES}, {_direct(6)},
+z as (select *, sin(sigma) ss, cos(sigma) cs, cos(2 * s1 + sigma) c2m, sin(u) su, cos(u) cu, (1 / 298.257223563::double) / 16 * (1 - sa * sa) * (4 + (1 / 298.257223563::double) * (4 - 3 * (1 - sa * sa))) cc from g6),
+y as (select boot_id, step, lo, atan2(su * cs + cu * ss * cos(al), (1 - 1 / 298.257223563::double) * sqrt(sa * sa + pow(su * ss - cu * cs * cos(al), 2))) at_la,
+atan2(ss * sin(al), cu * cs - su * ss * cos(al)) - (1 - cc) * (1 / 298.257223563::double) * sa * (sigma + cc * ss * (c2m + cc * cs * (2 * c2m * c2m - 1))) gap from z)
+select boot_id, step, round(degrees(at_la), 8) as at_lat, round(degrees(lo + gap - 2 * pi() * floor((lo + gap + pi()) / (2 * pi()))), 8) as at_lon from y"""
+
 SQL["m18_ned"] = f"""with {PLACES}, c as (select rec_id, radians(lat) a, radians(lon) o, 6378137.0 va, (1 / 298.257223563::double) * (2 - 1 / 298.257223563::double) e2 from p),
 v as (select *, va / sqrt(1 - e2 * sin(a) * sin(a)) v, va / sqrt(1 - e2 * pow(sin(radians(-35.0)), 2)) v0 from c),
 x as (select rec_id, (v + 100) * cos(a) * cos(o) - v0 * cos(radians(-35.0)) * cos(radians(149.0)) x, (v + 100) * cos(a) * sin(o) - v0 * cos(radians(-35.0)) * sin(radians(149.0)) y, (v * (1 - e2) + 100) * sin(a) - v0 * (1 - e2) * sin(radians(-35.0)) z from v)
@@ -156,6 +173,23 @@ select r.origin, r.target, max(back) over (partition by r.origin, r.target) - ba
 SQL["l11_visit_whole"] = f"""with recursive {pairs_sql(1.0, 'a.id <> b.id')}, s as (select block, min(id) as id from cloud group by 1),
 r as (select block, id from s union select r.block, p.b_id from r join pairs p on p.a_id = r.id) select cloud.id, r.block as visited_by from cloud left join r on cloud.id = r.id"""
 
+SQL["l11_visit"] = f"""with recursive {pairs_sql(1.0, 'a.id <> b.id')}, s as (select block, min(id) as id from cloud group by 1), near as (select c.id, c.block from cloud c join s using (block) join cloud o on o.id = s.id where (c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y) + (c.z - o.z) * (c.z - o.z) <= 25),
+r as (select block, id from s union select r.block, p.b_id from r join pairs p on p.a_id = r.id join near n on n.id = p.b_id) select cloud.id, r.block as visited_by from cloud left join r on cloud.id = r.id"""
+
+#: Occupied voxels, numbered, with the least number of those they hang together with.
+PARTS = f"""{CLOUD}, e as (select *, cast(floor(x / 2) as bigint) i, cast(floor(y / 2) as bigint) j, cast(floor(z / 2) as bigint) k from cloud),
+v as (select *, row_number() over (order by block, i, j, k) as n from (select block, i, j, k, count(*) c from e group by all)),
+w as (select a.n, b.n as other from v a cross join {STEPS} join v b on b.block = a.block and b.i = a.i + di and b.j = a.j + dj and b.k = a.k + dk where a.n <> b.n),
+r(n, least) using key (n) as (select n, n from v union (select w.other, min(r.least) from r join w on w.n = r.n join recurring.r old on old.n = w.other where r.least < old.least group by 1))"""
+SQL["v05_partitions"] = f"""with recursive {PARTS}, s as (select *, row_number() over (partition by block order by least) - 1 as partition from (select block, least from v join r using (n) group by 1, 2 having sum(c) >= 3))
+select e.id, e.block, s.partition from e join v using (block, i, j, k) join r using (n) join s on s.block = e.block and s.least = r.least"""
+
+SQL["l06_local_max_traced"] = f"""with recursive {pairs_sql(NEAR, 'a.id <> b.id')}, losers as (select distinct a_id from pairs where b_s > a_s or (b_s = a_s and b_id < a_id)),
+best as (select id from cloud where scalar is not null and id not in (select a_id from losers)),
+first as (select a.id, arg_min(b.id, ({D2}, b.id)) as ref from w a join e b on a.block = b.block and a.ni = b.i and a.nj = b.j and a.nk = b.k where {D2} <= {NEAR} * {NEAR} and a.scalar is not null and b.id in (select id from best) group by 1),
+r(id, ref) using key (id) as (select id, ref from first union (select p.a_id, arg_min(k.ref, (p.d2, p.b_id)) from pairs p join recurring.r k on k.id = p.b_id where p.a_id not in (select id from recurring.r) and exists (select 1 from r) group by 1))
+select c.id, r.ref as reference_id, round(coalesce(sqrt((c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y) + (c.z - o.z) * (c.z - o.z)), 0.0), 6) as distance from cloud c left join r on r.id = c.id left join cloud o on o.id = r.ref"""
+
 BESIDE = "(select unnest(range(-1, 2)) di), (select unnest(range(-1, 2)) dj), (select unnest(range(-1, 2)) dk)"
 CHANGE = "case when s - w < 4 or s - w > 6 then -1 when s - w - 4 < 6 - (s - w) then 1 else 0 end"
 LIVING = "g{1} as (select i, j, k, least(1, w + {2}) w from (select n.i, n.j, n.k, n.s, coalesce(g.w, 0) w from (select i + di i, j + dj j, k + dk k, sum(w) s from g{0}, {3} group by all) n left join g{0} g on g.i = n.i and g.j = n.j and g.k = n.k) where least(1, w + {2}) > 0)"
