@@ -7,12 +7,13 @@ pixels, or sums them, is an expression, a join on indices or an aggregation. Wha
 
 from __future__ import annotations
 
+import ast
 import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.voxels import components
@@ -115,6 +116,31 @@ def threshold(pixels: DataFrame, at: float, kind: str = "binary", top: float = 2
     return each(pixels, out[kind])
 
 
+def otsu(pixels: DataFrame, top: float = 255.0) -> DataFrame:
+    """binary threshold of each image and channel at the value that parts it best: the largest variance between the two classes (ties: the least value)."""
+    counts = pixels.groupBy("image", "channel", "value").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("image", "channel")
+    w = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_n, all_s, n, s = F.sum("_n").over(whole), F.sum(F.col("_n") * F.col("value")).over(whole), F.sum("_n").over(w), F.sum(F.col("_n") * F.col("value")).over(w)
+    parted = counts.withColumns({"_d": all_s * n - s * all_n, "_w": n * (all_n - n)})
+    best = parted.groupBy("image", "channel").agg(F.max_by("value", F.struct(F.when(F.col("_w") > 0, F.col("_d") * F.col("_d") / F.col("_w")).otherwise(F.lit(0.0)), -F.col("value"))).alias("_at"))
+    return pixels.join(best, ["image", "channel"]).select(*PIXEL, F.when(F.col("value") > F.col("_at"), F.lit(top)).otherwise(F.lit(0.0)).alias("value"))
+
+
+#: The ranges of whole-number pixel types, by their letters.
+TYPES = {"ub": (0, 255), "b": (-128, 127), "uw": (0, 65535), "w": (-32768, 32767), "i": (-2147483648, 2147483647)}
+
+
+def convert_to(pixels: DataFrame, kind: str, by: float = 1.0, offset: float = 0.0) -> DataFrame:
+    """value * by + offset as a pixel type: ub, b, uw, w or i (rounded to even and saturated), f (single precision) or d."""
+    v = F.col("value") * by + offset
+    if kind in TYPES:
+        return each(pixels, clip(F.bround(v, 0), *map(float, TYPES[kind])))
+    if kind not in ("f", "d"):
+        raise ValueError(f"no pixel type {kind}")
+    return each(pixels, v.cast("float").cast("double") if kind == "f" else v)
+
+
 def in_range(pixels: DataFrame, low: Sequence[float], high: Sequence[float]) -> DataFrame:
     """255 where all channels of a pixel lie from low to high, else 0; one channel comes out."""
     ok = F.lit(True)
@@ -176,6 +202,76 @@ def to_grey(pixels: DataFrame, bgr: bool = True) -> DataFrame:
     return combine_channels(pixels, [GREY[::-1] if bgr else GREY])
 
 
+def _colours(pixels: DataFrame, function: Callable[[Column, Column, Column], Sequence[Column]], bgr: bool) -> DataFrame:
+    """Three new channels from a pixel's red, green and blue (or whatever its three channels are)."""
+    wide = pixels.groupBy("image", "y", "x").agg(*[F.max(F.when(F.col("channel") == k, F.col("value"))).alias(f"_c{k}") for k in range(3)])
+    first = [F.col(f"_c{k}") for k in ((2, 1, 0) if bgr else (0, 1, 2))]
+    outs = F.array(*[F.struct(F.lit(k).alias("channel"), v.alias("value")) for k, v in enumerate(function(*first))])
+    return wide.select("image", "y", "x", F.explode(outs).alias("_o")).select("image", "y", "x", "_o.channel", "_o.value")
+
+
+def to_hsv(pixels: DataFrame, bgr: bool = False) -> DataFrame:
+    """8-bit colours as hue (degrees / 2), saturation and value (0 to 255)."""
+
+    def run(r: Column, g: Column, b: Column) -> list[Column]:
+        most, span = F.greatest(r, g, b), F.greatest(r, g, b) - F.least(r, g, b)
+        hue = F.when(span == 0, F.lit(0.0)).when(most == r, 60 * (g - b) / span).when(most == g, 120 + 60 * (b - r) / span).otherwise(240 + 60 * (r - g) / span)
+        return [F.when(hue < 0, hue + 360).otherwise(hue) / 2, F.when(most > 0, 255 * span / most).otherwise(F.lit(0.0)), most]
+
+    return _colours(pixels, run, bgr)
+
+
+def from_hsv(pixels: DataFrame) -> DataFrame:
+    """to_hsv back: red, green, blue."""
+
+    def run(h: Column, s: Column, v: Column) -> list[Column]:
+        def one(n: int) -> Column:
+            k = F.pmod(F.lit(float(n)) + h / 30, F.lit(6.0))
+            return v - v * s / 255 * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
+
+        return [one(5), one(3), one(1)]
+
+    return _colours(pixels, run, False)
+
+
+#: Fixed values (CIE 1931, D65): red, green and blue in X, Y and Z; and the white point.
+XYZ_OF_RGB = [[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]]
+WHITE = (0.950456, 1.0, 1.088754)
+
+
+def to_xyz(pixels: DataFrame, bgr: bool = False) -> DataFrame:
+    """Linear colours as X, Y, Z of the same range."""
+    return _colours(pixels, lambda r, g, b: [r * m[0] + g * m[1] + b * m[2] for m in XYZ_OF_RGB], bgr)
+
+
+def to_lab(pixels: DataFrame, bgr: bool = False, top: float = 255.0) -> DataFrame:
+    """Linear colours (0 to top) as L (0 to 100), a and b."""
+
+    def run(r: Column, g: Column, b: Column) -> list[Column]:
+        x, y, z = ((r * m[0] + g * m[1] + b * m[2]) / top / w for m, w in zip(XYZ_OF_RGB, WHITE, strict=True))
+        f = lambda t: F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16 / 116)
+        return [F.when(y > 0.008856, 116 * F.cbrt(y) - 16).otherwise(903.3 * y), 500 * (f(x) - f(y)), 200 * (f(y) - f(z))]
+
+    return _colours(pixels, run, bgr)
+
+
+def ndvi(pixels: DataFrame, red: int = 2, near_infrared: int = 3) -> DataFrame:
+    """One channel: the vegetation index (near infrared - red) / (near infrared + red), 0 where the sum is 0."""
+    of = lambda k: F.max(F.when(F.col("channel") == k, F.col("value")))
+    both = pixels.groupBy("image", "y", "x").agg(of(red).alias("_r"), of(near_infrared).alias("_n"))
+    total = F.col("_n") + F.col("_r")
+    return both.select("image", "y", "x", F.lit(0).alias("channel"), F.when(total != 0, (F.col("_n") - F.col("_r")) / total).otherwise(F.lit(0.0)).alias("value"))
+
+
+def multiply_powers(pixels: DataFrame, powers: Sequence[float]) -> DataFrame:
+    """One channel: the product of a pixel's channels, each to its power."""
+    parts = [F.max(F.when(F.col("channel") == k, F.pow("value", F.lit(float(p))))) for k, p in enumerate(powers)]
+    out = parts[0]
+    for v in parts[1:]:
+        out = out * v
+    return pixels.groupBy("image", "y", "x").agg(out.alias("value")).select("image", "y", "x", F.lit(0).alias("channel"), "value")
+
+
 def color_map(pixels: DataFrame, low: Sequence[float], high: Sequence[float], at: tuple[float, float] = (0.0, 255.0)) -> DataFrame:
     """Grey to colour, linearly from low to high over the range at."""
     share = clip((F.col("value") - at[0]) / (at[1] - at[0]), 0.0, 1.0)
@@ -319,15 +415,24 @@ def remap(pixels: DataFrame, table: DataFrame) -> DataFrame:
     return pixels.join(at, ["y", "x"]).select("image", F.col("_ny").alias("y"), F.col("_nx").alias("x"), "channel", "value")
 
 
-def equirectangular_table(height: int, width: int, focal: float, out: int, heading: float = 0.0) -> list[tuple[int, int, int, int]]:
-    """remap rows for a camera's view of out x out pixels, of a focal length in pixels, out of an equirectangular panorama."""
-    rows = []
-    for y in range(out):
-        for x in range(out):
-            dx, dy = x - (out - 1) / 2, y - (out - 1) / 2
-            b, e = heading + math.atan2(dx, focal), math.atan2(-dy, math.hypot(dx, focal))
-            rows.append((y, x, min(height - 1, int((math.pi / 2 - e) / math.pi * height)), int(((b + math.pi) % (2 * math.pi)) / (2 * math.pi) * width) % width))
-    return rows
+def equirectangular_table(spark: SparkSession, height: int, width: int, focal: float, out: int, heading: float = 0.0) -> DataFrame:
+    """remap's table for a camera's view of out x out pixels, of a focal length in pixels, out of an equirectangular panorama."""
+    grid = spark.range(out * out).select(F.floor(F.col("id") / out).cast("int").alias("y"), (F.col("id") % out).cast("int").alias("x"))
+    dx, dy = F.col("x") - (out - 1) / 2, F.col("y") - (out - 1) / 2
+    b, e = heading + F.atan2(dx, F.lit(focal)), F.atan2(-dy, F.sqrt(dx * dx + focal * focal))
+    from_y = F.least(F.lit(height - 1), F.floor((math.pi / 2 - e) / math.pi * height))
+    return grid.withColumns({"from_y": from_y.cast("int"), "from_x": (F.floor(F.pmod(b + math.pi, F.lit(2 * math.pi)) / (2 * math.pi) * width) % width).cast("int")})
+
+
+def undistort(pixels: DataFrame, height: int, width: int, focal: tuple[float, float], centre: tuple[float, float], radial: Sequence[float], tangential: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Images of a camera with lens distortion as those of one without: each pixel from the nearest one at its distorted place; 0 where that lies outside."""
+    from quillon.functions import vectors as V
+
+    grid = pixels.select("image", "channel").distinct().withColumn("_ny", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("_nx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    u, v = V.distort((F.col("_nx") - centre[0]) / focal[0], (F.col("_ny") - centre[1]) / focal[1], radial, tangential)
+    wanted = grid.withColumns({"_y": F.floor(v * focal[1] + centre[1] + 0.5).cast("int"), "_x": F.floor(u * focal[0] + centre[0] + 0.5).cast("int")})
+    found = pixels.withColumnsRenamed({"y": "_y", "x": "_x"})
+    return wanted.join(found, ["image", "channel", "_y", "_x"], "left").select("image", F.col("_ny").alias("y"), F.col("_nx").alias("x"), "channel", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 # --- over frames -------------------------------------------------------------------------------------------------------
@@ -375,6 +480,32 @@ def combine(first: DataFrame, second: DataFrame, how: str) -> DataFrame:
     return first.join(b, PIXEL).select(*PIXEL, out[how].alias("value"))
 
 
+def bitwise(images: dict[str, DataFrame], expression: str, bits: int = 8) -> DataFrame:
+    """An expression over named images, such as "a & (b | ~c) ^ 15"; operators by falling precedence: ~, &, ^, |. Pixels that all images have."""
+    tree = ast.parse(expression, mode="eval").body
+    names = sorted({n.id for n in ast.walk(tree) if isinstance(n, ast.Name)})
+    if not names or any(n not in images for n in names):
+        raise ValueError(f"the expression must name some of {sorted(images)}")
+
+    def value(node: ast.expr) -> Column:
+        if isinstance(node, ast.Name):
+            return F.col(f"_{node.id}").cast("long")
+        if isinstance(node, ast.Constant) and isinstance(node.value, int):
+            return F.lit(node.value).cast("long")
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Invert):
+            return F.lit(2**bits - 1).cast("long").bitwiseXOR(value(node.operand))
+        if isinstance(node, ast.BinOp) and type(node.op) in (ast.BitAnd, ast.BitOr, ast.BitXor):
+            a, b = value(node.left), value(node.right)
+            return {ast.BitAnd: a.bitwiseAND, ast.BitOr: a.bitwiseOR, ast.BitXor: a.bitwiseXOR}[type(node.op)](b)
+        raise ValueError(f"not part of a bitwise expression: {ast.unparse(node)}")
+
+    joined = None
+    for n in names:
+        part = images[n].select(*PIXEL, F.col("value").alias(f"_{n}"))
+        joined = part if joined is None else joined.join(part, PIXEL)
+    return joined.select(*PIXEL, value(tree).cast("double").alias("value"))
+
+
 def mask(pixels: DataFrame, by: DataFrame) -> DataFrame:
     """Pixels where another image's first channel isn't 0; the others become 0."""
     m = by.filter("channel = 0").select("image", "y", "x", F.col("value").alias("_m"))

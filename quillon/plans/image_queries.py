@@ -68,6 +68,30 @@ add("i_color_map", f"{px('round(value / 255 * 100, 6)')} union all {px('round(20
 add("i_pack", "select image, y, x, 0 as channel, cast(sum(value * case channel when 0 then 1 when 1 then 256 else 65536 end) as double) as value from c group by 1, 2, 3", lambda f: I.pack_bits(f, 8, 3), colour=True)
 add("i_unpack", f"{px('cast(value as integer) % 16')} union all {px('cast(value as integer) // 16', channel='1')}", lambda f: I.unpack_bits(f, 4, 2))
 
+add("i_threshold_otsu", """, h as (select image, value, count(*) n from px group by 1, 2), w as (select *, sum(n) over (partition by image) a, sum(n * value) over (partition by image) s, sum(n) over (partition by image order by value) c, sum(n * value) over (partition by image order by value) t from h),
+b as (select image, arg_max(value, (case when c < a then (s * c - t * a) * (s * c - t * a) / (c * (a - c)) else 0 end, -value)) as at_ from w group by 1) select px.image, y, x, channel, case when value > at_ then 255.0::double else 0.0::double end as value from px join b using (image)""", lambda f: I.otsu(f))
+add("i_convert_ub", px("greatest(0, least(255, round_even(value * 1.5 - 50, 0)))"), lambda f: I.convert_to(f, "ub", 1.5, -50))
+add("i_convert_w", px("greatest(-32768, least(32767, round_even(value * 300.5 - 20000, 0)))"), lambda f: I.convert_to(f, "w", 300.5, -20000))
+add("i_convert_f", px("cast(cast(value / 3 as float) as double)"), lambda f: I.convert_to(f, "f", 1 / 3))
+RGB = "w as (select image, y, x, max(value) filter (channel = 0) r, max(value) filter (channel = 1) g, max(value) filter (channel = 2) b from c group by 1, 2, 3)"
+
+
+def three(name: str, values: tuple[str, str, str], make, before: str = "") -> None:
+    add(name, f", {RGB}{before} " + " union all ".join(px(f"round({v}, 6) + 0.0", source="w" if not before else "u", channel=str(k)) for k, v in enumerate(values)), make, 6, True)
+
+
+SPAN = "(greatest(r, g, b) - least(r, g, b))"
+HUE = f"(case when {SPAN} = 0 then 0 when greatest(r, g, b) = r then 60 * (g - b) / {SPAN} when greatest(r, g, b) = g then 120 + 60 * (b - r) / {SPAN} else 240 + 60 * (r - g) / {SPAN} end)"
+three("i_hsv", (f"case when {HUE} < 0 then {HUE} + 360 else {HUE} end / 2", f"case when greatest(r, g, b) > 0 then 255 * {SPAN} / greatest(r, g, b) else 0 end", "greatest(r, g, b)"), lambda f: I.to_hsv(f))
+three("i_hsv_and_back", ("r", "g", "b"), lambda f: I.from_hsv(I.to_hsv(f)))
+LINEAR = ", u as (select *, r * 0.412453 + g * 0.357580 + b * 0.180423 ux, r * 0.212671 + g * 0.715160 + b * 0.072169 uy, r * 0.019334 + g * 0.119193 + b * 0.950227 uz from w)"
+three("i_xyz", ("ux", "uy", "uz"), lambda f: I.to_xyz(f), LINEAR)
+LAB = "(case when {0} > 0.008856 then cbrt({0}) else 7.787 * {0} + 16 / 116::double end)"
+X, Y, Z = (LAB.format(v) for v in ("(ux / 255 / 0.950456)", "(uy / 255)", "(uz / 255 / 1.088754)"))
+three("i_lab", ("case when uy / 255 > 0.008856 then 116 * cbrt(uy / 255) - 16 else 903.3 * uy / 255 end", f"500 * ({X} - {Y})", f"200 * ({Y} - {Z})"), lambda f: I.to_lab(f), LINEAR)
+add("i_ndvi", f", {RGB} select image, y, x, 0 as channel, round(case when r + b <> 0 then (b - r) / (b + r) else 0 end, 6) + 0.0 as value from w", lambda f: I.ndvi(f, 0, 2), 6, True)
+add("i_multiply_powers", f", {RGB} select image, y, x, 0 as channel, round(sqrt(r) * g * pow(b + 0.0, 2.0::double), 4) as value from w", lambda f: I.multiply_powers(f, [0.5, 1, 2]), 4, True)
+
 # layout
 add("i_crop", px("value", "y - 2", "x - 1", "x between 1 and 4 and y between 2 and 6"), lambda f: I.crop(f, 1, 2, 4, 5))
 add("i_crop_cols", f"{px('value', x='x - 5', where='x >= 5')} union all {px('value', x='x + 3', where='x < 2')}", lambda f: I.crop_lines(f, [(5, 3), (0, 2)]))
@@ -92,14 +116,17 @@ add("i_clone_channels", f"{px('value')} union all {px('value', channel='1')}", l
 
 
 def _remap(f: DataFrame) -> DataFrame:
-    rows = I.equirectangular_table(8, 8, 2.0, 4)
-    return I.remap(f, f.sparkSession.createDataFrame(rows, "y int, x int, from_y int, from_x int"))
+    return I.remap(f, I.equirectangular_table(f.sparkSession, 8, 8, 2.0, 4))
 
 
 add("i_remap_equirectangular", """, v as (select y, x, x - 1.5 dx, y - 1.5 dy from (select unnest(range(0, 4)) y), (select unnest(range(0, 4)) x)),
 t as (select y, x, least(7, floor((pi() / 2 - atan2(-dy, sqrt(dx * dx + 4))) / pi() * 8)) from_y, floor((atan2(dx, 2.0) + pi()) / (2 * pi()) * 8) % 8 from_x from v)
 select image, cast(t.y as integer) as y, cast(t.x as integer) as x, channel, value from px join t on px.y = from_y and px.x = from_x""", _remap)
 
+add("i_undistort", """, g as (select image, cast(ny as integer) ny, cast(nx as integer) nx, (nx - 3.5) / 6.0 u, (ny - 3.5) / 6.0 v from (select distinct image from px), (select unnest(range(0, 8)) ny), (select unnest(range(0, 8)) nx)),
+d as (select *, 1 + (u * u + v * v) * (-0.2 + (u * u + v * v) * 0.05) f from g), t as (select image, ny, nx, floor((v * f + 0.01 * (u * u + 3 * v * v) - 0.02 * u * v) * 6 + 4.0) py, floor((u * f + 0.02 * u * v - 0.01 * (3 * u * u + v * v)) * 6 + 4.0) px_ from d)
+select t.image, ny as y, nx as x, 0 as channel, coalesce(value, 0.0::double) as value from t left join px on px.image = t.image and px.y = py and px.x = px_""", lambda f: I.undistort(f, 8, 8, (6.0, 6.0), (3.5, 3.5), (-0.2, 0.05), (0.01, -0.01)))
+
 # frames
 OVER = "(partition by y, x, channel order by image rows between {} preceding and current row)"
 add("i_average", px(f"round(avg(value) over {OVER.format('unbounded')} + 1.3e-9, 6)"), lambda f: I.scale(I.accumulate(f, "average"), 1.0, 1.3e-9), 6)
@@ -115,6 +142,7 @@ add("i_slide", "select 0 as image, cast(y + image * 8 as integer) as y, x, chann
 # two branches
 for _how, _sql in {"add": "p.value + q.value", "subtract": "p.value - q.value", "multiply": "p.value * q.value", "divide": "round(case when q.value <> 0 then p.value / q.value else 0 end, 6)", "absdiff": "abs(p.value - q.value)", "and": "cast(p.value as integer) & cast(q.value as integer)", "or": "cast(p.value as integer) | cast(q.value as integer)", "xor": "xor(cast(p.value as integer), cast(q.value as integer))"}.items():
     add(f"i_{_how}", f"select p.image, p.y, p.x, p.channel, cast({_sql} as double) as value from px p join px q on p.image = q.image and p.y = q.y and p.x = 7 - q.x", lambda f, how=_how: I.combine(f, I.flop(f), how), 6 if _how == "divide" else None)
+add("i_bitwise", "select p.image, p.y, p.x, p.channel, cast((cast(p.value as integer) & (cast(q.value as integer) | (255 - cast(p.value as integer)))) | xor(cast(q.value as integer), 15) as double) as value from px p join px q on p.image = q.image and p.y = q.y and p.x = 7 - q.x", lambda f: I.bitwise({"a": f, "b": I.flop(f)}, "a & (b | ~a) | b ^ 15"))
 add("i_mask", px("case when value > 100 then value else 0 end"), lambda f: I.mask(f, I.threshold(f, 100)))
 
 # surroundings
