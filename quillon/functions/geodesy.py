@@ -194,15 +194,29 @@ def between(a: V.Vec, b: V.Vec, c: V.Vec) -> Column:
     return (V.dot(V.cross(a, c), n) >= -1e-12) & (V.dot(V.cross(c, b), n) >= -1e-12)
 
 
-def arcs_meet(a: V.Vec, b: V.Vec, c: V.Vec, d: V.Vec) -> list[Column]:
-    """lat, lon of the place where two arcs (unit vectors a to b, c to d) cross; null if they don't."""
-    n = V.cross(V.cross(a, b), V.cross(c, d))
-    size = V.norm(n)
-    p = [v / size for v in n]
-    m = [-v for v in p]
-    one, other = between(a, b, p) & between(c, d, p), between(a, b, m) & between(c, d, m)
-    at = [F.when(one, x).when(other, y) for x, y in zip(p, m, strict=True)]
-    return [F.when(size > 1e-12, F.asin(at[2])), F.when(size > 1e-12, F.atan2(at[1], at[0]))]
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _vec(name: str, v: V.Vec) -> list[Column]:
+    return [c.alias(f"{name}{i}") for i, c in enumerate(v)]
+
+
+def arcs_meet(a: V.Vec, b: V.Vec, c: V.Vec, d: V.Vec) -> Column:
+    """struct(lat, lon) of the place where two arcs (unit vectors a to b, c to d) cross; nulls if they don't."""
+    of = lambda s, k: [s[f"{k}{i}"] for i in range(3)]
+
+    def place(s: Column, n: Column) -> Column:
+        size = V.norm(of(n, "n"))
+        p = [x / size for x in of(n, "n")]
+        m = [-x for x in p]
+        ways = [between(of(s, "a"), of(s, "b"), q) & between(of(s, "c"), of(s, "d"), q) for q in (p, m)]
+        way = F.when(size <= 1e-12, F.lit(None)).when(ways[0], F.lit(1.0)).when(ways[1], F.lit(-1.0))
+        return _let(F.struct(way.alias("w"), *_vec("p", p)), lambda r: F.struct(F.asin(r["w"] * r["p2"]).alias("lat"), F.when(r["w"].isNotNull(), F.atan2(r["w"] * r["p1"], r["w"] * r["p0"])).alias("lon")))
+
+    ends = F.struct(*_vec("a", a), *_vec("b", b), *_vec("c", c), *_vec("d", d))
+    return _let(ends, lambda s: _let(F.struct(*_vec("n", V.cross(V.cross(of(s, "a"), of(s, "b")), V.cross(of(s, "c"), of(s, "d"))))), lambda n: place(s, n)))
 
 
 # --- the sun -----------------------------------------------------------------------------------------------------------

@@ -116,6 +116,20 @@ def matching(left: DataFrame, right: DataFrame, radius: float, negate: bool = Fa
     return pairs_within(left, right, radius, how="left_anti" if negate else "left_semi", **options)
 
 
+def same_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """left, but the query fails on the first row whose block the right side doesn't have; without it such rows match nothing, as if blocks were ordered."""
+    have = right.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_have", F.lit(True))
+    joined = left.join(have, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
+    lost = F.raise_error(F.concat(F.lit("the right side has no block "), F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]))).cast("boolean")
+    return joined.filter(F.when(F.col("_have").isNull(), lost).otherwise(F.lit(True))).select(*[left[c] for c in left.columns])
+
+
+def usable(points: DataFrame, axes: Sequence[str] = ("x", "y", "z"), permissive: bool = False) -> DataFrame:
+    """Rows whose coordinates are finite; with permissive false the query fails on the first other row."""
+    ok = F.coalesce(_finite(axes), F.lit(False))
+    return points.filter(ok if permissive else F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("a point has no finite coordinates")).cast("boolean")))
+
+
 def strict(left: DataFrame, matched: DataFrame, id: str) -> DataFrame:
     """matched, but the query fails on the first left row that isn't in it."""
     wanted, marked = left.select(F.col(id).alias("_wanted")), matched.withColumn("_got", F.col(id))

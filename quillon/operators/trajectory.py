@@ -281,15 +281,26 @@ def follow_waypoints(feedback: DataFrame, waypoints: Sequence[tuple[float, float
     return ordered_scan(ready, list(by), list(order), step, schema)
 
 
-def turn_speed(df: DataFrame, by: Sequence[str], order: Sequence[str], speed: str, max_acceleration: float, approach_speed: float, sharp_angle: float = math.pi / 2, axes: Sequence[str] = ("x", "y")) -> DataFrame:
-    """Lower speed to what the turn at each row allows: sqrt(max_acceleration * circumradius), no less than approach_speed; sharp turns get approach_speed."""
+def turn_speed(df: DataFrame, by: Sequence[str], order: Sequence[str], speed: str, max_acceleration: float, approach_speed: float, sharp_angle: float = math.pi / 2, axes: Sequence[str] = ("x", "y"), pivot: bool = False) -> DataFrame:
+    """Lower speed to what the turn at each row allows: sqrt(max_acceleration * circumradius), no less than approach_speed; sharp turns get approach_speed.
+
+    pivot: adds relative_heading, 0, and after each sharp turn a further row with speed 0 and the turn's angle (positive anticlockwise).
+    """
     w = _window(by, order)
     a, b, c = _lag(axes, w), _cols(axes), _lag(axes, w, -1)
     ab, bc, ca = V.distance(a, b), V.distance(b, c), V.distance(c, a)
     area = F.sqrt(F.greatest(F.lit(0.0), (ab + bc + ca) * (bc + ca - ab) * (ab + ca - bc) * (ab + bc - ca))) / 4
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(V.subtract(b, a), V.subtract(c, b)) / (ab * bc))))
     limit = F.when(angle >= sharp_angle, F.lit(approach_speed)).when(area > 0, F.greatest(F.lit(approach_speed), F.sqrt(max_acceleration * ab * bc * ca / (4 * area))))
-    return df.withColumn(speed, F.when((ab > 0) & (bc > 0), F.least(F.col(speed), F.coalesce(limit, F.col(speed)))).otherwise(F.col(speed)))
+    slowed = F.when((ab > 0) & (bc > 0), F.least(F.col(speed), F.coalesce(limit, F.col(speed)))).otherwise(F.col(speed))
+    if not pivot:
+        return df.withColumn(speed, slowed)
+    (ax, ay), (bx, by_) = V.subtract(b, a)[:2], V.subtract(c, b)[:2]
+    turn = F.atan2(ax * by_ - ay * bx, ax * bx + ay * by_)
+    out = df.withColumns({"_v": slowed, "_turn": F.when((ab > 0) & (bc > 0) & (angle >= sharp_angle), turn)})
+    moving = F.struct(F.col("_v").alias("v"), F.lit(0.0).alias("h"))
+    both = F.when(F.col("_turn").isNull(), F.array(moving)).otherwise(F.array(moving, F.struct(F.lit(0.0).alias("v"), F.col("_turn").alias("h"))))
+    return out.withColumn("_b", F.explode(both)).withColumns({speed: F.col("_b.v"), "relative_heading": F.col("_b.h")}).drop("_v", "_b", "_turn")
 
 
 def braking_speed(df: DataFrame, by: Sequence[str], order: Sequence[str], speed: str, deceleration: float, axes: Sequence[str] = ("x", "y")) -> DataFrame:
@@ -327,12 +338,24 @@ def pid(df: DataFrame, by: Sequence[str], order: str, error: str, p: float, i: f
     return ordered_scan(ready, list(by), [order], step, ready.withColumn("command", F.lit(0.0)).schema)
 
 
-def carrots(feedback: DataFrame, path: DataFrame, by: Sequence[str], order: Sequence[str], search: float, max_ratio: float, max_arc: float, axes: Sequence[str] = ("x", "y")) -> DataFrame:
-    """Each feedback row (id, axes) with the path row it is nearest to (within search) and that row's furthest fair look-ahead: near_row, carrot_row, carrot_<axis>."""
+def carrots(feedback: DataFrame, path: DataFrame, by: Sequence[str], order: Sequence[str], search: float, max_ratio: float, max_arc: float, axes: Sequence[str] = ("x", "y"), stuck_timeout: float | None = None, time: str = "t") -> DataFrame:
+    """Each feedback row (id, axes) with the path row it is nearest to (within search) and that row's furthest fair look-ahead: near_row, carrot_row, carrot_<axis>.
+
+    stuck_timeout: while the furthest near row so far has not advanced, near_row is pushed forward by one row, up to the last, for each such time (column
+    time, of the unit of stuck_timeout; feedback rows are ordered by it and id).
+    """
     from quillon.operators.spatial_join import RIGHT, nearest_within
 
     found = chords(path, by, order, axes, max_ratio, max_arc)
     near = nearest_within(feedback, found.select(*by, *axes, "row", "to_row"), search, "id", "row", axes=axes, keys=by)
     target = found.select(*by, F.col("row").alias("carrot_row"), *[F.col(c).alias(f"carrot_{c}") for c in axes])
     near = near.select(*feedback.columns, F.col(RIGHT + "row").alias("near_row"), F.col(RIGHT + "to_row").alias("carrot_row"))
+    if stuck_timeout is not None:
+        w = _window(by, [time, "id"])
+        so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        furthest = near.withColumn("_far", F.max("near_row").over(so_far))
+        moved = furthest.withColumn("_new", F.coalesce(F.col("_far") > F.lag("_far").over(w), F.lit(True))).withColumn("_since", F.last(F.when(F.col("_new"), F.col(time)), ignorenulls=True).over(so_far))
+        last = found.groupBy(*by).agg(F.max("row").alias("_last"))
+        pushed = moved.join(last, list(by)).withColumn("near_row", F.least(F.col("_last").cast("long"), F.col("near_row") + F.floor((F.col(time) - F.col("_since")) / stuck_timeout)))
+        near = pushed.drop("carrot_row", "_far", "_new", "_since", "_last").join(found.select(*by, F.col("row").cast("long").alias("near_row"), F.col("to_row").alias("carrot_row")), [*by, "near_row"])
     return near.join(target, [*by, "carrot_row"])

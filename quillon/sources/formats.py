@@ -122,23 +122,77 @@ def read_csv_records(spark: SparkSession, path: str, fields: str, types: str) ->
 # --- lidar and cloud files -------------------------------------------------------------------------------------------------
 
 
-def _files(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
-    """parse(bytes) -> list of record batches, file by file."""
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of files; each is read as a whole."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def _parsed(content: DataFrame, parse, schema: str) -> DataFrame:
+    """parse(path, bytes) -> tables, file by file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                for out in parse(name, content):
+            for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                for out in parse(name, data):
                     yield from out.to_batches(max_chunksize=50_000)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return content.select("path", "content").mapInArrow(run, schema)
+
+
+def _encoded(df: DataFrame, columns: Sequence[str], encode, extension: str, rows: int) -> DataFrame:
+    """(path, content): files of up to so many rows each, numbered by task; encode(arrays by column) -> bytes. They are content only: to store them is the caller's."""
+    task = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).withColumn("_task", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, number, name = [], 0, 0, 0
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            data = encode({c: t.column(c).to_numpy() for c in columns})
+            return pa.record_batch([pa.array([f"part-{name}-{number}.{extension}"]), pa.array([data], pa.binary())], ["path", "content"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n, name = n + b.num_rows, b.column("_task")[0].as_py()
+            if n >= rows:
+                yield flush()
+                held, n, number = [], 0, number + 1
+        if held:
+            yield flush()
+
+    return task.mapInArrow(run, "path string, content binary")
 
 
 LAS = "path string, x double, y double, z double, intensity int, return_number int, classification int, gps_time double"
 
 
 def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """Points of LAS files (formats 0 to 10); gps_time is null where the format has none."""
+    return las_points(files(spark, path))
+
+
+def las_files(df: DataFrame, resolution: float = 0.001, rows: int = 1_000_000) -> DataFrame:
+    """(path, content): LAS 1.2 files, point format 0, of points (x, y, z, intensity); coordinates in steps of resolution. Nulls are not allowed."""
+
+    def encode(v: dict[str, np.ndarray]) -> bytes:
+        at = np.column_stack([v[c] for c in "xyz"])
+        offset = np.floor(at.min(axis=0))
+        a = np.zeros(len(at), np.dtype({"names": ["p", "i"], "formats": [("<i4", (3,)), "<u2"], "offsets": [0, 12], "itemsize": 20}))
+        a["p"], a["i"] = np.round((at - offset) / resolution), v["intensity"]
+        head = bytearray(227)
+        head[:4] = b"LASF"
+        struct.pack_into("<BB", head, 24, 1, 2)
+        struct.pack_into("<HII", head, 94, 227, 227, 0)
+        struct.pack_into("<BHI", head, 104, 0, 20, len(a))
+        struct.pack_into("<6d", head, 131, *[resolution] * 3, *offset)
+        struct.pack_into("<6d", head, 179, *np.column_stack([at.max(axis=0), at.min(axis=0)]).ravel())
+        return bytes(head) + a.tobytes()
+
+    return _encoded(df, ["x", "y", "z", "intensity"], encode, "las", rows)
+
+
+def las_points(content: DataFrame) -> DataFrame:
+    """Points of LAS files (path, content) of formats 0 to 10; gps_time is null where the format has none."""
 
     def parse(name: str, c: bytes) -> Iterator[pa.Table]:
         if c[:4] != b"LASF":
@@ -158,11 +212,62 @@ def read_las(spark: SparkSession, path: str) -> DataFrame:
         cols += [pa.array((a["ret"] & (15 if new else 7)).astype(np.int32)), pa.array((a["cls"] if new else a["cls"] & 31).astype(np.int32)), pa.array(a["t"]) if "t" in names else pa.nulls(n, pa.float64())]
         yield pa.table(cols, names=["path", "x", "y", "z", "intensity", "return_number", "classification", "gps_time"])
 
-    return _files(spark, path, parse, LAS)
+    return _parsed(content, parse, LAS)
+
+
+def lzf_expand(data: bytes, size: int) -> bytes:
+    """LZF: runs of literal bytes, and copies of what came before."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        control = data[at]
+        at += 1
+        if control < 32:
+            out += data[at : at + control + 1]
+            at += control + 1
+            continue
+        length = control >> 5
+        if length == 7:
+            length += data[at]
+            at += 1
+        start = len(out) - ((control & 31) << 8) - data[at] - 1
+        at += 1
+        for k in range(length + 2):  # a copy may run into itself
+            out.append(out[start + k])
+    if len(out) != size:
+        raise ValueError("compressed data of another size than it says")
+    return bytes(out)
+
+
+def lzf_literal(data: bytes) -> bytes:
+    """Data as an LZF stream of literal runs only."""
+    return b"".join(bytes([len(p) - 1]) + p for p in (data[k : k + 32] for k in range(0, len(data), 32)))
+
+
+def pcd_files(df: DataFrame, fields: Sequence[str] = ("x", "y", "z"), kind: str = "binary", rows: int = 1_000_000) -> DataFrame:
+    """(path, content): PCD files of doubles; kind ascii, binary or binary_compressed (by fields, and for readers' sake only: nothing is made smaller)."""
+
+    def encode(v: dict[str, np.ndarray]) -> bytes:
+        n, k = len(v[fields[0]]), len(fields)
+        head = ["# .PCD v0.7", "VERSION 0.7", "FIELDS " + " ".join(fields), "SIZE" + " 8" * k, "TYPE" + " F" * k, "COUNT" + " 1" * k, f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", f"DATA {kind}", ""]
+        if kind == "ascii":
+            body = "".join(" ".join(map(repr, r)) + "\n" for r in np.column_stack([v[f] for f in fields]).tolist()).encode()
+        elif kind == "binary":
+            body = np.ascontiguousarray(np.column_stack([v[f] for f in fields])).astype("<f8").tobytes()
+        else:
+            flat = b"".join(v[f].astype("<f8").tobytes() for f in fields)
+            packed = lzf_literal(flat)
+            body = struct.pack("<II", len(packed), len(flat)) + packed
+        return "\n".join(head).encode() + body
+
+    return _encoded(df, list(fields), encode, "pcd", rows)
 
 
 def read_pcd(spark: SparkSession, path: str, fields: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """Fields of PCD files, ascii or binary, as doubles; a field that a file doesn't have is null."""
+    return pcd_points(files(spark, path), fields)
+
+
+def pcd_points(content: DataFrame, fields: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Fields of PCD files (path, content), ascii, binary or compressed, as doubles; a field that a file doesn't have is null."""
 
     def parse(name: str, c: bytes) -> Iterator[pa.Table]:
         head, at = {}, 0
@@ -184,10 +289,14 @@ def read_pcd(spark: SparkSession, path: str, fields: Sequence[str] = ("x", "y",
             a = np.frombuffer(c, layout, n, at)
             got = {f: a[f"{f}_{k}"][:, 0].astype(float) for k, f in enumerate(head["FIELDS"])}
         else:
-            raise ValueError(f"{name}: compressed data isn't read")
+            packed, size = struct.unpack_from("<II", c, at)
+            flat, got, begin = lzf_expand(c[at + 8 : at + 8 + packed], size), {}, 0
+            for f, t, width, m in zip(head["FIELDS"], head["TYPE"], map(int, head["SIZE"]), count, strict=True):
+                got[f] = np.frombuffer(flat, f"<{t.lower()}{width}", n * m, begin).reshape(n, m)[:, 0].astype(float)
+                begin += n * m * width
         yield pa.table([pa.array([name] * n, pa.string()), *[pa.array(got[f]) if f in got else pa.nulls(n, pa.float64()) for f in fields]], names=["path", *fields])
 
-    return _files(spark, path, parse, ", ".join(["path string", *[f"`{f}` double" for f in fields]]))
+    return _parsed(content, parse, ", ".join(["path string", *[f"`{f}` double" for f in fields]]))
 
 
 def pcd_lines(df: DataFrame, fields: Sequence[str] = ("x", "y", "z")) -> tuple[list[str], DataFrame]:
@@ -199,7 +308,11 @@ def pcd_lines(df: DataFrame, fields: Sequence[str] = ("x", "y", "z")) -> tuple[l
 
 
 def read_dem(spark: SparkSession, path: str) -> DataFrame:
-    """Cell centres (path, x, y, z) of ESRI ascii grids; cells without data are left out."""
+    return dem_cells(files(spark, path))
+
+
+def dem_cells(content: DataFrame) -> DataFrame:
+    """Cell centres (path, x, y, z) of ESRI ascii grids (path, content); cells without data are left out."""
 
     def parse(name: str, c: bytes) -> Iterator[pa.Table]:
         words = c.split()
@@ -215,7 +328,7 @@ def read_dem(spark: SparkSession, path: str) -> DataFrame:
         x, y = np.tile(x0 + np.arange(cols) * size, rows), np.repeat(y0 + np.arange(rows)[::-1] * size, cols)
         yield pa.table([pa.array([name] * int(ok.sum()), pa.string()), pa.array(x[ok]), pa.array(y[ok]), pa.array(z[ok])], names=["path", "x", "y", "z"])
 
-    return _files(spark, path, parse, "path string, x double, y double, z double")
+    return _parsed(content, parse, "path string, x double, y double, z double")
 
 
 # --- navigation ------------------------------------------------------------------------------------------------------------
@@ -235,7 +348,7 @@ def _degrees(value: Column, hemisphere: Column) -> Column:
 
 
 def parse_nmea(lines: DataFrame, column: str = "value", permissive: bool = False) -> DataFrame:
-    """Add talker, sentence, utc, lat, lon (degrees), altitude, quality, satellites, speed_knots, course to GGA and RMC sentences.
+    """Add talker, sentence, utc, lat, lon (degrees), altitude, quality, satellites, speed_knots, course, heading and day of GGA, RMC, GLL, VTG, HDT and ZDA sentences.
 
     Other sentences have those fields null. Lines whose checksum is wrong or missing are dropped, unless permissive.
     """
@@ -245,13 +358,14 @@ def parse_nmea(lines: DataFrame, column: str = "value", permissive: bool = False
         got = got.filter(F.upper(F.regexp_extract(F.trim(column), r"\*([0-9A-Fa-f]{2})\s*$", 1)) == nmea_checksum(F.trim(column)))
     part = lambda i: F.nullif(F.get("_f", F.lit(i)), F.lit(""))
     kind = F.substring(F.element_at("_f", 1), 3, 3)
-    gga, rmc = kind == "GGA", kind == "RMC"
+    gga, rmc, gll, vtg, hdt, zda = (kind == k for k in ("GGA", "RMC", "GLL", "VTG", "HDT", "ZDA"))
+    on = F.when(rmc, F.try_to_date(part(9), "ddMMyy")).when(zda, F.try_to_date(F.concat_ws("-", part(4), part(3), part(2)), "yyyy-MM-dd"))
     number = lambda i, t: part(i).try_cast(t)
     return got.withColumns({
-        "talker": F.substring(F.element_at("_f", 1), 1, 2), "sentence": kind, "utc": F.when(gga | rmc, part(1)),
-        "lat": F.when(gga, _degrees(part(2), part(3))).when(rmc, _degrees(part(3), part(4))), "lon": F.when(gga, _degrees(part(4), part(5))).when(rmc, _degrees(part(5), part(6))),
+        "talker": F.substring(F.element_at("_f", 1), 1, 2), "sentence": kind, "utc": F.when(gga | rmc | zda, part(1)).when(gll, part(5)),
+        "lat": F.when(gga, _degrees(part(2), part(3))).when(rmc, _degrees(part(3), part(4))).when(gll, _degrees(part(1), part(2))), "lon": F.when(gga, _degrees(part(4), part(5))).when(rmc, _degrees(part(5), part(6))).when(gll, _degrees(part(3), part(4))),
         "altitude": F.when(gga, number(9, "double")), "quality": F.when(gga, number(6, "int")), "satellites": F.when(gga, number(7, "int")),
-        "speed_knots": F.when(rmc, number(7, "double")), "course": F.when(rmc, number(8, "double")),
+        "speed_knots": F.when(rmc, number(7, "double")).when(vtg, number(5, "double")), "course": F.when(rmc, number(8, "double")).when(vtg, number(1, "double")), "heading": F.when(hdt, number(1, "double")), "day": on,
     }).drop("_f")
 
 
@@ -262,8 +376,8 @@ def _xml(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
 
 
-def svg_elements(df: DataFrame, kind: str, colour: str = "black", width: float = 1.0) -> DataFrame:
-    """One SVG element for each row: circle (x, y, radius), line (x1, y1, x2, y2) or text (x, y, text)."""
+def svg_elements(df: DataFrame, kind: str, colour: str = "black", width: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
+    """One SVG element (value) for each row: circle (x, y, radius), line (x1, y1, x2, y2) or text (x, y, text); columns to keep come before it."""
     s = lambda c: F.col(c).cast("double").cast("string")
     if kind == "circle":
         v = F.concat(F.lit('<circle cx="'), s("x"), F.lit('" cy="'), s("y"), F.lit('" r="'), s("radius"), F.lit(f'" fill="none" stroke="{colour}" stroke-width="{width}"/>'))
@@ -273,14 +387,14 @@ def svg_elements(df: DataFrame, kind: str, colour: str = "black", width: float =
         v = F.concat(F.lit('<text x="'), s("x"), F.lit('" y="'), s("y"), F.lit(f'" fill="{colour}">'), _xml(F.col("text")), F.lit("</text>"))
     else:
         raise ValueError(f"no such element: {kind}")
-    return df.select(v.alias("value"))
+    return df.select(*keep, v.alias("value"))
 
 
-def kml_placemarks(df: DataFrame, name: str, lat: str, lon: str, height: str | None = None) -> DataFrame:
-    """One KML placemark for each row; null without a place."""
+def kml_placemarks(df: DataFrame, name: str, lat: str, lon: str, height: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """One KML placemark (value) for each row; null without a place; columns to keep come before it."""
     z = F.concat(F.lit(","), F.col(height).cast("double").cast("string")) if height else F.lit("")
     at = F.concat(F.col(lon).cast("double").cast("string"), F.lit(","), F.col(lat).cast("double").cast("string"), z)
-    return df.select(F.concat(F.lit("<Placemark><name>"), _xml(F.coalesce(F.col(name).cast("string"), F.lit(""))), F.lit("</name><Point><coordinates>"), at, F.lit("</coordinates></Point></Placemark>")).alias("value"))
+    return df.select(*keep, F.concat(F.lit("<Placemark><name>"), _xml(F.coalesce(F.col(name).cast("string"), F.lit(""))), F.lit("</name><Point><coordinates>"), at, F.lit("</coordinates></Point></Placemark>")).alias("value"))
 
 
 # --- made data ---------------------------------------------------------------------------------------------------------------
