@@ -335,10 +335,10 @@ def grow_regions(points: DataFrame, normals_: DataFrame, radius: float, angle: f
 
 def far_from_neighbours(points: DataFrame, radius: float, k: int, deviations: float, id: str = "id", keys: Sequence[str] = (), axes: Sequence[str] = ("x", "y", "z"), over: Sequence[str] | None = None) -> DataFrame:
     """Add mean_distance to the k nearest others within the radius and outlier: above mean + deviations * standard deviation of all points with equal over (default: keys), or without any other."""
-    from quillon.operators.spatial_join import nearest_within
+    from quillon.operators.spatial_join import nearest_ids
 
     slim = points.select(id, *keys, *axes)
-    near = nearest_within(slim, slim, radius, id, id, k=max(2, k), axes=axes, keys=keys, ids=("differ", id)).filter(F.col("rank") <= k)
+    near = nearest_ids(slim, slim, radius, id, id, k=max(2, k), axes=axes, keys=keys, ids=("differ", id)).filter(F.col("rank") <= k)
     means = near.groupBy(id).agg(F.avg("distance").alias("mean_distance"))
     joined = points.join(means.withColumnRenamed(id, "_id"), F.col(id) == F.col("_id"), "left").drop("_id")
     over = list(keys if over is None else over)

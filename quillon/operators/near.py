@@ -103,7 +103,7 @@ class SplitTree:
     def route(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for each leaf that the box low..high of a row touches."""
         rows, nodes = np.arange(len(low)), np.zeros(len(low), dtype=np.int64)
-        done_rows, done_leaves = [], []
+        done_rows, done_leaves = [rows[:0]], [nodes[:0]]
         while len(rows):
             axis = self.axis[nodes]
             end = axis < 0
@@ -358,6 +358,91 @@ def near_and_inside(points: DataFrame, radius: float, regions: DataFrame | None
     return routed.groupBy("leaf").applyInArrow(search, FOUND)
 
 
+LEFT, RIGHT, BOTH = 0, 1, 2
+
+
+def neighbours(left: DataFrame, right: DataFrame | None, radius: float, *, left_id: str = "id", right_id: str = "id", group: str | None = None, axes: tuple[str, str, str] = ("x", "y", "z"), k: int | None = 1, differ: bool = False, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(left_id, right_id, rank, distance2): the k nearest right rows of each left row within the radius (ties: the least right id), or with k null (left_id, n), how many there are.
+
+    right null: the left rows themselves. differ: rows of equal ids don't meet. ids and group are integers; a null in them, or a coordinate that is null, NaN or
+    infinite, takes part in nothing. Left rows without a neighbour are left out. Only ids and coordinates are shuffled: each left row once, each right
+    row once and once more for each further leaf within the radius. A leaf keeps its best k for each row, so that dense places need no room for all pairs.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+
+    def slim(df: DataFrame, id: str, side: int) -> DataFrame:
+        out = df.select(F.lit(side).cast("byte").alias("what"), F.col(id).cast("long").alias("id"), (F.col(group).cast("long") if group else F.lit(0).cast("long")).alias("grp"), *[F.col(a).cast("double").alias(c) for a, c in zip(axes, "xyz", strict=True)])
+        return out.filter(F.col("id").isNotNull() & F.col("grp").isNotNull() & finite("x") & finite("y") & finite("z"))
+
+    alone = right is None
+    rows = slim(left, left_id, BOTH if alone else LEFT)
+    if right is not None:
+        rows = rows.unionByName(slim(right, right_id, RIGHT))
+    tree = fit_splits(rows, leaf_rows, sample_rows)
+    reach = np.array([0, radius, radius, radius]) * (1 + 1e-9)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in AXES])
+            what = b.column("what").to_numpy(zero_copy_only=False)
+            home_of = np.empty(len(at), dtype=np.int64)
+            r, home = tree.route(at, at)
+            home_of[r] = home
+            far = np.flatnonzero(what != LEFT)
+            i, leaf = tree.route((at - reach)[far], (at + reach)[far])
+            i = far[i]
+            away = home_of[i] != leaf
+            i, leaf = np.concatenate([np.arange(len(at)), i[away]]), np.concatenate([home_of, leaf[away]])
+            side = np.where(np.arange(len(i)) < len(at), what[i], RIGHT)
+            yield pa.record_batch([pa.array(leaf.astype(np.int32)), pa.array(side.astype(np.int8)), *[b.column(c).take(pa.array(i)) for c in ("id", *AXES)]], ["leaf", "what", "id", *AXES])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        ids, what, grp = (table.column(c).to_numpy() for c in ("id", "what", "grp"))
+        at = np.column_stack([table.column(c).to_numpy().astype(float) for c in AXES])
+        found = np.zeros(len(ids), dtype=np.int64)
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for i, j in close_pairs(at, radius):
+            d2 = ((at[i, 1:] - at[j, 1:]) ** 2).sum(axis=1)
+            i, j, d2 = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d2, d2])
+            ok = (what[i] != RIGHT) & (what[j] != LEFT) & (grp[i] == grp[j])
+            if differ:
+                ok &= ids[i] != ids[j]
+            i, j, d2 = i[ok], j[ok], d2[ok]
+            if k is None:
+                found += np.bincount(i, minlength=len(ids))
+                continue
+            best = _nearest_k(*(np.concatenate(p) for p in zip(best, (i, ids[j], d2), strict=True)), k)
+        if not differ and alone:  # a row meets itself
+            own = np.flatnonzero(what == BOTH)
+            found[own] += 1
+            if k is not None:
+                best = _nearest_k(*(np.concatenate(p) for p in zip(best, (own, ids[own], np.zeros(len(own))), strict=True)), k)
+        if k is None:
+            have = np.flatnonzero(found)
+            yield pa.record_batch([pa.array(ids[have]), pa.array(found[have])], ["left_id", "n"])
+            return
+        i, other, d2 = best
+        if len(i):
+            first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) + 1
+            yield pa.record_batch([pa.array(ids[i]), pa.array(other), pa.array(rank.astype(np.int32)), pa.array(d2)], ["left_id", "right_id", "rank", "distance2"])
+
+    routed = rows.mapInArrow(route, "leaf int, what byte, id long, grp long, x double, y double, z double")
+    return routed.groupBy("leaf").applyInArrow(search, "left_id long, n long" if k is None else "left_id long, right_id long, rank int, distance2 double")
+
+
+def _nearest_k(i: np.ndarray, other: np.ndarray, d2: np.ndarray, k: int) -> list[np.ndarray]:
+    """Of each i, in order, the k entries of least d2 (ties: the least other)."""
+    order = np.lexsort((other, d2, i))
+    i, other, d2 = i[order], other[order], d2[order]
+    if not len(i):
+        return [i, other, d2]
+    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    keep = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < k
+    return [i[keep], other[keep], d2[keep]]
+
+
 def shapes_key(s: tuple) -> tuple:
     """The region as nested tuples, so that repeated region rows count once."""
     rid, shape, low, high, centre, radius, ring = s

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 from quillon.operators import voxels
-from quillon.operators.spatial_join import RIGHT, nearest_within, pairs_within, with_cells, with_neighbour_cells
+from quillon.operators.spatial_join import RIGHT, nearest_ids, pairs_within, with_cells, with_neighbour_cells
 from quillon.plans.partitioning import cut_lineage, discard
 
 XYZ = ("x", "y", "z")
@@ -32,9 +32,9 @@ def _attach(points: DataFrame, found: DataFrame, id: str, columns: dict[str, Col
 
 def nearest_other(points: DataFrame, radius: float, id: str = "id", keys: Sequence[str] = (), axes: Sequence[str] = XYZ) -> DataFrame:
     """Add reference_id and distance of the nearest other point within the radius; the point itself and 0 if there is none. Ties: the least id."""
-    pairs = _self_pairs(points, radius, id, keys, axes, ids=("differ", id))
-    best = pairs.groupBy(id).agg(F.min(F.struct(F.col("distance2"), F.col(RIGHT + id).alias("_ref"))).alias("_best"))
-    return _attach(points, best, id, {"reference_id": F.coalesce(F.col("_best._ref"), points[id]), "distance": F.coalesce(F.sqrt("_best.distance2"), F.lit(0.0))})
+    slim = points.select(*dict.fromkeys([id, *keys, *axes]))
+    best = nearest_ids(slim, slim, radius, id, id, axes=axes, keys=keys, ids=("differ", id)).withColumnRenamed(RIGHT + id, "_ref")
+    return _attach(points, best, id, {"reference_id": F.coalesce("_ref", points[id]), "distance": F.coalesce("distance", F.lit(0.0))})
 
 
 def nearest_extremum(points: DataFrame, radius: float, scalar: str = "scalar", largest: bool = True, id: str = "id", keys: Sequence[str] = (), axes: Sequence[str] = XYZ) -> DataFrame:
@@ -77,7 +77,7 @@ def local_extrema(points: DataFrame, radius: float, scalar: str = "scalar", larg
     usable = points.filter(F.col(scalar).isNotNull())
     extrema = usable.join(losers, id, "left_anti").select(F.col(id), *keys, *axes)
     slim = usable.select(id, *keys, *axes)
-    best = nearest_within(slim, extrema, radius, id, id, axes=axes, keys=keys).select(id, F.col(RIGHT + id).alias("_ref"), "distance")
+    best = nearest_ids(slim, extrema, radius, id, id, axes=axes, keys=keys).select(id, F.col(RIGHT + id).alias("_ref"), "distance")
     if not trace:
         return _attach(points, best, id, {"reference_id": F.col("_ref"), "distance": F.coalesce("distance", F.lit(0.0))})
     known = cut_lineage(best.select(id, "_ref"))

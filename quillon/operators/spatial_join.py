@@ -1,8 +1,9 @@
 """Joins of points by distance, of points with triangles, and of scans in polar coordinates.
 
-A distance is no equality, so each side gets the cell of a grid as wide as the radius; the right side is copied to the 3^d cells
-about its own, and the join is on cells (and blocks). A pair of points meets in exactly one cell, so nothing is found twice. Cells
-are equi-join keys, so hot ones are split by adaptive skew joins, or by salts here.
+A distance is no equality, so each side gets the cells of a grid twice as wide as the radius; a left row stands in its own cell, a right row in the 2^d
+cells that its radius touches, and the join is on cells (and blocks). A pair of points meets in exactly one cell, so nothing is found twice. Cells
+are equi-join keys, so hot ones are split by adaptive skew joins, or by salts here. The nearest rows, and their number, need no pairs at all: they are
+found in the leaves of k-d splits (near.neighbours), by ids and coordinates only.
 """
 
 from __future__ import annotations
@@ -58,8 +59,10 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float, axes: Sequenc
     pair with nothing. Both ends of the range count. how: inner, left_semi or left_anti (then only left columns come out).
     """
     r = right.filter(_finite(axes)).withColumnsRenamed({c: RIGHT + c for c in right.columns})
-    r = with_neighbour_cells(with_cells(r, [RIGHT + c for c in axes], radius), len(axes))
-    lefts = with_cells(left if how == "left_anti" else left.filter(_finite(axes)), axes, radius)
+    side = 2 * radius
+    for i, c in enumerate(axes):
+        r = r.withColumn(f"_i{i}", F.explode(F.sequence(cell(F.col(RIGHT + c) - radius * (1 + 1e-9), side), cell(F.col(RIGHT + c) + radius * (1 + 1e-9), side))))
+    lefts = with_cells(left if how == "left_anti" else left.filter(_finite(axes)), axes, side)
     d2 = _square(axes)
     limit = radius * radius
     near = d2 <= (F.least(F.coalesce(F.col(row_radius), F.lit(radius)), F.lit(radius)) ** 2 if row_radius else F.lit(limit))
@@ -83,8 +86,41 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float, axes: Sequenc
     return out if how in ("left_semi", "left_anti") else out.withColumn("distance2", _square(axes))
 
 
+def _in_leaves(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, k: int | None, options: dict) -> DataFrame | None:
+    """near.neighbours, if the options, and the types of ids and keys, are such that it has them."""
+    from quillon.operators.near import neighbours
+
+    axes, keys, ids = tuple(options.get("axes", ("x", "y", "z"))), list(options.get("keys", ())), options.get("ids")
+    whole = lambda df, c: df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")
+    plain = set(options) <= {"axes", "keys", "ids"} and len(axes) == 3 and len(keys) <= 1 and (ids is None or ids == ("differ", left_id) and left_id == right_id)
+    if not plain or not all(whole(df, c) for df, c in [(left, left_id), (right, right_id), *[(df, c) for c in keys for df in (left, right)]]):
+        return None
+    return neighbours(left, None if right is left else right, radius, left_id=left_id, right_id=right_id, group=keys[0] if keys else None, axes=axes, k=k, differ=ids is not None)
+
+
+def nearest_ids(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, k: int = 1, **options) -> DataFrame:
+    """(<left_id>, right_<right_id>, rank, distance): nearest_within without the other columns, for which nothing but ids and coordinates is shuffled."""
+    found = _in_leaves(left, right, radius, left_id, right_id, k, options)
+    if found is None:
+        return _nearest_of_pairs(left, right, radius, left_id, right_id, k, **options).select(left_id, RIGHT + right_id, "rank", "distance")
+    return found.select(F.col("left_id").alias(left_id), F.col("right_id").alias(RIGHT + right_id), "rank", F.sqrt("distance2").alias("distance"))
+
+
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, k: int = 1, **options) -> DataFrame:
-    """The k nearest right rows of each left row within the radius, with distance; left rows without any are left out. Ties: the least right id."""
+    """The k nearest right rows of each left row within the radius, with distance; left rows without any are left out. Ties: the least right id.
+
+    Ids are unique on their side. With options beyond axes, keys and different ids the pairs are made and the best of them taken.
+    """
+    found = _in_leaves(left, right, radius, left_id, right_id, k, options)
+    if found is None:
+        return _nearest_of_pairs(left, right, radius, left_id, right_id, k, **options)
+    found = found.select(F.col("left_id").alias(left_id), F.col("right_id").alias(RIGHT + right_id), "rank", F.sqrt("distance2").alias("distance"))
+    if len(right.columns) > 1:
+        found = found.join(right.withColumnsRenamed({c: RIGHT + c for c in right.columns}), RIGHT + right_id)
+    return found.join(left, left_id).select(*left.columns, *[RIGHT + c for c in right.columns], "rank", "distance")
+
+
+def _nearest_of_pairs(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, k: int, **options) -> DataFrame:
     pairs = pairs_within(left, right, radius, **options)
     order = F.struct(F.col("distance2"), F.col(RIGHT + right_id))
     if k == 1:
@@ -97,7 +133,10 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, left_id: st
 
 
 def count_within(left: DataFrame, right: DataFrame, radius: float, left_id: str, **options) -> DataFrame:
-    """Each left row with count, the number of right rows within the radius; 0 is kept."""
+    """Each left row with count, the number of right rows within the radius; 0 is kept. Ids are unique on their side; right rows need a column of left_id's name, or pairs are made."""
+    found = _in_leaves(left, right, radius, left_id, left_id, None, options) if left_id in right.columns else None
+    if found is not None:
+        return left.join(found, left[left_id] == found["left_id"], "left").select(*[left[c] for c in left.columns], F.coalesce("n", F.lit(0)).alias("count"))
     counts = pairs_within(left.select(*dict.fromkeys([left_id, *options.get("axes", ("x", "y", "z")), *options.get("keys", ())])), right, radius, **options).groupBy(F.col(left_id).alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
     return left.join(counts, left[left_id] == counts["_id"], "left").select(*[left[c] for c in left.columns], F.coalesce("_n", F.lit(0)).alias("count"))
 

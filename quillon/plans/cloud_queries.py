@@ -57,13 +57,13 @@ def rounded(c: str | Column, digits: int = 6) -> Column:
 @R.add("j01_nearest", f"with {pairs_sql(NEAR, 'a.id <> b.id')} select a_id as id, arg_min(b_id, (d2, b_id)) as other, round(sqrt(min(d2)), 6) as distance from pairs group by 1")
 def j01(spark: SparkSession, d: str) -> DataFrame:
     c = cloud(spark, d)
-    return spatial_join.nearest_within(c, c, NEAR, "id", "id", ids=("differ", "id"), **SELF).select("id", F.col("right_id").alias("other"), rounded("distance").alias("distance"))
+    return spatial_join.nearest_ids(c, c, NEAR, "id", "id", ids=("differ", "id"), **SELF).select("id", F.col("right_id").alias("other"), rounded("distance").alias("distance"))
 
 
 @R.add("j02_k_nearest", f"with {pairs_sql(NEAR, 'a.id <> b.id')}, n as (select a_id, b_id, d2, row_number() over (partition by a_id order by d2, b_id) rank from pairs) select a_id as id, b_id as other, cast(rank as integer) as rank, round(sqrt(d2), 6) as distance from n where rank <= 3")
 def j02(spark: SparkSession, d: str) -> DataFrame:
     c = cloud(spark, d)
-    return spatial_join.nearest_within(c, c, NEAR, "id", "id", k=3, ids=("differ", "id"), **SELF).select("id", F.col("right_id").alias("other"), "rank", rounded("distance").alias("distance"))
+    return spatial_join.nearest_ids(c, c, NEAR, "id", "id", k=3, ids=("differ", "id"), **SELF).select("id", F.col("right_id").alias("other"), "rank", rounded("distance").alias("distance"))
 
 
 @R.add("j03_all_within", f"with {pairs_sql(NEAR, 'a.id < b.id')} select a_id as id, b_id as other, round(d2, 6) as distance2 from pairs")
