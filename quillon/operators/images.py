@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.voxels import components
-from quillon.plans.partitioning import extended, ordered_scan
+from quillon.plans.partitioning import chunked, extended, ordered_scan, own, running
 
 PIXEL = ["image", "y", "x", "channel"]
 
@@ -440,8 +440,16 @@ def undistort(pixels: DataFrame, height: int, width: int, focal: tuple[float, fl
 
 def accumulate(frames: DataFrame, how: str, order: str = "image", size: int | None = None) -> DataFrame:
     """Each pixel over the frames so far (or the last size frames): average, max, min or sum."""
-    w = Window.partitionBy("y", "x", "channel").orderBy(order).rowsBetween(Window.unboundedPreceding if size is None else 1 - size, Window.currentRow)
-    return each(frames, {"average": F.avg, "max": F.max, "min": F.min, "sum": F.sum}[how]("value").over(w))
+    by = ["y", "x", "channel"]
+    if size is not None:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - size, Window.currentRow)
+        return each(frames, {"average": F.avg, "max": F.max, "min": F.min, "sum": F.sum}[how]("value").over(w))
+    laid, _ = chunked(frames, by, [order])
+    rows = own(laid)
+    if how == "average":
+        rows = running(running(rows, by, [order], F.col("value"), "_s"), by, [order], F.when(F.col("value").isNotNull(), 1).otherwise(0), "_n")
+        return rows.withColumn("value", F.try_divide("_s", "_n")).drop("_s", "_n", "_chunk")
+    return running(rows.withColumnRenamed("value", "_v"), by, [order], F.col("_v"), "value", how).select(*frames.columns)
 
 
 def moving_average(frames: DataFrame, alpha: float, spin_up: int = 1, order: str = "image") -> DataFrame:

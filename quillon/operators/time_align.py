@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
-from quillon.plans.partitioning import ordered_scan
+from quillon.plans.partitioning import chunked, ordered_scan, own, running
 
 POSE = ("x", "y", "z", "roll", "pitch", "yaw")
 
@@ -21,8 +21,8 @@ def brackets(frames: DataFrame, by: list[str], time: str = "t") -> DataFrame:
     cols = [c for c in frames.columns if c not in by]
     whole = F.struct(*[F.col(c) for c in [time, *[c for c in cols if c != time]]])
     single = frames.filter(F.col(time).isNotNull()).groupBy(*by, F.col(time).alias("_t")).agg(F.max(whole).alias("first"))
-    w = Window.partitionBy(*by).orderBy("_t")
-    return single.withColumn("second", F.lead("first").over(w)).drop("_t")
+    laid, parts = chunked(single, by, ["_t"])
+    return own(laid.withColumn("second", F.lead("first").over(Window.partitionBy(*parts).orderBy("_t")))).drop("_t", "_chunk")
 
 
 def frame_at(points: DataFrame, frames: DataFrame, by: list[str], time: str = "t", interpolate: bool = True, max_gap: float | None = None, discard_out_of_order: bool = True, slice_width: float | None = None) -> DataFrame:
@@ -76,11 +76,11 @@ def clocked(df: DataFrame, by: list[str], order: list[str], time: str, period: f
     A row's deviation grows by what its step exceeds the period, and never falls below 0; adjusted is its time less the deviation. As a
     clamped sum that is the prefix sum less the least one so far.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stepped = df.withColumn("_e", F.coalesce(F.col(time) - F.lag(time).over(w) - period, F.lit(0.0))).withColumn("_s", F.sum("_e").over(so_far))
-    least = F.least(F.lit(0.0), F.min("_s").over(so_far))
-    return stepped.withColumn("adjusted", F.col(time) - (F.col("_s") - least)).drop("_e", "_s")
+    laid, parts = chunked(df, by, order)
+    step = F.coalesce(F.col(time) - F.lag(time).over(Window.partitionBy(*parts).orderBy(*order)) - period, F.lit(0.0))
+    summed = running(own(laid.withColumn("_e", step)), by, order, F.col("_e"), "_s")
+    least = running(summed, by, order, F.col("_s"), "_least", "min")
+    return least.withColumn("adjusted", F.col(time) - (F.col("_s") - F.least(F.lit(0.0), F.col("_least")))).drop("_e", "_s", "_least", "_chunk")
 
 
 def periodic(df: DataFrame, by: list[str], order: list[str], time: str, period: float, threshold: float, reset: float | None = None) -> DataFrame:

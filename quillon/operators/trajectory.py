@@ -2,7 +2,8 @@
 
 by: the columns of a path (rows of different paths don't meet), order: the columns that order it; they should order it fully, else ties
 are taken in any order. Coordinates that are null give nulls where they are needed. Empty tables give empty results; other columns are kept.
-What is a window or a prefix sum stays in the JVM; greedy scans stream through ordered_scan.
+What is a window or a prefix sum stays in the JVM, and is shared out over tasks where a path is very long (chunked); greedy scans stream
+through ordered_scan.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
-from quillon.plans.partitioning import ordered_scan
+from quillon.plans.partitioning import chunked, ordered_scan, own, running
 
 XYZ = ("x", "y", "z")
 
@@ -25,10 +26,6 @@ def _window(by: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def _all(by: Sequence[str], order: Sequence[str]) -> Window:
-    return _window(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def _lag(axes: Sequence[str], w: Window, n: int = 1) -> list[Column]:
     return [F.lag(c, n).over(w) if n > 0 else F.lead(c, -n).over(w) for c in axes]
 
@@ -39,28 +36,31 @@ def _cols(axes: Sequence[str]) -> list[Column]:
 
 def step_distance(df: DataFrame, by: Sequence[str], order: Sequence[str], axes: Sequence[str] = XYZ, following: bool = False, propagate: bool = False) -> DataFrame:
     """Add distance from the previous row, or with following to the next; 0 where there is none. propagate: a step of 0 repeats the last that isn't 0."""
-    w = _window(by, order)
-    d = F.coalesce(V.distance(_cols(axes), _lag(axes, w, -1 if following else 1)), F.lit(0.0))
-    out = df.withColumn("distance", d)
+    laid, parts = chunked(df, by, order)
+    return _steps(laid, parts, by, order, axes, following, propagate).drop("_chunk")
+
+
+def _steps(laid: DataFrame, parts: Sequence[str], by: Sequence[str], order: Sequence[str], axes: Sequence[str], following: bool = False, propagate: bool = False) -> DataFrame:
+    d = F.coalesce(V.distance(_cols(axes), _lag(axes, _window(parts, order), -1 if following else 1)), F.lit(0.0))
+    out = own(laid.withColumn("distance", d))
     if propagate:
-        last = F.last(F.when(F.col("distance") > 0, F.col("distance")), ignorenulls=True).over(_all(by, order))
-        out = out.withColumn("distance", F.coalesce(last, F.lit(0.0)))
+        out = running(out, by, order, F.when(F.col("distance") > 0, F.col("distance")), "_last", "last").withColumn("distance", F.coalesce("_last", F.lit(0.0))).drop("_last")
     return out
 
 
 def path_length(df: DataFrame, by: Sequence[str], order: Sequence[str], axes: Sequence[str] = XYZ, differential: bool = False) -> DataFrame:
     """Add distance so far along the path, 0 at its first row; differential: rows are steps, and each adds its own length."""
-    if differential:
-        return df.withColumn("distance", F.sum(V.norm(_cols(axes))).over(_all(by, order)))
-    return step_distance(df, by, order, axes).withColumn("distance", F.sum("distance").over(_all(by, order)))
+    laid, parts = chunked(df, by, order)
+    step = own(laid).withColumn("distance", V.norm(_cols(axes))) if differential else _steps(laid, parts, by, order, axes)
+    return running(step.withColumnRenamed("distance", "_step"), by, order, F.col("_step"), "distance").drop("_step", "_chunk")
 
 
 def turn_angle_axis(df: DataFrame, by: Sequence[str], order: Sequence[str], axes: Sequence[str] = XYZ, following: bool = False) -> DataFrame:
     """Add axis_x, axis_y, axis_z, angle of the shortest turn from the previous position vector to this one (following: from this to the next); 0s at the end."""
-    w = _window(by, order)
-    near = _lag(axes, w, -1 if following else 1)
-    parts = V.angle_axis(_cols(axes), near) if following else V.angle_axis(near, _cols(axes))
-    return df.withColumns(dict(zip(("axis_x", "axis_y", "axis_z", "angle"), parts, strict=True)))
+    laid, parts = chunked(df, by, order)
+    near = _lag(axes, _window(parts, order), -1 if following else 1)
+    turn = V.angle_axis(_cols(axes), near) if following else V.angle_axis(near, _cols(axes))
+    return own(laid.withColumns(dict(zip(("axis_x", "axis_y", "axis_z", "angle"), turn, strict=True)))).drop("_chunk")
 
 
 def heading_change(df: DataFrame, by: Sequence[str], order: Sequence[str], axes: Sequence[str] = XYZ, reverse: bool = False, ignore_repeats: bool = False) -> DataFrame:
@@ -68,28 +68,31 @@ def heading_change(df: DataFrame, by: Sequence[str], order: Sequence[str], axes:
 
     ignore_repeats: steps lead from and to the nearest rows at another place.
     """
-    w = _window(by, order)
+    laid, parts = chunked(df, by, order)
+    w = _window(parts, order)
+    at = {f"_p{i}": v for i, v in enumerate(_lag(axes, w))} | {f"_q{i}": v for i, v in enumerate(_lag(axes, w, -1))}
     if ignore_repeats:
-        moved = df.withColumn("_new", F.coalesce(V.distance(_cols(axes), _lag(axes, w)) > 1e-6, F.lit(True))).withColumn("_place", F.sum(F.col("_new").cast("int")).over(_all(by, order)))
-        places = moved.filter("_new")
-        wp = _window(by, ["_place"])
-        near = places.select(*by, "_place", *[v.alias(f"_p{i}") for i, v in enumerate(_lag(axes, wp))], *[v.alias(f"_q{i}") for i, v in enumerate(_lag(axes, wp, -1))])
-        df = moved.join(near, [*by, "_place"]).drop("_new", "_place")
-        before, after = [F.col(f"_p{i}") for i in range(len(axes))], [F.col(f"_q{i}") for i in range(len(axes))]
+        moved = own(laid.withColumn("_new", F.coalesce(V.distance(_cols(axes), _lag(axes, w)) > 1e-6, F.lit(True))))
+        moved = running(moved, by, order, F.col("_new").cast("int"), "_place").drop("_chunk")
+        places, parts = chunked(moved.filter("_new").select(*by, "_place", *axes), by, ["_place"])
+        wp = _window(parts, ["_place"])
+        near = own(places.withColumns({f"_p{i}": v for i, v in enumerate(_lag(axes, wp))} | {f"_q{i}": v for i, v in enumerate(_lag(axes, wp, -1))}))
+        ready = moved.join(near.select(*by, "_place", *at), [*by, "_place"]).drop("_new", "_place")
     else:
-        before, after = _lag(axes, w), _lag(axes, w, -1)
+        ready = own(laid.withColumns(at))
+    before, after = [F.col(f"_p{i}") for i in range(len(axes))], [F.col(f"_q{i}") for i in range(len(axes))]
     a, b = V.subtract(_cols(axes), before), V.subtract(after, _cols(axes))
     na, nb = V.norm(a), V.norm(b)
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(a, b) / (na * nb)))
     angle = math.pi - F.acos(cosine) if reverse else F.acos(cosine)
-    out = df.withColumn("angle", F.when((na > 1e-6) & (nb > 1e-6), angle).otherwise(F.lit(0.0)))
-    return out.drop(*[f"_{c}{i}" for c in "pq" for i in range(len(axes))])
+    out = ready.withColumn("angle", F.when((na > 1e-6) & (nb > 1e-6), angle).otherwise(F.lit(0.0)))
+    return out.drop("_chunk", *at).select(*df.columns, "angle")
 
 
 def discretise(df: DataFrame, by: Sequence[str], order: Sequence[str], axes: Sequence[str], step: float, tolerance: float = 1e-9) -> DataFrame:
     """Each row at its place and at each step along the segment to the next (while short of its end by more than tolerance): at_<axis>."""
-    w = _window(by, order)
-    nxt = df.withColumns({f"_n{i}": v for i, v in enumerate(_lag(axes, w, -1))})
+    laid, parts = chunked(df, by, order)
+    nxt = own(laid.withColumns({f"_n{i}": v for i, v in enumerate(_lag(axes, _window(parts, order), -1))})).drop("_chunk")
     size = V.distance(_cols(axes), [F.col(f"_n{i}") for i in range(len(axes))])
     count = F.greatest(F.lit(0), F.ceil((size - tolerance) / step) - 1)
     nxt = nxt.withColumn("_len", size).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(count, F.lit(0)).cast("long"))))
@@ -99,8 +102,9 @@ def discretise(df: DataFrame, by: Sequence[str], order: Sequence[str], axes: Seq
 
 def sample_path(df: DataFrame, by: Sequence[str], order: Sequence[str], axes: Sequence[str], step: float, tolerance: float = 1e-9) -> DataFrame:
     """Points at each multiple of step along the whole path, and its last point: at_<axis> and along, added to the row whose segment holds them."""
-    w = _window(by, order)
-    so_far = path_length(df.withColumns({f"_n{i}": v for i, v in enumerate(_lag(axes, w, -1))}), by, order, axes).withColumnRenamed("distance", "_at")
+    laid, parts = chunked(df, by, order)
+    moved = _steps(laid.withColumns({f"_n{i}": v for i, v in enumerate(_lag(axes, _window(parts, order), -1))}), parts, by, order, axes)
+    so_far = running(moved.withColumnRenamed("distance", "_step"), by, order, F.col("_step"), "_at").drop("_step", "_chunk")
     seg = V.distance(_cols(axes), [F.col(f"_n{i}") for i in range(len(axes))])
     first = F.ceil((F.col("_at") - tolerance) / step)
     last = F.ceil((F.col("_at") + F.col("_seg") - tolerance) / step) - 1
@@ -121,18 +125,22 @@ def thin_path(df: DataFrame, by: Sequence[str], order: Sequence[str], axes: Sequ
 
     def step(state, rows: pa.Table):
         p = _numpy(rows, axes)
-        last, prev, gone = state or (None, None, 0.0)
+        last, prev, gone = state or (None, p[0], 0.0)
         keep = np.zeros(len(p), dtype=bool)
-        for i, q in enumerate(p):
-            if last is None:
-                keep[i] = True
-            else:
-                gone = gone + float(np.linalg.norm(q - prev)) if accumulate else float(np.linalg.norm(q - last))
-                keep[i] = gone >= resolution
-            if keep[i]:
-                last, gone = q, 0.0
-            prev = q
-        return (last, prev, gone), rows.filter(pa.array(keep))
+        if not accumulate:
+            for i, q in enumerate(p):
+                if last is None or float(np.linalg.norm(q - last)) >= resolution:
+                    keep[i], last = True, q
+            return (last, p[-1], 0.0), rows.filter(pa.array(keep))
+        # From kept row to kept row along the length of the path.
+        along = gone + np.cumsum(np.linalg.norm(np.diff(p, axis=0, prepend=prev[None]), axis=1))
+        base, at = 0.0, 0
+        if last is None:
+            keep[0], last, base, at = True, p[0], along[0], 1
+        while (at := max(at, int(np.searchsorted(along, base + resolution)))) < len(p):
+            keep[at], base = True, along[at]
+            at += 1
+        return (p[0] if last is None else last, p[-1], float(along[-1] - base)), rows.filter(pa.array(keep))
 
     return ordered_scan(df.dropna(subset=list(axes)), list(by), list(order), step, df.schema)
 
@@ -142,8 +150,10 @@ def chords(df: DataFrame, by: Sequence[str], order: Sequence[str], axes: Sequenc
 
     Adds row, to_row, arc, chord. The rows that a row may reach lie within max_arc of path, so the self-join is on slices of path length.
     """
-    w = _window(by, order)
-    p = path_length(df, by, order, axes).withColumn("row", F.row_number().over(w)).withColumnRenamed("distance", "_at").withColumn("_s", F.floor(F.col("_at") / max_arc))
+    laid, parts = chunked(df, by, order)
+    step = _steps(laid, parts, by, order, axes).withColumnRenamed("distance", "_step")
+    p = running(running(step, by, order, F.col("_step"), "_at"), by, order, F.lit(1), "row").drop("_step", "_chunk")
+    p = p.withColumns({"row": F.col("row").cast("int"), "_s": F.floor(F.col("_at") / max_arc)})
     slim = p.select(*by, "row", "_at", "_s", *axes)
     ahead = slim.withColumn("_s", F.explode(F.array(F.col("_s"), F.col("_s") - 1))).withColumnsRenamed({"row": "_r", "_at": "_b", **{c: f"_{c}" for c in axes}})
     chord = V.distance(_cols(axes), [F.col(f"_{c}") for c in axes])
@@ -199,10 +209,10 @@ def plane_crossings(df: DataFrame, by: Sequence[str], order: Sequence[str], axes
 
     max_gap: steps longer than this are gaps and cross nothing.
     """
-    w = _window(by, order)
+    laid, parts = chunked(df, by, order)
+    w = _window(parts, order)
     d = V.dot(V.subtract(_cols(axes), V.point(*origin)), V.point(*plane_normal))
-    with_d = df.withColumn("_d", d)
-    stepped = with_d.withColumns({"_e": F.lag("_d").over(w)} | {f"_p{i}": v for i, v in enumerate(_lag(axes, w))})
+    stepped = own(laid.withColumn("_d", d).withColumns({"_e": F.lag("_d").over(w)} | {f"_p{i}": v for i, v in enumerate(_lag(axes, w))})).drop("_chunk")
     before = [F.col(f"_p{i}") for i in range(len(axes))]
     hit = stepped.filter((F.col("_d") * F.col("_e") <= 0) & ~((F.col("_e") == 0) & (F.col("_d") != 0)))
     if max_gap is not None:
@@ -219,24 +229,28 @@ def integrate_frames(df: DataFrame, by: Sequence[str], order: Sequence[str], inv
     """
     names = ["x", "y", "z", "roll", "pitch", "yaw"]
 
-    def matrix(r: float, p: float, y: float) -> np.ndarray:
-        cr, sr, cp, sp, cy, sy = math.cos(r), math.sin(r), math.cos(p), math.sin(p), math.cos(y), math.sin(y)
-        return np.array([[cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr], [sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr], [-sp, cp * sr, cp * cr]])
+    def matrices(r: np.ndarray, p: np.ndarray, y: np.ndarray) -> np.ndarray:
+        cr, sr, cp, sp, cy, sy = np.cos(r), np.sin(r), np.cos(p), np.sin(p), np.cos(y), np.sin(y)
+        rows = [[cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr], [sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr], [-sp, cp * sr, cp * cr]]
+        return np.array(rows).transpose(2, 0, 1)
 
     def step(state, rows: pa.Table):
-        r, t = state or (np.eye(3), np.zeros(3))
         poses = _numpy(rows, names)
-        out = np.empty_like(poses)
-        for i, q in enumerate(poses):
-            m, d = matrix(*q[3:]), q[:3]
-            if inverse:
-                m, d = m.T, -m.T @ d
-            t, r = t + r @ d, r @ m
-            out[i, :3] = t
-            out[i, 3:] = (math.atan2(r[2, 1], r[2, 2]), math.asin(max(-1.0, min(1.0, -r[2, 0]))), math.atan2(r[1, 0], r[0, 0]))
+        m, d = matrices(*poses[:, 3:].T), poses[:, :3].copy()
+        if inverse:
+            m = m.transpose(0, 2, 1)
+            d = -np.einsum("nij,nj->ni", m, d)
+        if state is not None:
+            d[0], m[0] = state[1] + state[0] @ d[0], state[0] @ m[0]
+        reach = 1
+        while reach < len(m):  # poses compose associatively: each round doubles the rows that a row has taken in
+            d[reach:] = d[:-reach] + np.einsum("nij,nj->ni", m[:-reach], d[reach:])
+            m[reach:] = m[:-reach] @ m[reach:]
+            reach *= 2
+        out = np.column_stack([d, np.arctan2(m[:, 2, 1], m[:, 2, 2]), np.arcsin(np.clip(-m[:, 2, 0], -1, 1)), np.arctan2(m[:, 1, 0], m[:, 0, 0])])
         for k, c in enumerate(names):
             rows = rows.set_column(rows.schema.get_field_index(c), c, pa.array(out[:, k]))
-        return (r, t), rows
+        return (m[-1], d[-1]), rows
 
     ready = df.dropna(subset=names).withColumns({c: F.col(c).cast("double") for c in names})
     return ordered_scan(ready, list(by), list(order), step, ready.schema)
@@ -286,29 +300,33 @@ def turn_speed(df: DataFrame, by: Sequence[str], order: Sequence[str], speed: st
 
     pivot: adds relative_heading, 0, and after each sharp turn a further row with speed 0 and the turn's angle (positive anticlockwise).
     """
-    w = _window(by, order)
-    a, b, c = _lag(axes, w), _cols(axes), _lag(axes, w, -1)
+    laid, parts = chunked(df, by, order)
+    w = _window(parts, order)
+    beside = {f"_p{i}": v for i, v in enumerate(_lag(axes, w))} | {f"_q{i}": v for i, v in enumerate(_lag(axes, w, -1))}
+    df = own(laid.withColumns(beside)).drop("_chunk")
+    a, b, c = [F.col(f"_p{i}") for i in range(len(axes))], _cols(axes), [F.col(f"_q{i}") for i in range(len(axes))]
     ab, bc, ca = V.distance(a, b), V.distance(b, c), V.distance(c, a)
     area = F.sqrt(F.greatest(F.lit(0.0), (ab + bc + ca) * (bc + ca - ab) * (ab + ca - bc) * (ab + bc - ca))) / 4
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(V.subtract(b, a), V.subtract(c, b)) / (ab * bc))))
     limit = F.when(angle >= sharp_angle, F.lit(approach_speed)).when(area > 0, F.greatest(F.lit(approach_speed), F.sqrt(max_acceleration * ab * bc * ca / (4 * area))))
     slowed = F.when((ab > 0) & (bc > 0), F.least(F.col(speed), F.coalesce(limit, F.col(speed)))).otherwise(F.col(speed))
     if not pivot:
-        return df.withColumn(speed, slowed)
+        return df.withColumn(speed, slowed).drop(*beside)
     (ax, ay), (bx, by_) = V.subtract(b, a)[:2], V.subtract(c, b)[:2]
     turn = F.atan2(ax * by_ - ay * bx, ax * bx + ay * by_)
     out = df.withColumns({"_v": slowed, "_turn": F.when((ab > 0) & (bc > 0) & (angle >= sharp_angle), turn)})
     moving = F.struct(F.col("_v").alias("v"), F.lit(0.0).alias("h"))
     both = F.when(F.col("_turn").isNull(), F.array(moving)).otherwise(F.array(moving, F.struct(F.lit(0.0).alias("v"), F.col("_turn").alias("h"))))
-    return out.withColumn("_b", F.explode(both)).withColumns({speed: F.col("_b.v"), "relative_heading": F.col("_b.h")}).drop("_v", "_b", "_turn")
+    return out.withColumn("_b", F.explode(both)).withColumns({speed: F.col("_b.v"), "relative_heading": F.col("_b.h")}).drop("_v", "_b", "_turn", *beside)
 
 
 def braking_speed(df: DataFrame, by: Sequence[str], order: Sequence[str], speed: str, deceleration: float, axes: Sequence[str] = ("x", "y")) -> DataFrame:
     """Lower speed so that every later one can be met at this deceleration: sqrt(min over later rows of v^2 + 2 a D, less 2 a D here), D along the path."""
-    at = path_length(df, by, order, axes)
-    ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    least = F.min(F.col(speed) * F.col(speed) + 2 * deceleration * F.col("distance")).over(ahead)
-    return at.withColumn(speed, F.sqrt(F.greatest(F.lit(0.0), least - 2 * deceleration * F.col("distance")))).drop("distance")
+    laid, parts = chunked(df, by, order)
+    step = _steps(laid, parts, by, order, axes).withColumnRenamed("distance", "_step")
+    at = running(step, by, order, F.col("_step"), "_at")
+    least = running(at, by, order, F.col(speed) * F.col(speed) + 2 * deceleration * F.col("_at"), "_least", "min", following=True)
+    return least.withColumn(speed, F.sqrt(F.greatest(F.lit(0.0), F.col("_least") - 2 * deceleration * F.col("_at")))).drop("_step", "_at", "_least", "_chunk")
 
 
 def pid(df: DataFrame, by: Sequence[str], order: str, error: str, p: float, i: float, d: float, integral_limit: float | None = None, angular: bool = False) -> DataFrame:

@@ -154,6 +154,56 @@ def discard(*copies: DataFrame) -> None:
             copy._quillon_path = None
 
 
+#: Rows up to which a series is ordered in one task (a window spills, but isn't shared out); longer ones are cut into chunks.
+HOT_ROWS = 10_000_000
+CHUNK_ROWS = 1_000_000
+
+
+def chunked(df: DataFrame, by: Sequence[str], order: Sequence[str], hot_rows: int | None = None, chunk_rows: int | None = None) -> tuple[DataFrame, list[str]]:
+    """df, and the columns by which windows over its ordered series partition it.
+
+    If no series (of equal by) has more than hot_rows rows, that is df and by. Else the rows are laid out by ranges of (by, order), of about chunk_rows, in a table
+    of the shared folder, so that a series that holds a third of all rows is shared out: windows go by _chunk too, and each chunk has copies (_own is
+    false) of the row before and the row after it. own() takes them out again; running() carries sums and the like from chunk to chunk.
+    """
+    by, order = list(by), list(order)
+    hot_rows, chunk_rows = HOT_ROWS if hot_rows is None else hot_rows, CHUNK_ROWS if chunk_rows is None else chunk_rows
+    longest, total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (longest or 0) <= hot_rows:
+        return df, by
+    laid = cut_lineage(df.repartitionByRange(max(2, -(-total // chunk_rows)), *by, *order).withColumn("_chunk", F.spark_partition_id()))
+    whole, place = F.struct(*df.columns), F.struct(*order)
+    w = Window.partitionBy(*by).orderBy("_chunk")
+    ends = laid.groupBy(*by, "_chunk").agg(F.min_by(whole, place).alias("_first"), F.max_by(whole, place).alias("_last"))
+    ends = ends.withColumns({"_before": F.lag("_chunk").over(w), "_after": F.lead("_chunk").over(w)})
+    copies = ends.filter("_after is not null").select("_last.*", F.col("_after").alias("_chunk")).unionByName(ends.filter("_before is not null").select("_first.*", F.col("_before").alias("_chunk")))
+    return laid.withColumn("_own", F.lit(True)).unionByName(copies.withColumn("_own", F.lit(False))), [*by, "_chunk"]
+
+
+def own(df: DataFrame) -> DataFrame:
+    """Rows of chunked() without the copies."""
+    return df.filter("_own").drop("_own") if "_own" in df.columns else df
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str, how: str = "sum", following: bool = False) -> DataFrame:
+    """Add the sum, min, max or last (that isn't null) of value over a series' rows so far, or with following over the rows from here on; df is as own() left it."""
+    aggregate = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    parts = [*by, "_chunk"] if "_chunk" in df.columns else list(by)
+    ends = (Window.currentRow, Window.unboundedFollowing) if following else (Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumn(name, aggregate(value).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(*ends)))
+    if "_chunk" not in df.columns:
+        return out
+    of_chunk = F.max_by(value, F.when(value.isNotNull(), F.struct(*order))) if how == "last" else aggregate(value)
+    others = (1, Window.unboundedFollowing) if following else (Window.unboundedPreceding, -1)
+    totals = df.groupBy(*parts).agg(of_chunk.alias("_t")).withColumn("_t", aggregate(F.col("_t")).over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(*others)))
+    totals = totals.withColumnsRenamed({c: f"_j{i}" for i, c in enumerate(parts)})
+    same = F.lit(True)
+    for i, c in enumerate(parts):
+        same = same & out[c].eqNullSafe(totals[f"_j{i}"])
+    both = {"sum": F.coalesce(F.col(name) + F.col("_t"), F.col(name), F.col("_t")), "min": F.least(name, "_t"), "max": F.greatest(name, "_t"), "last": F.coalesce(name, "_t")}[how]
+    return out.join(totals, same).withColumn(name, both).drop("_t", *[f"_j{i}" for i in range(len(parts))])
+
+
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
     """A scan with a state over each group's rows in order, for what depends on its own earlier results.
 
