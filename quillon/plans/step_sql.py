@@ -86,6 +86,13 @@ SQL["r18_carrots"] = f"""with {FLAT}, {CHORD.format('(a.x - b.x) * (a.x - b.x) +
 f as (select f.event_id id, f.user_id, c.n, c.far, row_number() over (partition by f.event_id order by (f.x + 1 - c.x) * (f.x + 1 - c.x) + (f.y + 1 - c.y) * (f.y + 1 - c.y), c.n) as k from c f join c on f.user_id = c.user_id and (f.x + 1 - c.x) * (f.x + 1 - c.x) + (f.y + 1 - c.y) * (f.y + 1 - c.y) <= 25)
 select f.id, f.n as near_row, f.far as carrot_row, round(c.x, 6) as carrot_x, round(c.y, 6) as carrot_y from f join c on c.user_id = f.user_id and c.n = f.far where k = 1"""
 
+SQL["r18_stuck"] = f"""with {FLAT}, {CHORD.format('(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)')},
+f as (select f.event_id id, f.user_id, epoch_us(f.ts) / 1e6 t, c.n, row_number() over (partition by f.event_id order by (f.x + 1 - c.x) * (f.x + 1 - c.x) + (f.y + 1 - c.y) * (f.y + 1 - c.y), c.n) as k from c f join c on f.user_id = c.user_id and (f.x + 1 - c.x) * (f.x + 1 - c.x) + (f.y + 1 - c.y) * (f.y + 1 - c.y) <= 25),
+g as (select *, max(n) over (partition by user_id order by t, id) as most from f where k = 1), h as (select *, coalesce(most > lag(most) over (partition by user_id order by t, id), true) as fresh from g),
+i as (select *, last_value(case when fresh then t end ignore nulls) over (partition by user_id order by t, id) as since, (select max(n) from c where c.user_id = h.user_id) as last_ from h),
+u as (select id, user_id, least(last_, n + floor((t - since) / 86400)) as pushed from i)
+select u.id, cast(pushed as bigint) as near_row, c.far as carrot_row from u join c on c.user_id = u.user_id and c.n = pushed"""
+
 SQL["t05_points_in_frames"] = f"""with {FRAMES}, i as (select rec_id, b.x + (coalesce(b.x2, b.x) - b.x) * case when b.t2 > b.t then (f.t - b.t) / (b.t2 - b.t) else 0 end as a from f join b on f.boot_id = b.boot_id and f.t >= b.t and (f.t < b.t2 or f.t = b.t))
 select rec_id, round(a + 2 * cos(a) - sin(a), 5) + 0.0 as x, round(1 + 2 * sin(a) + cos(a), 5) + 0.0 as y, 0.5::double as z from i"""
 
