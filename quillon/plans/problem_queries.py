@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.near import near_and_inside
+from quillon.operators.near import near_and_inside, near_positions
 from quillon.operators.regular_grid import READING, regular_grid
 from quillon.operators.spikes import flag_readings
 from quillon.operators.trips import stops_and_trips
@@ -25,6 +25,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_and_inside(table(spark, d, "points"), NEAR_M, table(spark, d, "regions"))
 
 
+def p1_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Boots whose first positions (by rec_id) lie within 100 m of each other on the sphere: latitude and longitude as unit vectors, searched by the chord."""
+    gps = table(spark, d, "mavlink_gps2_raw_t").select("rec_id", "boot_id", "lat", "lon", "fix_type").filter(positioned() & F.col("boot_id").isNotNull())
+    first = gps.groupBy("boot_id").agg(F.min_by(F.struct((F.col("lat") / 1e7).alias("lat"), (F.col("lon") / 1e7).alias("lon")), F.col("rec_id")).alias("at")).select("boot_id", "at.lat", "at.lon")
+    return near_positions(first, 100.0, id="boot_id", lat="lat", lon="lon").select("id_a", "id_b")
+
+
 def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     """lat and alt of each boot in slots of 10 s, gaps filled or marked."""
     gps = table(spark, d, "mavlink_gps2_raw_t").select("rec_id", "boot_id", "time_usec", "lat", "lon", "alt", "fix_type").filter(positioned() & F.col("alt").isNotNull())
@@ -86,7 +93,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p2_grid, p2_found, p3_trips, p3_found, p5_flags, p5_found)}
+    return {q.__name__: q for q in (p1_found, p1_positions, p2_grid, p2_found, p3_trips, p3_found, p5_flags, p5_found)}
 
 
 P1_SQL = """
@@ -116,6 +123,13 @@ gps as (select distinct on (m.rec_id) m.*, case when time_usec < 10000000000000
         where time_usec <> 0 and case when time_usec < 10000000000000 then time_usec + boot_usec else time_usec end between boot_usec and off_usec)
 """
 
+POSITIONS_SQL = """
+with f as (select boot_id, arg_min(lat, rec_id) / 1e7 lat, arg_min(lon, rec_id) / 1e7 lon from mavlink_gps2_raw_t where fix_type >= 2 and lat is not null and lon is not null and not (lat = 0 and lon = 0) and boot_id is not null group by 1),
+n as (select *, radians(lat) a, radians(lon) o from f where abs(lat) <= 90)
+select p.boot_id as id_a, q.boot_id as id_b from n p join n q on p.boot_id < q.boot_id and abs(p.lat - q.lat) < 0.001
+where 2 * asin(least(1, sqrt(pow(sin((p.a - q.a) / 2), 2) + cos(p.a) * cos(q.a) * pow(sin((p.o - q.o) / 2), 2)))) <= 100 / 6371008.8
+"""
+
 P2_SQL = f"""
 with {MESSAGES_SQL},
 slots as (select distinct boot_id, moment // 10000000 as slot from gps where fix_type >= 2 and lat is not null and lon is not null and alt is not null and not (lat = 0 and lon = 0)),
@@ -152,4 +166,4 @@ select table_name, field, rec_id, cast(flags as integer) as flags from flagged w
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p5_flags": P5_SQL, "p5_found": f"select table_name, field, rec_id from ({P5_SQL})"}
+    return {"p1_found": P1_SQL, "p1_positions": POSITIONS_SQL, "p2_found": P2_SQL, "p5_flags": P5_SQL, "p5_found": f"select table_name, field, rec_id from ({P5_SQL})"}

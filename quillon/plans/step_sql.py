@@ -191,6 +191,17 @@ r(n, least) using key (n) as (select n, n from v union (select w.other, min(r.le
 SQL["v05_partitions"] = f"""with recursive {PARTS}, s as (select *, row_number() over (partition by block order by least) - 1 as partition from (select block, least from v join r using (n) group by 1, 2 having sum(c) >= 3))
 select e.id, e.block, s.partition from e join v using (block, i, j, k) join r using (n) join s on s.block = e.block and s.least = r.least"""
 
+# Lloyd's rounds: of each block that hasn't settled, the points go to their nearest centroids, whose means come next.
+SQL["v08_k_means"] = f"""with recursive {CLOUD}, p as (select id, block, x, y, z from cloud),
+s as (select block, row_number() over (partition by block order by id) - 1 as k, x, y, z from p qualify row_number() over (partition by block order by id) <= 4),
+r as (select block, k, x, y, z, 0 as n, false as done from s union all
+ (with a as (select p.block, p.id, arg_min(r.k, (pow(p.x - r.x, 2) + pow(p.y - r.y, 2) + pow(p.z - r.z, 2), r.k)) as k, any_value(p.x) x, any_value(p.y) y, any_value(p.z) z from p join r on r.block = p.block where not r.done and r.n < 300 group by 1, 2),
+  m as (select block, k, avg(x) x, avg(y) y, avg(z) z from a group by 1, 2)
+  select r.block, r.k, coalesce(m.x, 0), coalesce(m.y, 0), coalesce(m.z, 0), r.n + 1, sum(pow(coalesce(m.x, 0) - r.x, 2) + pow(coalesce(m.y, 0) - r.y, 2) + pow(coalesce(m.z, 0) - r.z, 2)) over (partition by r.block) < 1e-8
+  from r left join m on m.block = r.block and m.k = r.k where not r.done and r.n < 300)),
+c as (select * from r where (block, n) in (select (block, max(n)) from r group by block))
+select p.id, arg_min(c.k, (pow(p.x - c.x, 2) + pow(p.y - c.y, 2) + pow(p.z - c.z, 2), c.k))::integer as cluster from p join c on c.block = p.block group by 1"""
+
 SQL["l06_local_max_traced"] = f"""with recursive {pairs_sql(NEAR, 'a.id <> b.id')}, losers as (select distinct a_id from pairs where b_s > a_s or (b_s = a_s and b_id < a_id)),
 best as (select id from cloud where scalar is not null and id not in (select a_id from losers)),
 first as (select a.id, arg_min(b.id, ({D2}, b.id)) as ref from w a join e b on a.block = b.block and a.ni = b.i and a.nj = b.j and a.nk = b.k where {D2} <= {NEAR} * {NEAR} and a.scalar is not null and b.id in (select id from best) group by 1),
