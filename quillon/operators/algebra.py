@@ -7,7 +7,7 @@ Rows with a null or NaN in a used column are left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -289,6 +289,28 @@ def array_transpose(df: DataFrame, column: str, rows: int, cols: int) -> DataFra
     return df.withColumn(column, F.when(F.size(column) == rows * cols, moved))
 
 
+def array_operate(df: DataFrame, column: str, shape: Sequence[int], function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """An array column of rows of this shape (last index fastest) as function(arrays of shape n x shape) -> n x anything, flattened again; null if it has another size or a null in it.
+
+    function gets many rows at a time, so that a whole numpy operation costs one call a batch.
+    """
+    size, at = math.prod(shape), df.columns.index(column)
+    ready = df.withColumn(column, F.when((F.size(column) == size) & ~F.exists(column, lambda v: v.isNull()), F.col(column).cast("array<double>")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(at)
+            have = v.is_valid().to_numpy(zero_copy_only=False)
+            out: list = [None] * len(v)
+            if have.any():
+                x = v.drop_null().flatten().to_numpy().reshape(-1, *shape)
+                for i, row in zip(np.flatnonzero(have), np.asarray(function(x), dtype=float).reshape(len(x), -1), strict=True):
+                    out[i] = row
+            yield b.set_column(at, column, pa.array(out, pa.list_(pa.float64())))
+
+    return ready.mapInArrow(run, ready.schema)
+
+
 def array_reduce(df: DataFrame, column: str, how: str) -> DataFrame:
     """Add reduced: sum, mean, min, max or norm of an array column; null for an empty one."""
     total = lambda f: F.aggregate(F.transform(F.col(column), f), F.lit(0.0), lambda s, v: s + v)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.spatial_join import _finite, cell, with_cells, with_neighbour_cells
-from quillon.plans.partitioning import cut_lineage, discard, ordered_scan
+from quillon.plans.partitioning import chunked, cut_lineage, discard, ordered_scan, own, running
 
 XYZ = ("x", "y", "z")
 
@@ -171,11 +171,10 @@ def foreground(points: DataFrame, threshold: float, order: Sequence[str], keys:
     A jump up or down by more than threshold begins a segment. Between a rise and a fall lies background; between a fall and a rise foreground, if the segment has
     min_points, else either; between two rises or two falls either; before the first and after the last jump unknown.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = F.col(range_) - F.lag(range_).over(w)
+    laid, parts = chunked(points, keys, order)
+    step = F.col(range_) - F.lag(range_).over(Window.partitionBy(*parts).orderBy(*order))
     jump = F.when(step > threshold, 1).when(step < -threshold, -1).otherwise(0)
-    cut = points.withColumn("_j", jump).withColumn("segment", F.sum(F.abs("_j")).over(so_far).cast("long"))
+    cut = running(own(laid.withColumn("_j", jump)), keys, order, F.abs("_j"), "segment").withColumn("segment", F.col("segment").cast("long")).drop("_chunk")
     rows = cut.groupBy(*keys, "segment").agg(F.count(F.lit(1)).alias("_n"), F.max_by("_j", F.abs("_j")).alias("_in"))
     rows = rows.withColumn("_out", F.lead("_in").over(Window.partitionBy(*keys).orderBy("segment")))
     kind = F.when((F.col("_in") == 0) | F.col("_out").isNull(), "unknown").when((F.col("_in") == 1) & (F.col("_out") == -1), "background").when((F.col("_in") == -1) & (F.col("_out") == 1) & (F.col("_n") >= min_points), "foreground").otherwise("either")

@@ -385,6 +385,13 @@ def m15t(spark: SparkSession, d: str) -> DataFrame:
     return algebra.array_transpose(e, "embedding", 8, 8)
 
 
+@R.add("m15_array_operate", "select vec_id, [round(list_sum([cast(embedding[(i // 8) * 8 + j + 1] as double) for j in range(0, 8) if j <= i % 8]), 6) + 0.0 for i in range(0, 64)] as embedding from embeddings")
+def m15o(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as 8 x 8 arrays, summed up along their rows."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return algebra.array_operate(e, "embedding", (8, 8), lambda x: x.cumsum(axis=2)).select("vec_id", F.transform("embedding", lambda v: F.round(v, 6) + 0.0).alias("embedding"))
+
+
 @R.add("m15_array_norm", "select vec_id, round(sqrt(list_sum([cast(x as double) * cast(x as double) for x in embedding])), 6) as reduced from embeddings")
 def m15n(spark: SparkSession, d: str) -> DataFrame:
     return algebra.array_reduce(table(spark, d, "embeddings"), "embedding", "norm").select("vec_id", F.round("reduced", 6).alias("reduced"))
