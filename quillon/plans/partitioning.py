@@ -105,9 +105,10 @@ def row_blocks(df: DataFrame, keys: list[str], order: list[Column], chunk: Colum
     order (a coarse part of it); it splits hot series, so that no task sorts a whole one. Rows of one chunk are ranked in
     their chunk, and the chunks' counts, which are few, give the offsets.
     """
-    laid = df.withColumn("_chunk", chunk).repartition(*[F.col(k) for k in keys], F.col("_chunk"))
+    marked = df.withColumn("_chunk", chunk)
+    laid = marked.repartition(*[F.col(k) for k in keys], F.col("_chunk"))
     ranked = laid.withColumn("_row", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order)) - 1)
-    counts = laid.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    counts = marked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     placed = ranked.join(offsets, [*keys, "_chunk"]).withColumn("_row", F.col("_row") + F.col("_offset")).drop("_offset", "_chunk")
