@@ -186,8 +186,48 @@ def close_pairs(rows: np.ndarray, radius: float, step: int = 8_000) -> Iterator[
         yield tree.order[i[k, u]], tree.order[j[k, v]]
 
 
+def under_edges(x: np.ndarray, y: np.ndarray, ring: list[tuple[float, float]]) -> np.ndarray:
+    """Whether an odd number of a polygon's edges lies below each point; x is sorted.
+
+    The sweep stops at the corners. Between two stops its status is the edges that it meets, in order of height, and points are placed among them
+    by bisection. Should edges cross between two stops, as no polygon's should, points there are held against each edge.
+    """
+    ends = np.array([(*a, *b) if a[0] <= b[0] else (*b, *a) for a, b in zip(ring, ring[1:] + ring[:1], strict=True) if a[0] != b[0]])  # the line meets no inner part of an edge along itself
+    odd = np.zeros(len(x), dtype=bool)
+    if not len(ends):
+        return odd
+    stops = np.unique(ends[:, [0, 2]])
+    slope = (ends[:, 3] - ends[:, 1]) / (ends[:, 2] - ends[:, 0])
+    cuts = np.searchsorted(x, stops, "left")
+    begins, closes = np.searchsorted(stops, ends[:, 0]), np.searchsorted(stops, ends[:, 2])
+    by_begin = np.argsort(begins, kind="stable")
+    status, nxt = np.zeros(0, dtype=np.int64), 0
+    for k in range(len(stops) - 1):
+        status = status[closes[status] > k]
+        more = int(np.searchsorted(begins[by_begin], k, "right"))
+        status, nxt = np.concatenate([status, by_begin[nxt:more]]), more
+        s, e = cuts[k], cuts[k + 1]
+        if s == e or not len(status):
+            continue
+        height = lambda edge, at: ends[edge, 1] + (at - ends[edge, 0]) * slope[edge]
+        middle = (stops[k] + stops[k + 1]) / 2
+        status = status[np.argsort(height(status, middle), kind="stable")]
+        at_ends = [height(status, stops[k]), height(status, stops[k + 1])]
+        px, py = x[s:e], y[s:e]
+        if any((np.diff(h) < -1e-9 * (1 + np.abs(h).max())).any() for h in at_ends):
+            odd[s:e] = (height(status[None, :], px[:, None]) < py[:, None]).sum(axis=1) % 2 == 1
+            continue
+        low, high = np.zeros(e - s, dtype=np.int64), np.full(e - s, len(status))
+        while (open_ := low < high).any():
+            mid = np.minimum((low + high) // 2, len(status) - 1)
+            below = height(status[mid], px) < py
+            low, high = np.where(open_ & below, mid + 1, low), np.where(open_ & ~below, mid, high)
+        odd[s:e] = low % 2 == 1
+    return odd
+
+
 def inside(xyz: np.ndarray, regions: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
-    """(region id, positions of the rows inside): a sweep along x; rows between an edge's ends pass above or below it."""
+    """(region id, positions of the rows inside), by a sweep along x."""
     if not len(xyz):
         return
     order = np.argsort(xyz[:, 0], kind="stable")
@@ -201,16 +241,7 @@ def inside(xyz: np.ndarray, regions: list[tuple]) -> Iterator[tuple[int, np.ndar
         if shape == "sphere":
             ok &= (x[part] - centre[0]) ** 2 + (y[part] - centre[1]) ** 2 + (z[part] - centre[2]) ** 2 <= radius * radius
         elif shape == "prism":
-            odd = np.zeros(last - first, dtype=bool)
-            for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True):
-                if x0 == x1:
-                    continue  # the sweep line meets no inner part of an edge along itself
-                if x0 > x1:
-                    x0, y0, x1, y1 = x1, y1, x0, y0
-                s, e = max(first, np.searchsorted(x, x0, "left")), min(last, np.searchsorted(x, x1, "left"))
-                if s < e:
-                    odd[s - first : e - first] ^= y0 + (x[s:e] - x0) * ((y1 - y0) / (x1 - x0)) < y[s:e]
-            ok &= odd
+            ok &= under_edges(x[part], y[part], list(ring))
         if ok.any():
             yield rid, order[first + np.flatnonzero(ok)]
 
