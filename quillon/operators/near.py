@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.partitioning import cut_lineage, join_parts, linked, lookup_join
+
 EARTH_RADIUS_M = 6_371_008.8
 #: Sampled rows to which the splits are fitted, about, at most; a row takes 32 bytes on the driver. Sixteen of them make a leaf.
 SAMPLE_ROWS = 1_000_000
@@ -28,6 +30,7 @@ SAMPLE_ROWS = 1_000_000
 LEAF_ROWS = 60_000
 BUCKET = 16
 HALO, HOME, REGION = 0, 1, 2
+SHARED = 2
 AXES = ("grp", "x", "y", "z")
 
 ROUTED = "leaf int, what byte, id long, grp long, x double, y double, z double, payload binary"
@@ -392,6 +395,13 @@ def near_and_inside(points: DataFrame, radius: float, regions: DataFrame | None
 LEFT, RIGHT, BOTH = 0, 1, 2
 
 
+def usable_rows(df: DataFrame, id: str, group: str | None, axes: Sequence[str], side: int, more: Sequence[str] = ()) -> DataFrame:
+    """(what, id, grp, x, y, z, more) of rows without a null among them, whose coordinates are finite."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    out = df.select(F.lit(side).cast("byte").alias("what"), F.col(id).cast("long").alias("id"), (F.col(group).cast("long") if group else F.lit(0).cast("long")).alias("grp"), *[F.col(a).cast("double").alias(c) for a, c in zip(axes, "xyz", strict=True)], *more)
+    return out.filter(F.col("id").isNotNull() & F.col("grp").isNotNull() & finite("x") & finite("y") & finite("z"))
+
+
 def neighbours(left: DataFrame, right: DataFrame | None, radius: float, *, left_id: str = "id", right_id: str = "id", group: str | None = None, axes: tuple[str, str, str] = ("x", "y", "z"), k: int | None = 1, differ: bool = False, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(left_id, right_id, rank, distance2): the k nearest right rows of each left row within the radius (ties: the least right id), or with k null (left_id, n), how many there are.
 
@@ -399,16 +409,10 @@ def neighbours(left: DataFrame, right: DataFrame | None, radius: float, *, left_
     infinite, takes part in nothing. Left rows without a neighbour are left out. Only ids and coordinates are shuffled: each left row once, each right
     row once and once more for each further leaf within the radius. A leaf keeps its best k for each row, so that dense places need no room for all pairs.
     """
-    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
-
-    def slim(df: DataFrame, id: str, side: int) -> DataFrame:
-        out = df.select(F.lit(side).cast("byte").alias("what"), F.col(id).cast("long").alias("id"), (F.col(group).cast("long") if group else F.lit(0).cast("long")).alias("grp"), *[F.col(a).cast("double").alias(c) for a, c in zip(axes, "xyz", strict=True)])
-        return out.filter(F.col("id").isNotNull() & F.col("grp").isNotNull() & finite("x") & finite("y") & finite("z"))
-
     alone = right is None
-    rows = slim(left, left_id, BOTH if alone else LEFT)
+    rows = usable_rows(left, left_id, group, axes, BOTH if alone else LEFT)
     if right is not None:
-        rows = rows.unionByName(slim(right, right_id, RIGHT))
+        rows = rows.unionByName(usable_rows(right, right_id, group, axes, RIGHT))
     tree = fit_splits(rows, leaf_rows, sample_rows)
     reach = np.array([0, radius, radius, radius]) * (1 + 1e-9)
 
@@ -474,6 +478,88 @@ def _nearest_k(i: np.ndarray, other: np.ndarray, d2: np.ndarray, k: int) -> list
     return [i[keep], other[keep], d2[keep]]
 
 
+def connected(points: DataFrame, radius: float, *, id: str = "id", group: str | None = None, axes: tuple[str, str, str] = ("x", "y", "z"), angle: float | None = None, max_curvature: float = 1.0, min_neighbours: int = 3, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(node, component): points of one group that hang together by steps of at most radius, named by the least id of their part.
+
+    angle: only points count that have a plane of at least min_neighbours points within the radius (themselves included) and at most max_curvature, and
+    steps only between planes whose normals differ by less than angle (either sign). ids and group are integers, ids are unique; repeated rows count once; a null
+    in them, or a coordinate that is null, NaN or infinite, takes part in nothing.
+    A leaf joins what it holds, halo copies included, without a list of pairs; then only points that stand in several leaves link the leaves' parts. With angle the
+    halo is twice as wide, so that a leaf knows all neighbours of its halo's inner half.
+    """
+    rows = usable_rows(points, id, group, axes, HOME)
+    tree = fit_splits(rows, leaf_rows, sample_rows)
+    reach = np.array([0, radius, radius, radius]) * (1 if angle is None else 2) * (1 + 1e-9)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in AXES])
+            home_of = np.empty(len(at), dtype=np.int64)
+            r, home = tree.route(at, at)
+            home_of[r] = home
+            i, leaf = tree.route(at - reach, at + reach)
+            what = np.where(home_of[i] != leaf, HALO, np.where(np.bincount(i, minlength=len(at))[i] > 1, SHARED, HOME))
+            yield pa.record_batch([pa.array(leaf.astype(np.int32)), pa.array(what.astype(np.int8)), *[b.column(c).take(pa.array(i)) for c in ("id", *AXES)]], ["leaf", "what", "id", *AXES])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        cols = [table.column(c).to_numpy() for c in ("z", "y", "x", "grp", "id")]
+        order = np.lexsort(cols)
+        order = order[np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in cols], axis=0)])]
+        ids, what, grp = (table.column(c).to_numpy()[order] for c in ("id", "what", "grp"))
+        at = np.column_stack([table.column(c).to_numpy()[order].astype(float) for c in AXES])
+        node = np.concatenate([[0], np.cumsum(ids[1:] != ids[:-1])])
+        label = np.arange(node[-1] + 1)
+        flat, normal = np.ones(len(ids), dtype=bool), None
+        if angle is not None:
+            flat, normal = _planes(at, grp, radius, max_curvature, min_neighbours)
+        for i, j in close_pairs(at, radius):
+            ok = grp[i] == grp[j]
+            if normal is not None:
+                ok &= flat[i] & flat[j] & ((what[i] != HALO) | (what[j] != HALO))
+                i, j = i[ok], j[ok]
+                ok = np.abs((normal[i] * normal[j]).sum(axis=1)) > math.cos(angle)
+            label = join_parts(label, node[i[ok]], node[j[ok]])
+        names = np.empty(len(label), dtype=np.int64)
+        names[node] = ids
+        keep = flat & ((what != HALO) | (np.bincount(label)[label] > 1)[node])
+        yield pa.record_batch([pa.array(ids[keep]), pa.array(names[label[node[keep]]]), pa.array(what[keep].astype(np.int8))], ["node", "root", "what"])
+
+    routed = rows.mapInArrow(route, "leaf int, what byte, id long, grp long, x double, y double, z double")
+    found = cut_lineage(routed.groupBy("leaf").applyInArrow(search, "node long, root long, what byte"))
+    parts = linked(found.filter((F.col("what") != HOME) & (F.col("node") != F.col("root"))), "node", "root").withColumnRenamed("node", "root")
+    named = lookup_join(found.filter(F.col("what") != HALO), parts, "root", "node", "left")
+    return named.select("node", F.coalesce("component", "root").alias("component"))
+
+
+def _planes(at: np.ndarray, grp: np.ndarray, radius: float, max_curvature: float, min_neighbours: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each row (group, x, y, z) has a plane of its neighbours, and the normal of it; sums are taken about the row itself."""
+    n = len(at)
+    sums = np.zeros((9, n))
+    count = np.ones(n)
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    for i, j in close_pairs(at, radius):
+        ok = grp[i] == grp[j]
+        i, j = i[ok], j[ok]
+        d = at[j, 1:] - at[i, 1:]
+        for ends, sign in ((i, 1), (j, -1)):
+            count += np.bincount(ends, minlength=n)
+            for k in range(3):
+                sums[k] += np.bincount(ends, sign * d[:, k], minlength=n)
+            for k, (u, v) in enumerate(pairs):
+                sums[3 + k] += np.bincount(ends, d[:, u] * d[:, v], minlength=n)
+    flat, normal = np.zeros(n, dtype=bool), np.zeros((n, 3))
+    ok = np.flatnonzero(count >= min_neighbours)
+    mean = (sums[:3] / count)[:, ok].T
+    m = np.empty((len(ok), 3, 3))
+    for k, (u, v) in enumerate(pairs):
+        m[:, u, v] = m[:, v, u] = sums[3 + k][ok] - count[ok] * mean[:, u] * mean[:, v]
+    values, vectors = np.linalg.eigh(m)
+    normal[ok] = vectors[:, :, 0]
+    flat[ok] = np.maximum(values[:, 0], 0) / np.maximum(values.sum(axis=1), 1e-300) <= max_curvature
+    return flat, normal
+
+
 def shapes_key(s: tuple) -> tuple:
     """The region as nested tuples, so that repeated region rows count once."""
     rid, shape, low, high, centre, radius, ring = s

@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.near import connected
 from quillon.operators.spatial_join import _finite, cell, with_cells, with_neighbour_cells
-from quillon.plans.partitioning import chunked, cut_lineage, discard, ordered_scan, own, running
+from quillon.plans.partitioning import chunked, cut_lineage, label_rounds, linked, lookup_join, ordered_scan, own, running
 
 XYZ = ("x", "y", "z")
 
@@ -68,24 +69,14 @@ def centroids(points: DataFrame, order: Sequence[str], axes: Sequence[str] = XYZ
 def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): connected components by the least node, for links(a, b) in either direction or one.
 
-    Each round every node takes the least label among its own, its neighbours' and its label's label, so that chains shrink by halves; lineage
-    is cut in the shared folder. A hub's neighbours are aggregated before the shuffle.
+    Integer nodes are joined inside tasks (linked), others in rounds (label_rounds).
     """
-    both = links.select(F.col(a).alias("_u"), F.col(b).alias("_v")).unionByName(links.select(F.col(b).alias("_u"), F.col(a).alias("_v"))).distinct()
-    both = cut_lineage(both)
-    labels = held = cut_lineage(nodes.select(F.col(node).alias("_n"), F.col(node).alias("_l")).distinct())
-    while True:
-        near = both.join(labels, both["_v"] == labels["_n"]).groupBy("_u").agg(F.min("_l").alias("_m"))
-        up = labels.select(F.col("_n").alias("_k"), F.col("_l").alias("_up"))
-        step = labels.join(near, labels["_n"] == near["_u"], "left").select("_n", "_l", F.least("_l", F.coalesce("_m", "_l")).alias("_t"))
-        new = step.join(up, step["_t"] == up["_k"], "left").select("_n", F.least("_t", F.coalesce("_up", "_t")).alias("_new"), "_l")
-        new = cut_lineage(new)
-        changed = not new.filter("_new < _l").isEmpty()
-        discard(held)
-        held, labels = new, new.select("_n", F.col("_new").alias("_l"))
-        if not changed:
-            discard(both)
-            return labels.select(F.col("_n").alias(node), F.col("_l").alias("component"))
+    ends, between = nodes.select(F.col(node).alias("node")).distinct(), links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    if any(df.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long") for df, c in ((ends, "node"), (between, "a"), (between, "b"))):
+        return label_rounds(ends, between).select(F.col("node").alias(node), "component")
+    kind = ends.schema["node"].dataType
+    found = ends.join(linked(between).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    return found.select(F.col("node").alias(node), F.coalesce("component", "node").cast(kind).alias("component"))
 
 
 def partitions(points: DataFrame, resolution: float, axes: Sequence[str] = XYZ, keys: Sequence[str] = ("block",), min_points_per_voxel: int = 1, min_voxels: int = 1, min_points: int = 1, min_density: float = 0.0, largest: int | None = None, min_id: int = 0, flag: str | None = None, output_all: bool = False) -> DataFrame:
@@ -100,19 +91,22 @@ def partitions(points: DataFrame, resolution: float, axes: Sequence[str] = XYZ,
     ok = _finite(axes) & (F.coalesce(F.col(flag).cast("boolean"), F.lit(False)) if flag else F.lit(True))
     placed = with_cells(points.filter(ok), axes, resolution)
     voxels = placed.groupBy(*keys, *cells).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_points_per_voxel)
-    node = F.struct(*keys, *cells).alias("node")
-    voxels = cut_lineage(voxels.withColumn("node", node))
-    mine = voxels.select(*keys, *cells, F.col("node").alias("a"))
-    near = with_neighbour_cells(voxels.select(*keys, *cells, F.col("node").alias("b")), n)
-    links = mine.join(near, [*keys, *cells]).filter("a < b").select("a", "b")
-    labelled = components(voxels, links).join(voxels, "node")
-    sizes = labelled.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_v"), F.sum("_n").alias("_p"))
+    voxels = cut_lineage(voxels.withColumn("node", F.monotonically_increasing_id()))
+    if n in (2, 3) and len(keys) <= 1 and all(voxels.schema[k].dataType.typeName() in ("byte", "short", "integer", "long") for k in keys):
+        # Squares of the distances between touching voxels are 1 to 3, those of others at least 4.
+        parts = connected(voxels.withColumn("_i2", F.lit(0)) if n == 2 else voxels, 1.8, id="node", group=keys[0] if keys else None, axes=("_i0", "_i1", "_i2"))
+    else:
+        mine = voxels.select(*keys, *cells, F.col("node").alias("a"))
+        near = with_neighbour_cells(voxels.select(*keys, *cells, F.col("node").alias("b")), n)
+        parts = components(voxels, mine.join(near, [*keys, *cells]).filter("a < b").select("a", "b"))
+    labelled = parts.join(voxels, "node")
+    sizes = labelled.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_v"), F.sum("_n").alias("_p"), F.min(F.struct(*cells)).alias("_first"))
     sizes = sizes.filter((F.col("_v") >= min_voxels) & (F.col("_p") >= min_points) & (F.col("_p") >= min_density * F.col("_v")))
     in_block = Window.partitionBy(*keys)
     if largest is not None:
-        sizes = sizes.withColumn("_k", F.row_number().over(in_block.orderBy(F.desc("_p"), "component"))).filter(F.col("_k") <= largest)
-    numbered = sizes.withColumn("partition", F.row_number().over(in_block.orderBy("component")).cast("long") - 1 + min_id)
-    found = labelled.select(*keys, *cells, "component").join(numbered.select(*keys, "component", "partition"), [*keys, "component"]).drop("component")
+        sizes = sizes.withColumn("_k", F.row_number().over(in_block.orderBy(F.desc("_p"), "_first"))).filter(F.col("_k") <= largest)
+    numbered = sizes.withColumn("partition", F.row_number().over(in_block.orderBy("_first")).cast("long") - 1 + min_id)
+    found = lookup_join(labelled.select("node", *keys, *cells, "component"), cut_lineage(numbered.select("component", "partition")), "component", "node").drop("component", "node")
     if output_all:
         return with_cells(points.withColumn("_ok", ok), axes, resolution).join(found, [*keys, *cells], "left").select(*points.columns, F.when(F.col("_ok"), F.col("partition")).alias("partition"))
     return placed.join(found, [*keys, *cells]).select(*points.columns, "partition")

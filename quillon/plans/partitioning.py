@@ -155,6 +155,87 @@ def discard(*copies: DataFrame) -> None:
             copy._quillon_path = None
 
 
+#: Links up to which one task joins them to parts; it holds two or three lists of so many nodes.
+FOREST_LINKS = 4_000_000
+
+
+def join_parts(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, by which each node has the least node of its part, after the links (a, b) are joined."""
+    while True:
+        la, lb = label[a], label[b]
+        differ = la != lb
+        if not differ.any():
+            return label
+        a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(up := label[label], label):
+            label = up
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each linked node of a task but the least of its part, with that; no more than that is held."""
+    at, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def settled() -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(v) for v in zip((at, root), *held, strict=True))
+        names, k = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = join_parts(np.arange(len(names)), k[: len(a)], k[len(a) :])
+        keep = label != np.arange(len(names))
+        return names[keep], names[label[keep]]
+
+    for b in batches:
+        held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in range(2)))
+        n += b.num_rows
+        if n > max(500_000, len(at)):
+            (at, root), held, n = settled(), [], 0
+    at, root = settled()
+    for s in range(0, len(at), 100_000):
+        yield pa.record_batch([pa.array(at[s : s + 100_000]), pa.array(root[s : s + 100_000])], ["node", "component"])
+
+
+def linked(links: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
+    """(node, component): each node with a link, by the least node of its connected part; nodes are integers, and links to null count for nothing.
+
+    Tasks join what they hold, so that a task keeps a link for each node at most. What is left is joined in one task, or if it has more than
+    most (FOREST_LINKS) links, in rounds.
+    """
+    whole = links.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("component")).filter("node is not null and component is not null")
+    forest = cut_lineage(whole.mapInArrow(_forest, "node long, component long"))
+    if at_most(forest, FOREST_LINKS if most is None else most):
+        parts = cut_lineage(forest.repartition(1).mapInArrow(_forest, "node long, component long"))
+        discard(forest)
+    else:
+        parts = label_rounds(forest.select("node").union(forest.select("component")), forest.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        discard(forest)
+    return parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct()).distinct()
+
+
+def label_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of nodes(node) by links(a, b), in rounds.
+
+    Each round every node takes the least label among its own, its neighbours' and its label's label, so that chains shrink by halves; lineage
+    is cut in the shared folder. A hub's neighbours are aggregated before the shuffle.
+    """
+    both = links.select(F.col("a").alias("_u"), F.col("b").alias("_v")).unionByName(links.select(F.col("b").alias("_u"), F.col("a").alias("_v"))).distinct()
+    both = cut_lineage(both)
+    labels = held = cut_lineage(nodes.select(F.col("node").alias("_n"), F.col("node").alias("_l")).distinct())
+    while True:
+        near = both.join(labels, both["_v"] == labels["_n"]).groupBy("_u").agg(F.min("_l").alias("_m"))
+        up = labels.select(F.col("_n").alias("_k"), F.col("_l").alias("_up"))
+        step = labels.join(near, labels["_n"] == near["_u"], "left").select("_n", "_l", F.least("_l", F.coalesce("_m", "_l")).alias("_t"))
+        new = step.join(up, step["_t"] == up["_k"], "left").select("_n", F.least("_t", F.coalesce("_up", "_t")).alias("_new"), "_l")
+        new = cut_lineage(new)
+        changed = not new.filter("_new < _l").isEmpty()
+        discard(held)
+        held, labels = new, new.select("_n", F.col("_new").alias("_l"))
+        if not changed:
+            discard(both)
+            return labels.select(F.col("_n").alias("node"), F.col("_l").alias("component"))
+
+
 #: Rows up to which a series is ordered in one task (a window spills, but isn't shared out); longer ones are cut into chunks.
 HOT_ROWS = 10_000_000
 CHUNK_ROWS = 1_000_000
