@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 from quillon.operators import voxels
-from quillon.operators.spatial_join import RIGHT, nearest_ids, pairs_within, with_cells, with_neighbour_cells
-from quillon.plans.partitioning import cut_lineage, discard
+from quillon.operators.near import connected
+from quillon.operators.spatial_join import RIGHT, _finite, nearest_ids, pairs_within, with_cells, with_neighbour_cells
+from quillon.plans.partitioning import cut_lineage, discard, lookup_join
 
 XYZ = ("x", "y", "z")
 
@@ -166,10 +167,13 @@ def visit(points: DataFrame, seeds: DataFrame, resolution: float, radius: float
 
     A region goes on to points within resolution; not further than radius from the seed; within a cone of field_of_view about the seed's normal
     (absolute), or about the normal of the point it comes from; with same_id only to points of the seed's value in that column.
-    Without radius and cone, regions are the connected parts of the points. Else each round is one join of the frontier with the neighbours, and a row
+    Without radius and cone, regions are the connected parts of the points (visit_parts, where ids and keys are integers). Else each round is one join of the frontier with the neighbours, and a row
     is kept for each seed and point; lineage is cut in the shared folder.
     """
     more = list(dict.fromkeys([*(normals or ()), *([same_id] if same_id else [])]))
+    if radius is None and (field_of_view is None or not normals) and not same_id and len(axes) == 3 and len(keys) <= 1 and all(points.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in (id, *keys)):
+        found = visit_parts(points, seeds, resolution, id, keys, axes)
+        return points.join(found.withColumnRenamed(id, "_at"), F.col(id) == F.col("_at"), "left").select(*[points[c] for c in points.columns], "visited_by")
     links = _self_pairs(points, resolution, id, keys, axes, more, ids=("differ", id))
     step = V.subtract([F.col(RIGHT + a) for a in axes], [F.col(a) for a in axes])
     if normals and field_of_view is not None and not absolute:
@@ -206,6 +210,22 @@ def visit(points: DataFrame, seeds: DataFrame, resolution: float, radius: float
     return points.join(last, points[id] == last["_at"], "left").select(*[points[c] for c in points.columns], "visited_by")
 
 
+def visit_parts(points: DataFrame, seeds: DataFrame, resolution: float, id: str = "id", keys: Sequence[str] = (), axes: Sequence[str] = XYZ) -> DataFrame:
+    """(id, visited_by) of the points that visit without radius, cone and same_id reaches, found in leaves of k-d splits; repeated rows count once.
+
+    Every seed of a connected part reaches all of it, so its last seed is what counts. A seed at a point without finite coordinates reaches that point only.
+    """
+    part = connected(points, resolution, id=id, group=keys[0] if keys else None, axes=tuple(axes))
+    given = seeds.select("seed", F.col(id).alias("node"))
+    last = cut_lineage(given.join(part, "node").groupBy("component").agg(F.max("seed").alias("visited_by")))
+    placed = _finite(axes)
+    for k in keys:
+        placed = placed & F.col(k).isNotNull()
+    apart = points.filter(~F.coalesce(placed, F.lit(False)))
+    alone = given.join(apart.select(F.col(id).alias("node")), "node").groupBy("node").agg(F.max("seed").alias("visited_by"))
+    return lookup_join(part, last, "component", "node").select("node", "visited_by").unionByName(alone).withColumnRenamed("node", id)
+
+
 def life(cells: DataFrame, generations: int, procreation: int, stability: int, step: int = 1, max_vitality: int = 1, axes: Sequence[str] = ("i", "j", "k")) -> DataFrame:
     """A cellular automaton on cells(axes, weight): all generations, as (generation, axes, weight), from 0; ends early when nothing lives.
 

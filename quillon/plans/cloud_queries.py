@@ -16,10 +16,11 @@ R = Registry()
 XYZ = ("x", "y", "z")
 
 
-def cloud(spark: SparkSession, d: str) -> DataFrame:
-    """The usable points: id, block, x, y, z, scalar; each once."""
+def cloud(spark: SparkSession, d: str, once: bool = True) -> DataFrame:
+    """The usable points: id, block, x, y, z, scalar; each once, or as often as they are there, for what counts repeated rows once anyway."""
     p = table(spark, d, "points").select(F.col("point_id").alias("id"), "block", F.col("c0").alias("x"), F.col("c1").alias("y"), F.col("c2").alias("z"), F.col("scalar").cast("double").alias("scalar"))
-    return p.filter(spatial_join._finite(XYZ) & ~((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0))).distinct()
+    p = p.filter(spatial_join._finite(XYZ) & ~((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0)))
+    return p.distinct() if once else p
 
 
 CLOUD = """cloud as (select distinct point_id as id, block, c0 as x, c1 as y, c2 as z, cast(scalar as double) as scalar from points
@@ -276,9 +277,9 @@ def l11(spark: SparkSession, d: str) -> DataFrame:
 @R.add("l11_visit_whole")
 def l11_whole(spark: SparkSession, d: str) -> DataFrame:
     """The same over the whole block, however far from the first point."""
-    c = cloud(spark, d)
+    c = cloud(spark, d, once=False)
     seeds = c.groupBy("block").agg(F.min("id").alias("id")).select(F.col("block").alias("seed"), "id")
-    return neighbourhood.visit(c, seeds, 1.0, keys=["block"]).select("id", "visited_by")
+    return cloud(spark, d).select("id").join(neighbourhood.visit_parts(c, seeds, 1.0, keys=["block"]), "id", "left")
 
 
 @R.add("l12_life")
