@@ -560,6 +560,111 @@ def _planes(at: np.ndarray, grp: np.ndarray, radius: float, max_curvature: float
     return flat, normal
 
 
+def enclosed(query: DataFrame, reference: DataFrame | None, angle: float, *, id: str = "id", range_threshold: float | None = None, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(id, right_id, right_range) of spatial_join.changed, for integer ids and angles up to a quarter turn; reference null: the query itself.
+
+    Only ids, directions and ranges are shuffled, references once more for each further leaf within the angle. In a leaf, boxes of a k-d tree that lie
+    within a query's window count as a whole, by the nearest of their ranges, so that dense directions make no pairs. Repeated ids of queries count once.
+    """
+
+    def slim(df: DataFrame, side: int) -> DataFrame:
+        out = usable_rows(df.withColumn("_none", F.lit(0.0)), id, None, ("bearing", "elevation", "_none"), side, [F.col("range").cast("double").alias("range")])
+        return out.filter(F.col("range").isNotNull() & ~F.isnan("range"))
+
+    alone = reference is None
+    rows = slim(query, BOTH if alone else LEFT)
+    if reference is not None:
+        rows = rows.unionByName(slim(reference, RIGHT))
+    turn = 2 * math.pi
+    tree = fit_splits(rows.withColumn("x", F.pmod(F.col("x") + math.pi, F.lit(turn)) - math.pi), leaf_rows, sample_rows)
+    reach = np.array([0, angle, angle, 0]) * (1 + 1e-9) + np.array([0, 1e-9, 1e-9, 0])
+    names = ["leaf", "what", "id", "x", "y", "range"]
+    shifts = np.array([0, 0, 0, turn, -turn])  # by LEFT, RIGHT, BOTH and copies of references across the border
+
+    def wrapped(x: np.ndarray) -> np.ndarray:
+        return (x + math.pi) % turn - math.pi
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in AXES])
+            at[:, 1] = wrapped(at[:, 1])
+            what = b.column("what").to_numpy(zero_copy_only=False)
+            home_of = np.empty(len(at), dtype=np.int64)
+            r, home = tree.route(at, at)
+            home_of[r] = home
+            out = [(np.arange(len(at)), home_of, what)]
+            for code in (RIGHT, 3, 4):
+                far = np.flatnonzero((what != LEFT) & ((code == RIGHT) | (shifts[code] * at[:, 1] < -abs(shifts[code]) * (math.pi - reach[1]))))
+                place = at[far] + np.array([0, shifts[code], 0, 0])
+                i, leaf = tree.route(place - reach, place + reach)
+                i = far[i]
+                new = (home_of[i] != leaf) | (code != RIGHT)
+                out.append((i[new], leaf[new], np.full(int(new.sum()), code)))
+            i, leaf, side = (np.concatenate(v) for v in zip(*out, strict=True))
+            yield pa.record_batch([pa.array(leaf.astype(np.int32)), pa.array(side.astype(np.int8)), *[b.column(c).take(pa.array(i)) for c in names[2:]]], names)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        what, ids, b, e, far = (table.column(c).to_numpy() for c in names[1:])
+        x = wrapped(b) + shifts[what]
+        asks, refs = np.flatnonzero((what == LEFT) | (what == BOTH)), np.flatnonzero(what != LEFT)
+        asks = asks[np.unique(ids[asks], return_index=True)[1]]
+        if not len(asks) or not len(refs):
+            return
+        refs = refs[np.lexsort((ids[refs], far[refs]))]  # the best first
+        best, sides = _windows(x[asks], b[asks], e[asks], x[refs], b[refs], e[refs], angle, what[asks] == BOTH)
+        ok = (best < len(refs)) & (sides == 15)
+        if range_threshold is not None:
+            ok[ok] = far[refs[best[ok]]] >= far[asks[ok]] + range_threshold
+        k = refs[best[ok]]
+        yield pa.record_batch([pa.array(ids[asks[ok]]), pa.array(ids[k]), pa.array(far[k])], ["id", "right_id", "right_range"])
+
+    routed = rows.mapInArrow(route, "leaf int, what byte, id long, x double, y double, range double")
+    return routed.groupBy("leaf").applyInArrow(search, "id long, right_id long, right_range double")
+
+
+def _windows(x: np.ndarray, b: np.ndarray, e: np.ndarray, rx: np.ndarray, rb: np.ndarray, re: np.ndarray, angle: float, own: np.ndarray, step: int = 4_000) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the first reference less than angle away in bearing and elevation (len(rx): none), and on which sides there are any: 15 if on all.
+
+    x: where bearings b lie in this leaf. own: queries that are references too, and so have one straight ahead.
+    """
+    n, tiny = len(rx), 1e-12
+    best, sides = np.full(len(x), n), np.where(own, 15, 0)
+    tree = LocalTree(np.column_stack([np.zeros(n), rx, re, np.zeros(n)]))
+    first = [np.minimum.reduceat(tree.order, tree.bounds(n, d)[:-1]) for d in range(tree.depth + 1)]
+    bounds = tree.bounds(n, tree.depth)
+    slot = np.arange(int(np.diff(bounds).max()))
+    for s in range(0, len(x), step):
+        q = np.arange(s, min(len(x), s + step))
+        node = np.zeros(len(q), dtype=np.int64)
+        for d in range(tree.depth + 1):
+            if d:
+                q, node = np.concatenate([q, q]), np.concatenate([2 * node, 2 * node + 1])
+            open_ = (first[d][node] < best[q]) | (sides[q] != 15)
+            q, node = q[open_], node[open_]
+            low, high = tree.boxes[d]
+            edges = [low[node, 1] - x[q], high[node, 1] - x[q], low[node, 2] - e[q], high[node, 2] - e[q]]
+            meets = (edges[0] < angle + tiny) & (edges[1] > -angle - tiny) & (edges[2] < angle + tiny) & (edges[3] > -angle - tiny)
+            clear = (sides[q] == 15) | np.all([np.abs(v) > tiny for v in edges], axis=0)
+            inside = clear & (edges[0] > -angle + tiny) & (edges[1] < angle - tiny) & (edges[2] > -angle + tiny) & (edges[3] < angle - tiny)
+            np.minimum.at(best, q[inside], first[d][node[inside]])
+            np.bitwise_or.at(sides, q[inside], (1 * (edges[0] <= 0) + 2 * (edges[1] >= 0) + 4 * (edges[2] <= 0) + 8 * (edges[3] >= 0))[inside])
+            q, node = q[meets & ~inside], node[meets & ~inside]
+        for t in range(0, len(q), 20_000):
+            k, at = q[t : t + 20_000], node[t : t + 20_000]
+            place = bounds[at][:, None] + slot
+            there = place < bounds[at + 1][:, None]
+            r, k = tree.order[np.minimum(place, n - 1)][there], np.broadcast_to(k[:, None], there.shape)[there]
+            turn = np.fmod(rb[r] - b[k] + math.pi, 2 * math.pi)
+            turn = np.where(turn < 0, np.fmod(turn + 2 * math.pi, 2 * math.pi), turn) - math.pi
+            rise = re[r] - e[k]
+            near = (np.abs(turn) < angle) & (np.abs(rise) < angle)
+            k, r, turn, rise = k[near], r[near], turn[near], rise[near]
+            np.minimum.at(best, k, r)
+            np.bitwise_or.at(sides, k, 1 * (turn <= 0) + 2 * (turn >= 0) + 4 * (rise <= 0) + 8 * (rise >= 0))
+    return best, sides
+
+
 def shapes_key(s: tuple) -> tuple:
     """The region as nested tuples, so that repeated region rows count once."""
     rid, shape, low, high, centre, radius, ring = s

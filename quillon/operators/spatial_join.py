@@ -228,13 +228,28 @@ def _bearing_cells(bearing: Column, size: float) -> Column:
     return F.floor((F.pmod(bearing + math.pi, F.lit(2 * math.pi))) / size).cast("long")
 
 
+def changed_ids(reference: DataFrame, query: DataFrame, angle: float, id: str = "id", range_threshold: float | None = None) -> DataFrame:
+    """(<id>, right_<id>, right_range): changed without the other columns, for which nothing but ids, directions and ranges is shuffled. Ids are integers."""
+    from quillon.operators.near import enclosed
+
+    found = enclosed(query, None if reference is query else reference, angle, id=id, range_threshold=range_threshold)
+    return found.select(F.col("id").alias(id), F.col("right_id").alias(RIGHT + id), F.col("right_range").alias(RIGHT + "range"))
+
+
 def changed(reference: DataFrame, query: DataFrame, angle: float, id: str = "id", range_threshold: float | None = None) -> DataFrame:
     """Query points (id, range, bearing, elevation; radians) that reference points enclose, with the reference point of the nearest range.
 
     Reference points count if they are less than angle away in bearing and elevation (bearing wraps at pi). A query point comes out if the
     bearings and the elevations of those lie on either side of its own; with range_threshold it is dropped if any of them is nearer
     than its range plus the threshold. Adds right_<columns>. Ties: the least reference id. Nulls match nothing.
+    Pairs are made only for ids that are no integers, or angles of more than a quarter turn.
     """
+    if angle <= math.pi / 2 and all(df.schema[id].dataType.typeName() in ("byte", "short", "integer", "long") for df in (reference, query)):
+        found = changed_ids(reference, query, angle, id, range_threshold).select(F.col(id).alias("_q"), F.col(RIGHT + id).alias("_r"))
+        used = ["range", "bearing", "elevation"]
+        theirs = reference.dropna(subset=used).dropDuplicates([id]).withColumnsRenamed({c: RIGHT + c for c in reference.columns})
+        out = found.join(theirs, F.col("_r") == F.col(RIGHT + id)).join(query.dropna(subset=used).dropDuplicates([id]), F.col("_q") == F.col(id))
+        return out.select(*query.columns, *theirs.columns)
     count = max(1, int(math.floor(2 * math.pi / angle)))
     size = 2 * math.pi / count
     b_cell = F.pmod(_bearing_cells(F.col("bearing"), size), F.lit(count))

@@ -157,16 +157,16 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
 POLAR = f"""{CLOUD}, polar as (select id, block, round(sqrt(x * x + y * y + z * z), 6) r, round(atan2(y, x), 9) b, round(asin(z / sqrt(x * x + y * y + z * z)), 9) e from cloud)"""
 
 
-def polar(spark: SparkSession, d: str) -> DataFrame:
+def polar(spark: SparkSession, d: str, once: bool = True) -> DataFrame:
     r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    return cloud(spark, d).select("id", "block", F.round(r, 6).alias("range"), F.round(F.atan2("y", "x"), 9).alias("bearing"), F.round(F.asin(F.col("z") / r), 9).alias("elevation"))
+    return cloud(spark, d, once).select("id", "block", F.round(r, 6).alias("range"), F.round(F.atan2("y", "x"), 9).alias("bearing"), F.round(F.asin(F.col("z") / r), 9).alias("elevation"))
 
 
 @R.add("j17_changed")
 def j17(spark: SparkSession, d: str) -> DataFrame:
     """Points enclosed, in bearing and elevation, by points of the whole cloud within half a thousandth of a radian."""
-    p = polar(spark, d)
-    return spatial_join.changed(p, p, 0.0005).select("id", F.col("right_id").alias("reference"), F.col("right_range").alias("reference_range"))
+    p = polar(spark, d, once=False)
+    return spatial_join.changed_ids(p, p, 0.0005).select("id", F.col("right_id").alias("reference"), F.col("right_range").alias("reference_range"))
 
 
 @R.add("j18_rays", f"""with {POLAR}, u as (select *, cos(e) * cos(b) ux, cos(e) * sin(b) uy, sin(e) uz from polar),
