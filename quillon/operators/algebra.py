@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.near import connected
 from quillon.operators.spatial_join import RIGHT, _finite, pairs_within
 from quillon.operators.voxels import components
-from quillon.plans.partitioning import at_most, cut_lineage, discard, extended, join_groups, map_groups, ordered_scan
+from quillon.plans.partitioning import at_most, cut_lineage, discard, extended, join_groups, lookup_join, map_groups, ordered_scan
 
 
 def _moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -344,8 +345,17 @@ def normals(points: DataFrame, radius: float, id: str = "id", keys: Sequence[str
     return m.mapInArrow(run, schema)
 
 
-def grow_regions(points: DataFrame, normals_: DataFrame, radius: float, angle: float, max_curvature: float = 1.0, min_size: int = 1, id: str = "id", keys: Sequence[str] = (), axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """(id, component): points within the radius whose normals differ by less than angle (either sign) and whose curvature is at most max_curvature, connected."""
+def grow_regions(points: DataFrame, normals_: DataFrame | None, radius: float, angle: float, max_curvature: float = 1.0, min_size: int = 1, id: str = "id", keys: Sequence[str] = (), axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """(id, component): points within the radius whose normals differ by less than angle (either sign) and whose curvature is at most max_curvature, connected.
+
+    normals_ null: those of normals() with the same radius; they are then found in the leaves of k-d splits together with the regions (ids and key are integers,
+    ids are unique, repeated rows count once), and neither pairs nor normals are written.
+    """
+    if normals_ is None:
+        found = connected(points, radius, id=id, group=keys[0] if keys else None, axes=tuple(axes), angle=angle, max_curvature=max_curvature)
+        if min_size > 1:
+            found = lookup_join(found, found.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_size).select("component"), "component", "node")
+        return found.select(F.col("node").alias(id), "component")
     flat = cut_lineage(points.select(id, *keys, *axes).join(normals_.filter(F.col("curvature") <= max_curvature), id))
     slim = flat.select(id, *keys, *axes, "normal_x", "normal_y", "normal_z")
     pairs = pairs_within(slim, slim, radius, axes, keys=keys).filter(F.col(id) < F.col(RIGHT + id))

@@ -362,8 +362,7 @@ def v10(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("v10_regions")
 def v10r(spark: SparkSession, d: str) -> DataFrame:
-    c = cloud(spark, d)
-    return algebra.grow_regions(c, algebra.normals(c, 1.0, keys=["block"]), 1.0, 0.2, keys=["block"])
+    return algebra.grow_regions(cloud(spark, d, once=False), None, 1.0, 0.2, keys=["block"])
 
 
 @R.add("v10_statistical_outliers", f"""with {pairs_sql(1.0, 'a.id <> b.id')}, k as (select a_id, d2, row_number() over (partition by a_id order by d2, b_id) n from pairs), m as (select a_id, avg(sqrt(d2)) m from k where n <= 4 group by 1), l as (select avg(m) + stddev_samp(m) lim from m)
