@@ -99,7 +99,7 @@ def partitions(points: DataFrame, resolution: float, axes: Sequence[str] = XYZ,
         mine = voxels.select(*keys, *cells, F.col("node").alias("a"))
         near = with_neighbour_cells(voxels.select(*keys, *cells, F.col("node").alias("b")), n)
         parts = components(voxels, mine.join(near, [*keys, *cells]).filter("a < b").select("a", "b"))
-    labelled = parts.join(voxels, "node")
+    labelled = parts.join(voxels.hint("merge"), "node")  # voxels take many times their compressed files in memory: the driver must not broadcast them
     sizes = labelled.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_v"), F.sum("_n").alias("_p"), F.min(F.struct(*cells)).alias("_first"))
     sizes = sizes.filter((F.col("_v") >= min_voxels) & (F.col("_p") >= min_points) & (F.col("_p") >= min_density * F.col("_v")))
     in_block = Window.partitionBy(*keys)

@@ -32,13 +32,14 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, salt_by: str, how:
 
     right is broadcast if it is counted and has at most broadcast_rows rows. Beyond that both sides are shuffled by the key
     and a salt: left rows take theirs from salt_by, right rows are copied to each salt, so that a hot key is shared out.
-    Null keys match nothing (they stay, with nulls, for how="left").
+    Null keys match nothing (they stay, with nulls, for how="left"). Beyond broadcast_rows nothing is broadcast, however small right's files
+    are: Spark would go by their compressed size, which says nothing of the copies.
     """
     if at_most(right.select(key), broadcast_rows):
         return left.join(F.broadcast(right), key, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
